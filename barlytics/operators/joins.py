@@ -18,7 +18,7 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES)
     shuffle join, or AQE broadcasts it after measuring it.
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= limit_bytes else df
+    return F.broadcast(df) if int(str(size)) <= limit_bytes else df
 
 
 def asof_join(

@@ -123,85 +123,75 @@ def path_return(state, target, stop, close_return, clamp_open: bool) -> Column:
     )
 
 
-def _within(t: str, h: int, inclusive: bool) -> Column:
-    edge = F.col("origin_ms") + F.lit(h)
-    ok = F.col(t) <= edge if inclusive else F.col(t) < edge
-    return F.when(ok, F.col(t))
+def _combinations(facts: DataFrame, anchor_id: str, barriers, horizons_ms, inclusive: bool, carry) -> DataFrame:
+    """One row per anchor, (target, stop) and horizon with its raw facts.
+
+    First-hit times beyond the horizon read as not hit.
+    """
+    items = [
+        F.struct(
+            F.lit(h).cast("bigint").alias("horizon_ms"),
+            F.lit(float(target)).alias("target_pct"), F.lit(float(stop)).alias("stop_pct"),
+            F.col(f"bars_{h}").alias("bars"), F.col(f"fav_{h}").alias("_fav"), F.col(f"adv_{h}").alias("_adv"),
+            F.col(f"close_{h}").alias("_close"), F.col(f"t_target_{tag(target)}").alias("_tt"),
+            F.col(f"t_stop_{tag(stop)}").alias("_ts"), F.col(f"mae_to_target_{tag(target)}").alias("_mae"),
+        )
+        for h in horizons_ms
+        for target, stop in barriers
+    ]
+    rows = facts.select(
+        anchor_id, "symbol", "bias", "entry_price", "asof_ms", "origin_ms", *[c for c in carry if c != "asof_ms"],
+        F.explode(F.array(*items)).alias("o"),
+    ).select("*", "o.*").drop("o").filter("bars > 0")
+    edge = F.col("origin_ms") + F.col("horizon_ms")
+    inside = lambda c: F.when(F.col(c) <= edge if inclusive else F.col(c) < edge, F.col(c))
+    return rows.withColumns({"_tt": inside("_tt"), "_ts": inside("_ts")}).withColumns(
+        {
+            "_state": resolve("_tt", "_ts"),
+            "mfe_pct": F.greatest(F.lit(0.0), "_fav"),
+            "mae_pct": F.least(F.lit(0.0), "_adv"),
+            "close_return_pct": directional_return("entry_price", "_close", "bias"),
+        }
+    )
 
 
 def horizon_table(
-    facts: DataFrame, anchor_id: str, target: float, stops, horizons_ms, window: str = "open",
-    step: int | None = None, carry=(),
+    facts: DataFrame, anchor_id: str, target: float, stops, horizons_ms, window: str = "open", carry=(),
 ) -> DataFrame:
     """Long outcome table: one row per anchor, horizon and stop."""
-    inclusive = window != "open"
-    items = []
-    for h in horizons_ms:
-        tt = _within(f"t_target_{tag(target)}", h, inclusive)
-        cr = directional_return("entry_price", f"close_{h}", "bias")
-        elapsed = F.greatest(tt - F.col("asof_ms"), F.lit(0))
-        for s in stops:
-            ts = _within(f"t_stop_{tag(s)}", h, inclusive)
-            state = resolve(tt, ts)
-            items.append(
-                F.when(
-                    F.col(f"bars_{h}") > 0,
-                    F.struct(
-                        F.lit(h).cast("bigint").alias("horizon_ms"),
-                        F.lit(float(s)).alias("stop_pct"),
-                        F.col(f"bars_{h}").alias("bars"),
-                        tt.isNotNull().alias("target_reached"),
-                        ts.isNotNull().alias("stop_reached"),
-                        tt.alias("first_target_ms"),
-                        ts.alias("first_stop_ms"),
-                        F.when(state != "OPEN", F.least(tt, ts)).alias("resolution_ms"),
-                        (elapsed / 60000.0).alias("minutes_to_target"),
-                        (F.greatest(ts - F.col("asof_ms"), F.lit(0)) / 60000.0).alias("minutes_to_stop"),
-                        F.when(tt.isNotNull(), F.col(f"mae_to_target_{tag(target)}")).alias("mae_before_target_pct"),
-                        F.greatest(F.lit(0.0), F.col(f"fav_{h}")).alias("mfe_pct"),
-                        F.least(F.lit(0.0), F.col(f"adv_{h}")).alias("mae_pct"),
-                        cr.alias("close_return_pct"),
-                        state.alias("result"),
-                        path_return(state, F.lit(float(target)), F.lit(float(s)), cr, True).alias("sim_return_pct"),
-                    ),
-                )
-            )
-    table = F.filter(F.array(*items), lambda x: x.isNotNull())
-    return facts.select(anchor_id, "symbol", "bias", *carry, F.explode(table).alias("o")).select(
-        anchor_id, "symbol", "bias", *carry, "o.*"
+    o = _combinations(facts, anchor_id, [(target, s) for s in stops], horizons_ms, window != "open", carry)
+    minutes = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c) - F.col("asof_ms"), F.lit(0)) / 60000.0)
+    return o.select(
+        anchor_id, "symbol", "bias", *carry, "horizon_ms", "stop_pct", "bars",
+        F.col("_tt").isNotNull().alias("target_reached"), F.col("_ts").isNotNull().alias("stop_reached"),
+        F.col("_tt").alias("first_target_ms"), F.col("_ts").alias("first_stop_ms"),
+        F.when(F.col("_state") != "OPEN", F.least("_tt", "_ts")).alias("resolution_ms"),
+        minutes("_tt").alias("minutes_to_target"), minutes("_ts").alias("minutes_to_stop"),
+        F.when(F.col("_tt").isNotNull(), F.col("_mae")).alias("mae_before_target_pct"),
+        "mfe_pct", "mae_pct", "close_return_pct", F.col("_state").alias("result"),
+        path_return("_state", "target_pct", "stop_pct", "close_return_pct", True).alias("sim_return_pct"),
     )
 
 
-def label_grid(facts: DataFrame, anchor_id: str, barriers, horizons_ms, step: int, carry=()) -> DataFrame:
+def label_grid(facts: DataFrame, anchor_id: str, barriers, horizons_ms, carry=()) -> DataFrame:
     """Long label table: one row per anchor, (target, stop) pair and horizon.
 
     An open path returns the raw close return; an ambiguous bar also counts as
     the time to target; a target after a stop still counts as eventual.
     """
-    items = []
-    for h in horizons_ms:
-        cr = directional_return("entry_price", f"close_{h}", "bias")
-        for target, stop in barriers:
-            tt, ts = _within(f"t_target_{tag(target)}", h, True), _within(f"t_stop_{tag(stop)}", h, True)
-            state = resolve(tt, ts)
-            timed = state.isin("TARGET_FIRST", "AMBIGUOUS")
-            items.append(
-                F.struct(
-                    F.lit(float(target)).alias("target_pct"), F.lit(float(stop)).alias("stop_pct"),
-                    F.lit(h).cast("bigint").alias("horizon_ms"),
-                    tt.isNotNull().cast("int").alias("eventual_target"),
-                    state.alias("path"),
-                    (state == "TARGET_FIRST").cast("int").alias("target_before_stop"),
-                    (state == "AMBIGUOUS").cast("int").alias("ambiguous"),
-                    F.when(timed, (tt - F.col("origin_ms")) / 60000.0).alias("time_to_target_min"),
-                    F.when(timed, F.col(f"mae_to_target_{tag(target)}")).alias("mae_before_target_pct"),
-                    F.greatest(F.lit(0.0), F.col(f"fav_{h}")).alias("mfe_pct"),
-                    F.least(F.lit(0.0), F.col(f"adv_{h}")).alias("mae_pct"),
-                    cr.alias("close_return_pct"),
-                    path_return(state, F.lit(float(target)), F.lit(float(stop)), cr, False).alias("sim_return_pct"),
-                )
-            )
-    return facts.select(anchor_id, *carry, F.explode(F.array(*items)).alias("o")).select(anchor_id, *carry, "o.*")
+    o = _combinations(facts, anchor_id, barriers, horizons_ms, True, carry)
+    timed = F.col("_state").isin("TARGET_FIRST", "AMBIGUOUS")
+    return o.select(
+        anchor_id, *carry, "target_pct", "stop_pct", "horizon_ms",
+        F.col("_tt").isNotNull().cast("int").alias("eventual_target"),
+        F.col("_state").alias("path"),
+        (F.col("_state") == "TARGET_FIRST").cast("int").alias("target_before_stop"),
+        (F.col("_state") == "AMBIGUOUS").cast("int").alias("ambiguous"),
+        F.when(timed, (F.col("_tt") - F.col("origin_ms")) / 60000.0).alias("time_to_target_min"),
+        F.when(timed, F.col("_mae")).alias("mae_before_target_pct"),
+        "mfe_pct", "mae_pct", "close_return_pct",
+        path_return("_state", "target_pct", "stop_pct", "close_return_pct", False).alias("sim_return_pct"),
+    )
 
 
 def clean_volatile(labels: DataFrame) -> DataFrame:
