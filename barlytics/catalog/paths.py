@@ -323,11 +323,13 @@ QS = [0.5, 0.75, 0.9, 0.95]
 FROM (SELECT abs(mae_upto) AS m, minutes_to_target AS w FROM outcomes WHERE {ONE} AND {LAST} AND first_target_ms IS NOT NULL)""",
 )
 def a06(spark, sf):
-    won = cut(outcomes(spark, sf).filter(ONE).filter(LAST).filter("target_reached"))
-    drawdown = cohorts.quantiles(won, F.abs("mae_before_target_pct"), QS)
-    minutes = cohorts.quantiles(won, "minutes_to_target", QS).select(*[F.col(f"p{int(q * 100)}").alias(f"minutes_p{int(q * 100)}") for q in QS])
-    row = minutes.select(F.struct(*minutes.columns).alias("m")).scalar()
-    return drawdown.withColumn("_m", row).select("*", "_m.*").drop("_m")
+    won = outcomes(spark, sf).filter(ONE).filter(LAST).filter("target_reached")
+    won = cut(won.select(F.abs("mae_before_target_pct").alias("m"), "minutes_to_target"))
+    names = [f"p{int(q * 100)}" for q in QS]
+    drawdown = cohorts.exact_quantiles(won, "m", QS)
+    minutes = cohorts.exact_quantiles(won, "minutes_to_target", QS, bin_width=60.0)
+    row = minutes.select(F.struct(*names).alias("m")).scalar()
+    return rnd(drawdown.withColumn("_m", row).select("samples", *names, *[F.col(f"_m.{n}").alias(f"minutes_{n}") for n in names]), 4)
 
 
 @query("a07_best_stop", "SELECT stop_pct AS best_stop_pct FROM stop_sums ORDER BY average_simulated_return_pct DESC, stop_pct LIMIT 1")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barlytics.operators.blocks import prefix
+
 
 
 def rate_summary(outcomes: DataFrame, by=("horizon_ms",), hit: str = "target_reached") -> DataFrame:
@@ -38,15 +40,45 @@ def cohort_report(outcomes: DataFrame, dims=("market_regime", "quality_bucket"),
 
 def stop_summary(outcomes: DataFrame, by=("stop_pct",), ret: str = "sim_return_pct") -> DataFrame:
     """Counts of the four path results with mean and median return per stop."""
+    by = list(by)
     is_ = lambda name: F.count_if(F.col("result") == name)
-    return outcomes.groupBy(*by).agg(
+    sums = outcomes.groupBy(*by).agg(
         F.count(F.lit(1)).alias("samples"),
         is_("TARGET_FIRST").alias("target_first"), is_("STOP_FIRST").alias("stop_first"),
         is_("AMBIGUOUS").alias("ambiguous"), is_("OPEN").alias("open_at_end"),
         F.round(is_("TARGET_FIRST") / F.count(F.lit(1)), 4).alias("target_first_rate"),
         F.round(F.avg(ret), 4).alias("average_simulated_return_pct"),
-        F.round(F.median(ret), 4).alias("median_simulated_return_pct"),
     )
+    middle = exact_quantiles(outcomes, ret, [0.5], by).select(*by, F.round("p50", 4).alias("median_simulated_return_pct"))
+    return sums.join(middle, by)
+
+
+def exact_quantiles(df: DataFrame, column: str, points: list[float], by=(), bin_width: float = 0.01) -> DataFrame:
+    """Exact quantiles with linear interpolation per group, one column each.
+
+    Rows shrink to counts per distinct value; ranks come from a prefix sum over
+    value bins, so no task holds all values of a group.
+    """
+    by = list(by)
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = prefix(counts, by, "_v", F.floor(F.col("_v") / bin_width), {"_below": ("_n", "sum")})
+    if by:
+        sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+        ranked = ranked.join(sizes, by)
+    else:
+        ranked = ranked.withColumn("_all", counts.agg(F.sum("_n")).scalar())
+
+    def at(rank):
+        return F.max(F.when((F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_n")), F.col("_v")))
+
+    ends, shown = [], []
+    for i, q in enumerate(points):
+        place = (F.col("_all") - 1) * F.lit(q)
+        ends += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}")]
+        share = (F.col("samples") - 1) * F.lit(q)
+        share = share - F.floor(share)
+        shown.append((F.col(f"_lo{i}") * (1 - share) + F.col(f"_hi{i}") * share).alias(f"p{int(round(q * 100))}"))
+    return ranked.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("samples"), *ends).select(*by, "samples", *shown)
 
 
 def best_stop(summary: DataFrame, value: str = "average_simulated_return_pct", stop: str = "stop_pct") -> DataFrame:
@@ -54,13 +86,6 @@ def best_stop(summary: DataFrame, value: str = "average_simulated_return_pct", s
     return summary.agg(F.max_by(stop, F.struct(F.coalesce(F.col(value), F.lit(-999.0)), -F.col(stop))).alias("best_stop_pct"))
 
 
-def quantiles(df: DataFrame, column: Column | str, points: list[float], digits: int = 4) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column per point."""
-    col = F.col(column) if isinstance(column, str) else column
-    q = df.agg(F.count(col).alias("samples"), F.percentile(col, F.array(*[F.lit(p) for p in points])).alias("q"))
-    return q.select("samples", *[F.round(F.col("q")[i], digits).alias(f"p{int(p * 100)}") for i, p in enumerate(points)])
-
-
 def gate_groups(outcomes: DataFrame, dims=("market_regime", "quality_bucket"), min_samples: int = 20, min_rate: float = 0.60, hit: str = "target_reached") -> DataFrame:
     """Samples, wins and rate per combination and whether it is approved."""
     rate = F.col("target_hits") / F.col("samples")
