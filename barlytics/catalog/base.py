@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barlytics.operators import grid
-from barlytics.session import cut
+from barlytics.session import cut, prepare
 
 DAY = 86_400_000
 HOUR = 3_600_000
@@ -31,7 +31,12 @@ CTE: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     """Register a Spark query, with its SQL twin when there is one."""
     def put(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return fn(spark, sf_dir)
+
+        run.__name__ = name
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = compose(sql)
         return fn

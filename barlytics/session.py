@@ -12,7 +12,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("barlytics")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -20,16 +19,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
     return spark
 
 
+def prepare(spark: SparkSession) -> None:
+    """Runtime settings the library relies on, whatever session it is given.
+
+    All times are UTC, and the streaming state machines need the RocksDB store.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
