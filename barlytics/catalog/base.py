@@ -94,7 +94,7 @@ def rnd(df: DataFrame, digits: int = 9, keep=()) -> DataFrame:
 cte(
     "ticks",
     """SELECT concat('S', l_suppkey % 5) AS symbol, epoch_ms(l_shipdate) AS t_ms,
-  l_orderkey * 8 + l_linenumber AS seq, 100 + l_extendedprice / 20000 AS price,
+  (l_orderkey * 8 + l_linenumber) * 262144 + l_partkey % 262144 AS seq, 100 + l_extendedprice / 20000 AS price,
   l_quantity AS qty, l_extendedprice AS quote,
   CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END AS taker_base,
   CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END AS taker_quote
@@ -104,8 +104,8 @@ FROM lineitem""",
 
 def _bars_sql(step: int) -> str:
     return f"""SELECT symbol, t_ms - t_ms % {step} AS open_time_ms,
-  first(price ORDER BY t_ms, seq, price) AS open, max(price) AS high, min(price) AS low,
-  last(price ORDER BY t_ms, seq, price) AS close, round(sum(qty), 4) AS volume,
+  first(price ORDER BY t_ms, seq) AS open, max(price) AS high, min(price) AS low,
+  last(price ORDER BY t_ms, seq) AS close, round(sum(qty), 4) AS volume,
   t_ms - t_ms % {step} + {step - 1} AS close_time_ms, round(sum(quote), 2) AS quote_volume,
   count(*) AS trades, round(sum(taker_base), 4) AS taker_buy_base_volume,
   round(sum(taker_quote), 2) AS taker_buy_quote_volume
@@ -122,7 +122,7 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string")).alias("symbol"),
         ms("l_shipdate").alias("t_ms"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 2**18 + F.col("l_partkey") % 2**18).alias("seq"),
         (100 + F.col("l_extendedprice") / 20000).alias("price"),
         F.col("l_quantity").alias("qty"),
         F.col("l_extendedprice").alias("quote"),
@@ -143,7 +143,7 @@ def _settle(bars: DataFrame) -> DataFrame:
 
 def bars(spark: SparkSession, sf: str, step: int = FINE) -> DataFrame:
     """Bars of one frame from one scan of the ticks (not written)."""
-    return _settle(grid.ticks_to_bars(ticks(spark, sf), step))
+    return _settle(grid.ticks_to_bars(ticks(spark, sf), step, seq_bits=61, tick_ms=DAY))
 
 
 def stored_bars(spark: SparkSession, sf: str, step: int = FINE) -> DataFrame:

@@ -27,19 +27,19 @@ def next_bucket(ms, step: int) -> Column:
     return floor_bucket(ms, step) + F.lit(step).cast("bigint")
 
 
-def _tick_key(t, seq, price) -> Column:
-    """One sortable number from time, sequence and price.
+def _tick_key(t: Column, seq: Column, step: int, seq_bits: int, tick_ms: int) -> Column:
+    """One sortable number from the time inside the bucket and the sequence.
 
-    A decimal keeps the first/last-tick aggregates in the hash aggregate, where
-    a struct key would force a sort of all ticks before the partial step. Room:
-    13 digits of time, 13 of sequence, 12 of price in steps of 1e-7.
+    A number keeps the first/last-tick aggregates in the hash aggregate, where
+    a struct key would force a sort of all ticks before the partial step. Both
+    parts share one long when they fit, else a (slower) decimal.
     """
+    slots = -(-step // tick_ms)
+    offset = F.floor(F.pmod(t, F.lit(step).cast("bigint")) / tick_ms)
+    if (slots - 1).bit_length() + seq_bits <= 63:
+        return offset * F.lit(2**seq_bits) + seq
     dec = lambda c: c.cast("decimal(38,0)")
-    return (
-        dec(_c(t)) * F.lit("1" + "0" * 25).cast("decimal(26,0)")
-        + dec(_c(seq)) * F.lit("1" + "0" * 12).cast("decimal(13,0)")
-        + dec(F.round(_c(price) * 1e7))
-    )
+    return dec(offset) * F.lit("1" + "0" * 19).cast("decimal(20,0)") + dec(seq)
 
 
 def ticks_to_bars(
@@ -48,17 +48,19 @@ def ticks_to_bars(
     keys=("symbol",),
     time: str = "t_ms",
     seq: str = "seq",
+    seq_bits: int = 43,
+    tick_ms: int = 1,
 ) -> DataFrame:
     """OHLCV bars from ticks ``(symbol, t_ms, seq, price, qty, quote, taker_*)``.
 
     One shuffle, after map-side partial aggregation: what moves is at most one
-    row per symbol, bucket and task, however many ticks a symbol has. Ties on
-    time and sequence resolve by price.
+    row per symbol, bucket and task, however many ticks a symbol has. ``seq``
+    orders the ticks of one time; it is unique there and fits ``seq_bits``.
+    Times are multiples of ``tick_ms``.
     """
-    key = _tick_key(time, seq, "price")
     return (
         ticks.withColumn("open_time_ms", floor_bucket(time, step))
-        .withColumn("_key", key)
+        .withColumn("_key", _tick_key(F.col(time), F.col(seq), step, seq_bits, tick_ms))
         .groupBy(*keys, "open_time_ms")
         .agg(
             F.min_by("price", "_key").alias("open"),
