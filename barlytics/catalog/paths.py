@@ -268,7 +268,7 @@ def trades(spark, sf):
 
 @query(
     "l11_gap_aware_exit",
-    f"SELECT id, symbol, side, entry_ms, entry_price, status, resolved_bar_ms, {R9(['mae_pct', 'mfe_pct', 'gross_return_pct'])}, holding_hours FROM trades_out",
+    f"SELECT id, symbol, side, entry_ms, round(entry_price, 9) AS entry_price, status, resolved_bar_ms, {R9(['mae_pct', 'mfe_pct', 'gross_return_pct'])}, holding_hours FROM trades_out",
 )
 def l11(spark, sf):
     _, t = trades(spark, sf)
@@ -332,7 +332,7 @@ def a06(spark, sf):
     return rnd(drawdown.withColumn("_m", row).select("samples", *names, *[F.col(f"_m.{n}").alias(f"minutes_{n}") for n in names]), 4)
 
 
-@query("a07_best_stop", "SELECT stop_pct AS best_stop_pct FROM stop_sums ORDER BY average_simulated_return_pct DESC, stop_pct LIMIT 1")
+@query("a07_best_stop", "SELECT (SELECT stop_pct FROM stop_sums ORDER BY average_simulated_return_pct DESC, stop_pct LIMIT 1) AS best_stop_pct")
 def a07(spark, sf):
     return cohorts.best_stop(cohorts.stop_summary(outcomes(spark, sf).filter(LAST)))
 
@@ -353,7 +353,7 @@ def a08(spark, sf):
     return gate(spark, sf)
 
 
-@query("a08_gate_status", "SELECT CAST(sum(samples) AS BIGINT) AS total, count(*) FILTER (WHERE allowed) AS allowed_groups, sum(samples) >= 50 AND count(*) FILTER (WHERE allowed) > 0 AS enabled FROM gate_rows")
+@query("a08_gate_status", "SELECT CAST(coalesce(sum(samples), 0) AS BIGINT) AS total, count(*) FILTER (WHERE allowed) AS allowed_groups, coalesce(sum(samples), 0) >= 50 AND count(*) FILTER (WHERE allowed) > 0 AS enabled FROM gate_rows")
 def a08s(spark, sf):
     return cohorts.gate_status(gate(spark, sf), min_total=50)
 

@@ -358,7 +358,7 @@ def j01(spark, sf):
         F.concat(F.lit("S"), (F.col("o_custkey") % 5).cast("string")).alias("symbol"), "o_orderkey", ms("o_orderdate").alias("t_ms")
     )
     right = stored_bars(spark, sf).select("symbol", F.col("close_time_ms").alias("bar_close_ms"), "close")
-    return joins.asof_join(left, right, "t_ms", "bar_close_ms", 128 * FINE)
+    return joins.asof_join(left, right, "t_ms", "bar_close_ms", 128 * FINE, salts=4)
 
 
 @query(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlytics.functions.scalar import first_reason
-from barlytics.operators.blocks import prefix
 from barlytics.operators.grid import floor_bucket
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
@@ -30,39 +29,57 @@ def asof_join(
     keys=("symbol",),
     strict: bool = True,
     forward: bool = False,
+    salts: int = 1,
 ) -> DataFrame:
     """The last right row before each left row, per key (all left rows stay).
 
     ``strict`` wants ``right_time < left_time``, otherwise equal times match
     too. ``forward`` looks for the first right row after instead. Both sides
     meet in windows of one key and one time bucket; the last row of earlier
-    buckets comes in as one row per bucket, however far back it lies. Right
-    columns must not share names with left columns other than the keys.
+    buckets comes in as one row per bucket, however far back it lies. With
+    ``salts`` the left rows of a bucket spread over that many tasks, each with
+    a copy of its right rows: for left sides with far more rows than the right.
+    Right columns must not share names with left columns other than the keys.
     """
     keys = list(keys)
     sign = -1 if forward else 1
     values = [c for c in right.columns if c not in keys]
+    stamp = lambda c: (F.col(c) * sign).cast("bigint").alias("_t")
+    types = (left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType,
+             right.select(F.struct(*values).alias("s")).schema["s"].dataType)
+    salt = F.pmod(F.xxhash64(*[c for c, t in left.dtypes if not t.startswith("map")]), F.lit(salts)) if salts > 1 else F.lit(0).cast("bigint")
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))) if salts > 1 else F.lit(0).cast("bigint")
     # Of two rows at one time the left one sorts first in a strict join.
     l = left.select(
-        *keys,
-        (F.col(left_time) * sign).cast("bigint").alias("_t"),
-        F.lit(0 if strict else 1).alias("_side"),
-        F.struct(*left.columns).alias("_left"),
-        F.lit(None).cast(right.select(F.struct(*values).alias("r")).schema["r"].dataType).alias("_right"),
+        *keys, stamp(left_time), F.lit(0 if strict else 1).alias("_side"), salt.alias("_salt"),
+        F.struct(*left.columns).alias("_left"), F.lit(None).cast(types[1]).alias("_right"),
     )
     r = right.select(
-        *keys,
-        (F.col(right_time) * sign).cast("bigint").alias("_t"),
-        F.lit(1 if strict else 0).alias("_side"),
-        F.lit(None).cast(l.schema["_left"].dataType).alias("_left"),
-        F.struct(*values).alias("_right"),
+        *keys, stamp(right_time), F.lit(1 if strict else 0).alias("_side"), copies.alias("_salt"),
+        F.lit(None).cast(types[0]).alias("_left"), F.struct(*values).alias("_right"),
     )
-    both = prefix(
-        l.unionByName(r), keys, ["_t", "_side"], floor_bucket("_t", bucket_ms),
-        {"_match": ("_right", "last")},
+    bucket = floor_bucket("_t", bucket_ms)
+    here = Window.partitionBy(*keys, "_bucket", "_salt").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    met = (
+        l.unionByName(r).withColumn("_bucket", bucket)
+        .withColumn("_here", F.last("_right", ignorenulls=True).over(here))
+        .filter(F.col("_left").isNotNull())
     )
-    return both.filter(F.col("_left").isNotNull()).select(
-        "_left.*", *[F.col(f"_match.{c}").alias(c) for c in values]
+    # Last row of each right bucket, carried on to the buckets with left rows.
+    asked = left.select(*keys, stamp(left_time)).select(*keys, bucket.alias("_bucket")).distinct()
+    ends = right.select(*keys, stamp(right_time), F.struct(*values).alias("_right")).groupBy(*keys, bucket.alias("_bucket")).agg(
+        F.max_by("_right", "_t").alias("_end")
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rangeBetween(Window.unboundedPreceding, -1)
+    carried = (
+        asked.withColumns({"_end": F.lit(None).cast(types[1]), "_asks": F.lit(True)})
+        .unionByName(ends.withColumn("_asks", F.lit(False)))
+        .withColumn("_before", F.last("_end", ignorenulls=True).over(earlier))
+        .filter("_asks").select(*keys, "_bucket", "_before")
+    )
+    found = F.coalesce("_here", "_before")
+    return met.join(carried, [*keys, "_bucket"]).select(
+        "_left.*", *[found[c].alias(c) for c in values]
     )
 
 

@@ -81,7 +81,8 @@ def path_facts(
             F.max_by("_close", F.when(cond, F.col("_t"))).alias(f"close_{k}"),
         ]
     group = [anchor_id, *keys, "bias", "entry_price", "asof_ms", F.col("_origin").alias("origin_ms")]
-    facts = pairs.groupBy(*group).agg(*aggs)
+    # One row per anchor, read by the second pass and by the caller.
+    facts = cut(pairs.groupBy(*group).agg(*aggs))
 
     # Worst adverse move up to a target: a second pass that reads no further
     # than the last first-target time of each anchor.

@@ -16,7 +16,7 @@ from barlytics.operators.joins import asof_join
 from barlytics.plans.setups import market_context_ml, top_n
 from barlytics.session import cut
 
-BUCKET_STEPS = 512
+BUCKET_STEPS = 128
 
 
 def base_frame(bars: DataFrame, step: int, day_bars: int = 288, hour_bars: int = 12) -> DataFrame:

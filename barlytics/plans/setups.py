@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from barlytics.functions import rules
 from barlytics.functions.scalar import quality_bucket
-from barlytics.operators.blocks import prefix, roll
-from barlytics.operators.grid import floor_bucket
+from barlytics.operators.blocks import roll
 from barlytics.operators.indicators import (
     change_over, lagged, momentum, rolling_max, rolling_min, rolling_sum, sma, sma_lagged, volume_expansion,
 )
 from barlytics.operators.joins import asof_join
 
-BUCKET_STEPS = 512
+BUCKET_STEPS = 128
 
 
 def fine_features(bars: DataFrame, step: int, **kw) -> DataFrame:
@@ -194,9 +193,12 @@ def score_rows(rows: DataFrame, regime: str = "market_regime") -> DataFrame:
     return rows.withColumns(parts)
 
 
-def edges(rows: DataFrame, step: int, keys=("symbol",), time: str = "asof_ms", chunk_steps: int = 65_536) -> DataFrame:
-    """Rows that enter the trigger state; the row before counts, whatever its bias."""
-    before = prefix(rows, keys, time, floor_bucket(time, step * chunk_steps), {"_prev": ("setup_state", "lag")})
+def edges(rows: DataFrame, step: int, keys=("symbol",)) -> DataFrame:
+    """Rows that enter the trigger state; the row before counts, whatever its bias.
+
+    Feature rows carry the bar position, so the row before is one halo row away.
+    """
+    before = roll(rows, {"_prev": lagged("setup_state", 1)}, step, keys)
     enters = (F.col("setup_state") == rules.TRIGGER) & (
         F.col("_prev").isNull() | (F.col("_prev") != rules.TRIGGER)
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,10 +57,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and continue from the written rows.
+    """Write ``df`` to the shared folder once and continue from the written table.
 
-    Used where a plan reads the same expensive result several times. The rows
-    are in reliable storage, so a lost executor costs only its own tasks.
+    Used where a plan reads the same expensive result several times. The table
+    is columnar, so every reader takes only its columns, and it is in shared
+    storage, so a lost executor costs only its own tasks.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
