@@ -13,7 +13,7 @@ from barlytics.functions import gates, rules, scalar as sc
 from barlytics.operators import grid, indicators as ind, joins
 from barlytics.operators.blocks import prefix, roll
 from barlytics.operators.grid import floor_bucket
-from barlytics.plans import dataset, setups as plan, states
+from barlytics.plans import backtest, dataset, setups as plan, states
 from barlytics.session import cut
 
 # --- context ---------------------------------------------------------------
@@ -290,11 +290,8 @@ WHERE setup_state = 'CONTINUATION_TRIGGER' AND (prev_state IS NULL OR prev_state
 
 def trigger_rows(spark, sf):
     """Triggers with scores plus the finest bars they are labelled on."""
-    tiny, fine_bars, coarse_bars = frames(spark, sf, TINY, FINE, COARSE)
-    fine = cut(plan.fine_features(fine_bars, FINE))
-    rows = plan.feature_core(plan.align(fine, plan.coarse_features(coarse_bars, COARSE), FINE))
-    hits = plan.triggers(rows, plan.context_from_fine(fine, LEAD, SECOND, FINE), FINE)
-    return tiny, cut(hits)
+    tiny, fine, coarse = frames(spark, sf, TINY, FINE, COARSE)
+    return tiny, backtest.find_triggers(fine, coarse, FINE, COARSE, LEAD, SECOND)
 
 
 @query("w21_edge_trigger", f"SELECT trigger_id, symbol, bias, asof_ms, price, swing_score, swing_quality_score_v1, quality_bucket, market_regime, {RS} FROM trigger_rows")

@@ -8,7 +8,7 @@ from barlytics.catalog.base import COARSE, DAY, FINE, HOUR, LEAD, SECOND, TINY,
 from barlytics.catalog.market import HORIZON, R9, ml_rows, trigger_rows
 from barlytics.functions import scalar as sc
 from barlytics.operators import cohorts, grid, labels as lab
-from barlytics.operators.indicators import numbered
+from barlytics.plans import backtest
 from barlytics.session import cut
 
 # Fixture prices span about 5 %, so barriers and horizons are smaller and longer
@@ -66,8 +66,8 @@ def facts(spark, sf, window: str = "open"):
 
 
 def outcomes(spark, sf):
-    f = lab.complete_anchors(facts(spark, sf), HORIZONS, DAY)
-    return lab.horizon_table(f, "trigger_id", TARGET, STOPS, HORIZONS, carry=CARRY)
+    tiny, hits = trigger_rows(spark, sf)
+    return backtest.label_triggers(hits, tiny, TINY, TARGET, STOPS, HORIZONS, BUCKET)
 
 
 ID = ["trigger_id", "horizon_ms"]

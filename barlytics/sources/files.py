@@ -104,13 +104,20 @@ def read_events(spark: SparkSession, path: str, event: str, keep: str = "last")
     return ok.groupBy("trigger_id").agg(pick(F.struct(*values), order).alias("v")).select("trigger_id", "v.*")
 
 
-def _explode_scan(docs: DataFrame) -> DataFrame:
+def _explode_scan(docs: DataFrame, overlay: bool = False) -> DataFrame:
+    """Candidates of scan documents; ``overlay`` keeps one row per pair.
+
+    A pair in both sections then keeps its trade row.
+    """
     head = ["generated_at_ms", "cache_age_seconds", F.coalesce("thresholds.minimum_candidate_score", F.lit(78.0)).alias("threshold")]
     # The later section wins when a pair is in both.
     both = F.concat(
         F.transform(F.coalesce("watchlist", F.array()), lambda c: F.struct(F.lit(0).alias("section"), c.alias("c"))),
         F.transform(F.coalesce("trade_candidates", F.array()), lambda c: F.struct(F.lit(1).alias("section"), c.alias("c"))),
     )
+    if overlay:
+        pairs = F.transform(F.filter(both, lambda x: x["section"] == 1), lambda x: x["c"]["pair"])
+        both = F.filter(both, lambda x: (x["section"] == 1) | ~F.coalesce(F.array_contains(pairs, x["c"]["pair"]), F.lit(False)))
     return docs.select(*head, F.explode_outer(both).alias("x")).select("generated_at_ms", "cache_age_seconds", "threshold", "x.section", "x.c.*")
 
 
@@ -125,8 +132,8 @@ def read_scan_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_scans(spark: SparkSession, path: str) -> DataFrame:
-    """Scan documents arriving in a landing folder."""
-    return _explode_scan(spark.readStream.schema(S.SCAN).option("multiLine", "true").json(path))
+    """Scan documents arriving in a landing folder, one row per pair."""
+    return _explode_scan(spark.readStream.schema(S.SCAN).option("multiLine", "true").json(path), overlay=True)
 
 
 def read_swing_scan(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from barlytics.session import shared_dir
+from barlytics.session import prepare, shared_dir
 
 
 class KeyedMachine(StatefulProcessor):
@@ -43,6 +43,7 @@ class KeyedMachine(StatefulProcessor):
 
 def stateful(stream: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
     """Attach a state machine to a stream of rows."""
+    prepare(stream.sparkSession)
     names = [f.name for f in T._parse_datatype_string(schema).fields]
     return stream.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=KeyedMachine(step, order, names), outputStructType=T._parse_datatype_string(schema),
@@ -78,15 +79,27 @@ def table_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _run_available(writer, spark: SparkSession) -> None:
+    """Run a stream over what is there, with one state partition per core.
+
+    The number of state partitions is fixed when a stream first starts, so it
+    follows the cluster, not the default of batch shuffles.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there into a table and read the table."""
     spark = stream.sparkSession
     out = table_dir(spark, name)
-    q = (
-        stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/offsets")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    writer = stream.writeStream.format("parquet").option("path", f"{out}/data").outputMode("append")
+    _run_available(writer.option("checkpointLocation", f"{out}/offsets"), spark)
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
@@ -97,11 +110,8 @@ def run_batches(stream: DataFrame, name: str, job: Callable[[DataFrame, int, str
     overwrites its own rows.
     """
     out = table_dir(stream.sparkSession, name)
-    q = (
-        stream.writeStream.foreachBatch(lambda df, i: job(df, i, f"{out}/data"))
-        .option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    writer = stream.writeStream.foreachBatch(lambda df, i: job(df, i, f"{out}/data"))
+    _run_available(writer.option("checkpointLocation", f"{out}/offsets"), stream.sparkSession)
     return f"{out}/data"
 
 
