@@ -48,17 +48,15 @@ def t01(spark, sf):
     return _confirm_view(mc.batch(mc.confirm_and_monitor(cooldown_ms=COOLDOWN), rows, ["pair"], ["scan_ms"], mc.CONFIRM_EVENTS))
 
 
-def _stream(rows, name: str, time: str):
-    """A table arriving in a few files, in time order, as a stream."""
-    path = streams.land(rows, name, time)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(f"{path}/part=*")
+def _machine(rows, name: str, keys, order, step, schema: str):
+    """A table arriving in time order through a streaming state machine."""
+    return streams.arrive(cut(rows), name, order[0], lambda s: streams.stateful(s, keys, order, step, schema))
 
 
 @query("t01_confirm_and_monitor_stream", CONFIRM)
 def t01s(spark, sf):
-    rows = _stream(cut(mc.confirm_input(candidates(spark, sf))), "confirm", "scan_ms")
-    ev = streams.stateful(rows, ["pair"], ["scan_ms"], mc.confirm_and_monitor(cooldown_ms=COOLDOWN), mc.CONFIRM_EVENTS)
-    return _confirm_view(streams.drain(ev, "confirm-events"))
+    rows = mc.confirm_input(candidates(spark, sf))
+    return _confirm_view(_machine(rows, "confirm", ["pair"], ["scan_ms"], mc.confirm_and_monitor(cooldown_ms=COOLDOWN), mc.CONFIRM_EVENTS))
 
 
 FP = "concat_ws('|', current_price, spot_buy_sell_ratio_1h, spot_net_flow_1h_usd, coalesce(CAST(spot_volume_1h_usd AS VARCHAR), ''), oi_change_15m_pct, oi_change_1h_pct, price_change_1h_spot_pct)"
@@ -102,9 +100,8 @@ def t02(spark, sf):
 
 @query("t02_arm_confirm_manage_stream", ARM)
 def t02s(spark, sf):
-    rows = _stream(cut(mc.arm_input(candidates(spark, sf))), "arm", "scan_ms")
-    ev = streams.stateful(rows, ["pair"], ["scan_ms"], mc.arm_confirm_manage(ttl_ms=TTL), mc.ARM_EVENTS)
-    return _arm_view(streams.drain(ev, "arm-events"))
+    rows = mc.arm_input(candidates(spark, sf))
+    return _arm_view(_machine(rows, "arm", ["pair"], ["scan_ms"], mc.arm_confirm_manage(ttl_ms=TTL), mc.ARM_EVENTS))
 
 
 LAGS = "lag(setup_state) OVER z AS ls, lag(bias) OVER z AS lb"
@@ -129,8 +126,7 @@ def t03(spark, sf):
 
 @query("t03_swing_events_stream", SWINGS)
 def t03s(spark, sf):
-    rows = _stream(cut(_scans(spark, sf)), "scans", "timestamp_ms")
-    return streams.drain(streams.stateful(rows, ["symbol"], ["timestamp_ms"], mc.swing_step, mc.SWING_EVENTS), "swing-events")
+    return _machine(_scans(spark, sf), "scans", ["symbol"], ["timestamp_ms"], mc.swing_step, mc.SWING_EVENTS)
 
 
 # --- paper account: every setup row is a signal ----------------------------
@@ -169,8 +165,8 @@ def t05(spark, sf):
 
 @query("t05_track_open_positions_stream")
 def t05s(spark, sf):
-    rows = _stream(cut(_paper_rows(spark, sf)), "paper", "at_ms")
-    ev = streams.drain(streams.stateful(rows, ["symbol"], ["at_ms", "turn", "id"], mc.paper_trader(TINY, 2.0, 2.5, 20 * DAY), mc.PAPER_EVENTS), "paper-events")
+    step = mc.paper_trader(TINY, 2.0, 2.5, 20 * DAY)
+    ev = _machine(_paper_rows(spark, sf), "paper", ["symbol"], ["at_ms", "turn", "id"], step, mc.PAPER_EVENTS)
     return ev.filter("kind = 'OUTCOME'").select("symbol", "id", "side", "timestamp_ms", "entry_ms", "status")
 
 
@@ -225,5 +221,4 @@ def t13(spark, sf):
         rows = lab.horizon_table(facts, "trigger_id", TARGET, STOPS[:1], HORIZONS).join(due.select("trigger_id", "horizon_ms"), ["trigger_id", "horizon_ms"])
         rows.select("trigger_id", "horizon_ms", "result").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    done = streams.run_batches(_stream(a, "triggers", "asof_ms"), "matured", job)
-    return spark.read.parquet(done).select("trigger_id", "horizon_ms", "result")
+    return streams.arrive(a, "matured", "asof_ms", job=job).select("trigger_id", "horizon_ms", "result")

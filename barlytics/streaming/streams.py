@@ -103,25 +103,30 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-def run_batches(stream: DataFrame, name: str, job: Callable[[DataFrame, int, str], None]) -> str:
-    """Run ``job(batch, batch_id, table)`` for each micro-batch; returns the table.
-
-    The table folder of a batch is named by its id, so a repeated batch
-    overwrites its own rows.
+def arrive(
+    df: DataFrame, name: str, time: str, attach: Callable[[DataFrame], DataFrame] = lambda s: s,
+    job: Callable[[DataFrame, int, str], None] | None = None, parts: int = 2,
+) -> DataFrame:
+    """Let a table arrive as ``parts`` deliveries in time order; read the result.
+
+    After each delivery the stream runs over what is new and stops, so a key
+    never sees rows of a later delivery first, and every delivery but the first
+    resumes from the checkpoint. With ``job`` each micro-batch goes to
+    ``job(batch, batch_id, table)``, which names its folder by the batch id so
+    that a repeated batch overwrites its own rows.
     """
-    out = table_dir(stream.sparkSession, name)
-    writer = stream.writeStream.foreachBatch(lambda df, i: job(df, i, f"{out}/data"))
-    _run_available(writer.option("checkpointLocation", f"{out}/offsets"), stream.sparkSession)
-    return f"{out}/data"
-
-
-def land(df: DataFrame, name: str, time: str, parts: int = 3) -> str:
-    """Write a table as ``parts`` files groups in time order, like arriving scans."""
-    out = table_dir(df.sparkSession, name)
-    cuts = [c for c in df.agg(F.percentile_approx(time, [i / parts for i in range(1, parts)])).first()[0]]
-    edges = [None, *cuts, None]
+    spark = df.sparkSession
+    out = table_dir(spark, name)
+    inner = df.agg(F.percentile_approx(time, [i / parts for i in range(1, parts)])).first()[0] or []
+    edges = [None, *inner, None]
     for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
         part = df if lo is None else df.filter(F.col(time) > lo)
         part = part if hi is None else part.filter(F.col(time) <= hi)
-        part.write.mode("append").parquet(f"{out}/part={i}")
-    return out
+        part.write.parquet(f"{out}/landing/part={i}")
+        events = attach(spark.readStream.schema(df.schema).parquet(f"{out}/landing/part=*"))
+        if job is None:
+            writer = events.writeStream.format("parquet").option("path", f"{out}/data").outputMode("append")
+        else:
+            writer = events.writeStream.foreachBatch(lambda batch, i: job(batch, i, f"{out}/data"))
+        _run_available(writer.option("checkpointLocation", f"{out}/offsets"), spark)
+    return spark.read.schema(events.schema).parquet(f"{out}/data") if job is None else spark.read.parquet(f"{out}/data")

@@ -269,9 +269,8 @@ def test_stream_equals_batch_over_many_triggers(spark):
     ):
         df = mk(spark.createDataFrame(rows, CAND))
         want = sorted(map(str, mc.batch(step, df, ["pair"], ["scan_ms"], schema).collect()))
-        path = streams.land(df, "test", "scan_ms", parts=4)
-        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/part=*")
-        got = sorted(map(str, streams.drain(streams.stateful(stream, ["pair"], ["scan_ms"], step, schema), "test").collect()))
+        got = streams.arrive(df, "test", "scan_ms", lambda s: streams.stateful(s, ["pair"], ["scan_ms"], step, schema), parts=4)
+        got = sorted(map(str, got.collect()))
         assert got == want and want
 
 
