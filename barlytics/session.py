@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,19 +39,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables.
+    """The folder for checkpoints and intermediate tables, shared by all executors.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a machine-local temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset, a folder
+    inside the session's warehouse is set.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(configured)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_work")
     return sc.getCheckpointDir()
 
 
