@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from barlytics.llm import host_quality, licenses, packing, token_counts, toxicity, url_rules
+from barlytics.llm import host_quality, licenses, packing, simhash, token_counts, toxicity, url_rules
 from barlytics.llm.tables import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+def op4_simhash_groups(spark, sf_dir):
+    return simhash.groups(read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -41,7 +45,10 @@ def op10_host_quality(spark, sf_dir):
     return host_quality.judge(read(spark, sf_dir, "documents")).drop("host_rejected")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_packing, op6_toxicity, op7_licenses, op8_url_rules, op10_host_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (op3_token_counts, op4_simhash_groups, op5_packing, op6_toxicity, op7_licenses, op8_url_rules, op10_host_quality)
+}
 
 _HOST = "translate(regexp_extract(substring(url, position('://' IN url) + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(substring(url, position('://' IN url) + 3), '^[^/?#]*([^?#]*)', 1)"

@@ -1,0 +1 @@
+"""Fixtures of the parent folder, and small tables."""
