@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from barlytics.llm import host_quality, licenses, packing, simhash, token_counts, toxicity, url_rules
-from barlytics.llm.tables import read
+from barlytics.llm import host_quality, huffman, licenses, packing, simhash, token_counts, toxicity, url_rules
+from barlytics.llm.tables import new_path, read
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -14,6 +14,12 @@ PIECE_BPE = "piece_bpe_32k.model"
 TOXIC = 0.7
 
 
+def op1_huffman_ids(spark, sf_dir):
+    path = new_path(spark, "huffman")
+    huffman.write(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), path)
+    return huffman.read_digests(spark, path)
+
+
 def op3_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
@@ -47,7 +53,10 @@ def op10_host_quality(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_token_counts, op4_simhash_groups, op5_packing, op6_toxicity, op7_licenses, op8_url_rules, op10_host_quality)
+    for f in (
+        op1_huffman_ids, op3_token_counts, op4_simhash_groups, op5_packing, op6_toxicity, op7_licenses, op8_url_rules,
+        op10_host_quality,
+    )
 }
 
 _HOST = "translate(regexp_extract(substring(url, position('://' IN url) + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
