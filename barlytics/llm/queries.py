@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from barlytics.llm import host_quality, huffman, licenses, packing, simhash, token_counts, toxicity, url_rules
+from barlytics.llm import decontamination, host_quality, huffman, licenses, main_text, packing, simhash, token_counts, toxicity, url_rules
 from barlytics.llm.tables import new_path, read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op1_huffman_ids(spark, sf_dir):
     return huffman.read_digests(spark, path)
 
 
+def op2_main_text(spark, sf_dir):
+    return main_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
@@ -47,6 +51,10 @@ def op8_url_rules(spark, sf_dir):
     return url_rules.judge(read(spark, sf_dir, "pages")).drop("pattern")
 
 
+def op9_decontamination(spark, sf_dir):
+    return decontamination.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_host_quality(spark, sf_dir):
     return host_quality.judge(read(spark, sf_dir, "documents")).drop("host_rejected")
 
@@ -54,8 +62,8 @@ def op10_host_quality(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_huffman_ids, op3_token_counts, op4_simhash_groups, op5_packing, op6_toxicity, op7_licenses, op8_url_rules,
-        op10_host_quality,
+        op1_huffman_ids, op2_main_text, op3_token_counts, op4_simhash_groups, op5_packing, op6_toxicity, op7_licenses,
+        op8_url_rules, op9_decontamination, op10_host_quality,
     )
 }
 
