@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from barlytics.llm import crf
 from barlytics.llm.html_blocks import Block, blocks
-from barlytics.llm.tables import slices, strings
+from barlytics.llm.tables import drawn, slices, strings
 
 #: Expected number of pages whose fragments the labelled pages are composed of, at most.
 MAX_SAMPLE = 200
@@ -198,8 +198,8 @@ def fit(pages: DataFrame, max_sample: int = MAX_SAMPLE, n_labelled: int = LABELL
     n = pages.count()
     rate = min(1.0, max_sample / max(n, 1))
     draw = F.xxhash64(F.lit("pages"), F.col("page_id"), F.col("url"))
-    drawn = pages.filter(F.col("html").isNotNull() & (draw <= int(rate * (2**64 - 1)) - 2**63)).select("html").sort("html")
-    found = [b.text for row in drawn.collect() for b in blocks(row["html"])]
+    sample = pages.filter(F.col("html").isNotNull() & drawn(draw, rate)).select("html").sort("html")
+    found = [b.text for row in sample.collect() for b in blocks(row["html"])]
     return crf.train(labelled(sorted(set(found)) or FILLER, n_labelled))
 
 

@@ -94,7 +94,7 @@ class Packer:
         row, room = [], self._size(left)
         for doc_id, start, ids, total in rest:
             while len(ids):
-                if not last and left < self.window:
+                if not last and not row and left < self.window:
                     self._place((doc_id, start, ids, total))
                     break
                 part = ids[:room]

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from barlytics.session import shared_dir
 
@@ -38,3 +38,8 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drawn(hashed: Column, share: float) -> Column:
+    """True for ``share`` of all values of a signed 64-bit hash."""
+    return hashed <= min(int(share * 2**64) - 2**63, 2**63 - 1)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlytics.llm.tables import SLICE, slices, strings
+from barlytics.llm.tables import SLICE, drawn, slices, strings
 
 BITS = 20
 PLACES = 1 << BITS
@@ -96,9 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("__y"))
     draw = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     rate = min(1.0, max_train / max(known.count(), 1))
-    if rate < 1:
-        known = known.filter(draw <= int(rate * (2**64 - 1)) - 2**63)
-    rows = known.join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").isNotNull())
+    rows = known.filter(drawn(draw, rate)).join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").isNotNull())
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = []
