@@ -12,6 +12,7 @@ helpers here give the same results with partitions of bounded length:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -152,6 +153,23 @@ def prefix(
     return out.drop(*helper)
 
 
+#: Natural logarithm up to which a weight may grow inside a block, and the one at which
+#: what is left of an earlier block is below the smallest double.
+GROWTH, VANISHED = 345.0, 1085.0
+
+
+def fold_blocks(decay: float, block_rows: int | None = None) -> tuple[int, int]:
+    """Rows of a block, and the number of later blocks on which a block still acts.
+
+    Weights inside a block grow as ``decay ** -row``, so a block is short where values
+    fade fast; where they fade slowly it is long enough that few blocks act.
+    """
+    fade = -math.log(decay)
+    longest = max(int(GROWTH / fade), 1)
+    rows = min(longest, block_rows or max(65_536, math.ceil(VANISHED / fade / 256)))
+    return rows, math.ceil(VANISHED / fade / rows)
+
+
 def fold_linear(
     df: DataFrame,
     keys,
@@ -159,64 +177,41 @@ def fold_linear(
     decay: float,
     gain: float,
     seed_rows: int,
-    block_rows: int = 1_024,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Recurrence ``y = decay * y_before + gain * x`` per key, over ``pos``.
 
     ``columns`` maps each output to its input. The first value, at row
     ``seed_rows - 1``, is the mean of the first ``seed_rows`` inputs; earlier
-    rows give null. Rows before a block act on it only through the value at its
-    start, so blocks are folded on their own, the block results are chained
-    (one row per block), and each block is replayed from its start value. An
-    array never holds more than one block, or one entry per block.
+    rows give null. Inside a block ``y`` is ``decay ** row`` times a running sum of
+    inputs weighted with ``decay ** -row``. A block's total is one small row, sent to
+    the few later blocks where it is still above the smallest double. Work is
+    linear, no window holds more than a block, and nothing is gathered by key.
 
     Returns the keys, ``pos`` and the outputs.
     """
     keys = list(keys)
-    seeded = F.col(POS) >= seed_rows
-    weight = F.when(seeded, F.lit(gain)).otherwise(F.lit(1.0 / seed_rows))
-    item = F.struct(
-        F.col(POS).alias("p"),
-        F.when(seeded, F.lit(decay)).otherwise(F.lit(1.0)).alias("a"),
-        F.array(*[weight * F.col(c) for c in columns.values()]).alias("b"),
-    )
-    blocks = (
-        df.select(*keys, F.floor(F.col(POS) / block_rows).alias("_block"), item.alias("_item"))
-        .groupBy(*keys, "_block").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
-    )
-    zero = F.array(*[F.lit(0.0) for _ in columns])
-    advance = lambda y, i: F.zip_with(y, i["b"], lambda u, v: u * i["a"] + v)
-    blocks = blocks.withColumn(
-        "_f",
-        F.aggregate(
-            "_items", F.struct(F.lit(1.0).alias("a"), zero.alias("b")),
-            lambda s, i: F.struct((s["a"] * i["a"]).alias("a"), advance(s["b"], i).alias("b")),
-        ),
-    )
-    chain = blocks.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_block").alias("n"), F.col("_f.a").alias("a"), F.col("_f.b").alias("b")))).alias("_fs")
-    )
-
-    def scan(items, start, name, kind):
-        """Array of the running values, each before or after its item."""
-        empty = F.array().cast(f"array<struct<{name}:bigint,y:array<double>>>")
-        def step(s, i):
-            after = advance(s["y"], i)
-            shown = s["y"] if kind == "before" else after
-            return F.struct(
-                after.alias("y"),
-                F.concat(s["out"], F.array(F.struct(i[name].alias(name), shown.alias("y")))).alias("out"),
-            )
-        return F.aggregate(items, F.struct(start.alias("y"), empty.alias("out")), step, lambda s: s["out"])
-
-    starts = chain.select(*keys, F.explode(scan("_fs", zero, "n", "before")).alias("_s")).select(
-        *keys, F.col("_s.n").alias("_block"), F.col("_s.y").alias("_start")
-    )
-    series = blocks.join(starts, [*keys, "_block"]).select(
-        *keys, F.explode(scan("_items", F.col("_start"), "p", "after")).alias("_y")
+    if decay == 0:
+        if seed_rows > 1:
+            raise ValueError("a mean without memory has a seed of one row")
+        own = lambda c: F.when(F.col(POS) == 0, F.col(c)).otherwise(F.col(c) * gain)
+        return df.select(*keys, POS, *[own(c).alias(o) for o, c in columns.items()])
+    rows, reach = fold_blocks(decay, block_rows)
+    step = F.greatest(F.col(POS) - (seed_rows - 1), F.lit(0))
+    weight = F.when(F.col(POS) >= seed_rows, F.lit(gain)).otherwise(F.lit(1.0 / seed_rows))
+    base = df.select(
+        *keys, POS, F.floor(step / rows).alias("_block"), F.pmod(step, F.lit(rows)).alias("_row"),
+        *[(weight * F.col(c) * F.pow(F.lit(decay), -F.pmod(step, F.lit(rows)))).alias(f"_b_{o}") for o, c in columns.items()],
     )
-    ready = F.col("_y.p") >= seed_rows - 1
-    return series.select(
-        *keys, F.col("_y.p").alias(POS),
-        *[F.when(ready, F.col("_y.y")[k]).alias(out) for k, out in enumerate(columns)],
+    ahead = F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_ahead")
+    totals = base.groupBy(*keys, "_block").agg(*[F.sum(f"_b_{o}").alias(f"_b_{o}") for o in columns])
+    carry = totals.select("*", ahead).select(
+        *keys, (F.col("_block") + F.col("_ahead")).alias("_block"),
+        *[(F.col(f"_b_{o}") * F.pow(F.lit(decay), F.col("_ahead") * float(rows))).alias(f"_c_{o}") for o in columns],
+    ).groupBy(*keys, "_block").agg(*[F.sum(f"_c_{o}").alias(f"_c_{o}") for o in columns])
+    inside = Window.partitionBy(*keys, "_block").orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    local = base.withColumns({f"_b_{o}": F.sum(f"_b_{o}").over(inside) for o in columns})
+    value = lambda o: F.pow(F.lit(decay), F.col("_row")) * (F.col(f"_b_{o}") + F.coalesce(f"_c_{o}", F.lit(0.0)))
+    return local.join(carry, [*keys, "_block"], "left").select(
+        *keys, POS, *[F.when(F.col(POS) >= seed_rows - 1, value(o)).alias(o) for o in columns]
     )

@@ -145,7 +145,7 @@ def numbered(bars: DataFrame, step: int, keys=("symbol",), time="open_time_ms",
     )
 
 
-def ema(bars: DataFrame, period: int, step: int, col="close", out="ema", keys=("symbol",), block_rows=1_024) -> DataFrame:
+def ema(bars: DataFrame, period: int, step: int, col="close", out="ema", keys=("symbol",), block_rows=None) -> DataFrame:
     """Exponential mean seeded by the plain mean of the first ``period`` values.
 
     Returns the keys, ``pos`` and the mean, null until the seed.
@@ -155,7 +155,7 @@ def ema(bars: DataFrame, period: int, step: int, col="close", out="ema", keys=("
     return fold_linear(df, keys, {out: col}, 1.0 - alpha, alpha, period, block_rows)
 
 
-def rsi_wilder(bars: DataFrame, step: int, n: int = 14, col="close", out="rsi", keys=("symbol",), block_rows=1_024) -> DataFrame:
+def rsi_wilder(bars: DataFrame, step: int, n: int = 14, col="close", out="rsi", keys=("symbol",), block_rows=None) -> DataFrame:
     """RSI with Wilder smoothing for the rows from ``pos`` 1, null up to ``n``.
 
     The smoothing is a linear recurrence, so it runs through ``fold_linear``
