@@ -31,7 +31,7 @@ MAX_BITS = 16
 #: Ids of a block, and of a segment at least (it ends with the document that reaches it).
 BLOCK, SEGMENT = 1024, 1 << 16
 #: Ids of a file, roughly.
-FILE = 1 << 25
+FILE = 1 << 23
 
 SEGMENTS = (
     "part int, number long, start long, n_ids long, doc_ids binary, null_ids binary, lengths binary, "
