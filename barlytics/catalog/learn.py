@@ -77,27 +77,34 @@ def _model_rows(spark, sf):
     return cut(ev.purged_split(ev.clean_dataset(df, MODEL_FEATURES, "y", "ret"), gap_ms=24 * HOUR))
 
 
-def _fitted(rows):
-    return ev.fit_classifier(rows.filter("split = 'train'"), MODEL_FEATURES, "y", max_iter=8)
+_models: dict[tuple[str, str], object] = {}
+
+
+def _fitted(rows, sf):
+    """The classifier with all its trees, fitted once per session and folder."""
+    key = (rows.sparkSession.sparkContext.applicationId, sf)
+    if key not in _models:
+        _models[key] = ev.fit_classifier(rows.filter("split = 'train'"), MODEL_FEATURES, "y")
+    return _models[key]
 
 
 @query("m03_fit_classifier")
 def m03(spark, sf):
     rows = _model_rows(spark, sf)
-    scored_rows = ev.predict(_fitted(rows), rows, MODEL_FEATURES)
+    scored_rows = ev.predict(_fitted(rows, sf), rows, MODEL_FEATURES)
     return ev.roc_auc(scored_rows, by=["split"]).join(ev.average_precision(scored_rows, by=["split"]).drop("n"), "split")
 
 
 @query("m10_permutation_importance")
 def m10(spark, sf):
     rows = _model_rows(spark, sf)
-    return ev.permutation_importance(_fitted(rows), rows.filter("split = 'val'"), MODEL_FEATURES, "y", "doc_id")
+    return ev.permutation_importance(_fitted(rows, sf), rows.filter("split = 'val'"), MODEL_FEATURES, "y", "doc_id")
 
 
 @query("m11_model_promotable")
 def m11m(spark, sf):
     rows = _model_rows(spark, sf)
-    s = cut(ev.predict(_fitted(rows), rows, MODEL_FEATURES))
+    s = cut(ev.predict(_fitted(rows, sf), rows, MODEL_FEATURES))
     val, test = s.filter("split = 'val'"), s.filter("split = 'test'")
     best = ev.choose_threshold(ev.threshold_metrics(val, ev.THRESHOLDS), val)
     return ev.promotable(ev.threshold_metrics(test, F.array(best.select("threshold").scalar())))
@@ -106,7 +113,7 @@ def m11m(spark, sf):
 # --- threshold metrics -----------------------------------------------------
 
 GAP = 12 * HOUR
-TH = [round(0.02 * i, 3) for i in range(1, 20)]
+TH = ev.THRESHOLDS
 
 
 def cooled(rows: str, keys: str, t: str, gap: int, tie: str, name: str) -> str:

@@ -114,7 +114,7 @@ def choose_threshold(metrics: DataFrame, df: DataFrame, p: str = "p", min_alerts
     good = (F.col("alerts") >= min_alerts) & (F.col("avg_return") > 0)
     # Equal on all three: the lowest threshold, as a forward search would pick.
     rank = F.struct("precision", "avg_return", -F.col("coverage"), -F.col("threshold"))
-    fallback = df.agg(F.greatest(F.lit(0.5), F.least(F.lit(0.95), F.percentile(p, F.lit(0.9))))).scalar()
+    fallback = exact_quantiles(df, p, [0.9]).select(F.greatest(F.lit(0.5), F.least(F.lit(0.95), F.col("p90")))).scalar()
     return metrics.agg(
         F.max_by("threshold", F.when(good, rank)).alias("_t"), F.count_if(good).alias("eligible")
     ).select(F.coalesce("_t", fallback).alias("threshold"), "eligible")
@@ -150,16 +150,16 @@ def average_precision(df: DataFrame, p: str = "p", y: str = "y", by=(), bins: in
 
 def top_quantile_slices(df: DataFrame, qs=(0.90, 0.95, 0.98), p: str = "p", **kw) -> DataFrame:
     """Alert metrics at the score quantiles, labelled by the share on top."""
-    cut_points = df.agg(F.percentile(p, F.array(*[F.lit(q) for q in qs])).alias("c")).select("c").scalar()
-    m = threshold_metrics(df, cut_points, p, **kw)
-    names = df.agg(F.percentile(p, F.array(*[F.lit(q) for q in qs])).alias("c")).select(
-        F.explode(F.arrays_zip(F.array(*[F.lit(f"top_{int(round((1 - q) * 100))}pct") for q in qs]).alias("slice"), F.col("c").alias("threshold"))).alias("z")
-    ).select("z.slice", "z.threshold")
+    points = cut(exact_quantiles(df, p, list(qs)))
+    cut_points = F.array(*[F.col(f"p{int(round(q * 100))}") for q in qs])
+    m = threshold_metrics(df, points.select(cut_points).scalar(), p, **kw)
+    slices = F.array(*[F.lit(f"top_{int(round((1 - q) * 100))}pct") for q in qs])
+    names = points.select(F.explode(F.arrays_zip(slices.alias("slice"), cut_points.alias("threshold"))).alias("z")).select("z.slice", "z.threshold")
     return names.join(m, "threshold")
 
 
 def permutation_importance(
-    model: GBTClassificationModel, df: DataFrame, features: list[str], y: str, row_id: str, repeats: int = 3, top: int = 20, bins: int = 64,
+    model: GBTClassificationModel, df: DataFrame, features: list[str], y: str, row_id: str, repeats: int = 3, top: int | None = None, bins: int = 64,
 ) -> DataFrame:
     """Drop in average precision when one feature is shuffled among the rows.
 
@@ -168,24 +168,26 @@ def permutation_importance(
     """
     base = df.select(F.col(row_id).alias("_id"), F.col(y).alias("_y"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
     trials = F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1))).alias("_trial")
-    wide = base.select("*", trials).withColumn("_h", F.xxhash64("_id", "_trial"))
+    which = F.floor(F.col("_trial") / repeats).cast("int")
+    # Only the one value that a trial moves goes through the shuffle.
+    value = F.element_at("_x", which + 1)
+    wide = base.select("_id", "_x", trials).select("_trial", F.xxhash64("_id", "_trial").alias("_h"), "_id", value.alias("_from"))
     width = 2**64 // bins
-    inside = F.floor(F.col("_h") / F.lit(float(width)))
-    donors = with_position(wide.select("_trial", "_h", "_id", "_x"), ["_trial"], "_h", inside)
+    donors = with_position(wide, ["_trial"], "_h", F.floor(F.col("_h") / F.lit(float(width))))
     order = with_position(base.select("_id", "_y", "_x").withColumn("_o", F.xxhash64("_id")), [], "_o", F.floor(F.col("_o") / F.lit(float(width))))
-    takers = order.select("pos", "_id", "_y", "_x", trials)
-    which = F.floor(F.col("_trial") / repeats).cast("int")
-    j = takers.join(donors.select("_trial", "pos", F.col("_x").alias("_from")), ["_trial", "pos"])
-    mixed = F.transform("_x", lambda v, i: F.when(i == which, F.element_at("_from", which + 1)).otherwise(v))
+    pairs = cut(order.select("pos", "_id", trials).join(donors.select("_trial", "pos", "_from"), ["_trial", "pos"]).select("_id", "_trial", "_from"))
+    mixed = F.transform("_x", lambda v, i: F.when(i == which, F.col("_from")).otherwise(v))
+    j = pairs.join(base, "_id")
     shuffled = predict_array(model, j.select("_trial", "_y", mixed.alias("_x")))
     scores = average_precision(shuffled, "p", "_y", ["_trial"]).withColumn("_f", which)
     usual = average_precision(predict_array(model, base), "p", "_y").select("average_precision").scalar()
     names = F.array(*[F.lit(c) for c in features])
-    return (
+    ranked = (
         scores.groupBy("_f").agg(F.avg("average_precision").alias("_ap"))
         .select(F.element_at(names, F.col("_f") + 1).alias("feature"), (usual - F.col("_ap")).alias("importance"))
-        .orderBy(F.desc("importance"), "feature").limit(top)
+        .orderBy(F.desc("importance"), "feature")
     )
+    return ranked if top is None else ranked.limit(top)
 
 
 def predict_array(model: GBTClassificationModel, df: DataFrame, x: str = "_x") -> DataFrame:

@@ -8,7 +8,7 @@ then decide every (target, stop, horizon) combination without another join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlytics.functions.scalar import _c, clamp, directional_return
 from barlytics.operators.grid import ceil_bucket
@@ -232,7 +232,7 @@ def with_runs(bars: DataFrame, step: int) -> DataFrame:
 
 def gap_aware_exit(
     trades: DataFrame, bars: DataFrame, step: int, now: Column, target: float = 5.0, stop: float = 6.0,
-    first_window: int = 288, growth: int = 4, max_rounds: int = 12,
+    first_window: int = 288, growth: int = 4,
 ) -> DataFrame:
     """Exit of each paper trade at its first deciding bar.
 
@@ -259,7 +259,7 @@ def gap_aware_exit(
     live = cut(live.withColumn("_mae", F.lit(0.0)).withColumn("_mfe", F.lit(0.0)))
 
     decided, window = [], first_window
-    for _ in range(max_rounds):
+    while True:  # every round moves the open trades towards the end of their run
         until = F.least(F.col("_from") + F.lit(window * step), F.col("_run_end") + 1)
         pairs = forward_join(live.withColumnRenamed("_run", "_r"), closed, F.col("_from"), until, first_window * step)
         pairs = pairs.filter(F.col("bar.run_id") == F.col("_r"))
@@ -280,12 +280,11 @@ def gap_aware_exit(
             F.when(won, "TARGET").when(both, "AMBIGUOUS_LOSS").otherwise("STOP").alias("_status"),
             F.when(gap_stop, F.least(F.lit(-stop), opening)).when(won, F.lit(target)).otherwise(F.lit(-stop)).alias("_gross"),
         )
-        first = pairs.groupBy("id").agg(
-            F.min("_x").alias("_exit"), F.min_by(F.struct("_status", "_gross"), "_x").alias("_o"),
-        )
-        known = pairs.join(first, "id").filter(F.col("_exit").isNull() | (F.col("_t") <= F.col("_exit")))
+        earlier = Window.partitionBy("id").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+        known = pairs.withColumn("_past", F.min("_x").over(earlier)).filter("_past is null")  # up to the deciding bar
         seen = known.groupBy("id").agg(
-            F.max("_adv").alias("_a"), F.max("_fav").alias("_f"), F.first("_exit").alias("_exit"), F.first("_o").alias("_o")
+            F.max("_adv").alias("_a"), F.max("_fav").alias("_f"), F.max("_x").alias("_exit"),
+            F.min_by(F.struct("_status", "_gross"), "_x").alias("_o"),
         )
         after = live.join(seen, "id", "left")
         after = after.withColumn("_mae", F.greatest("_mae", F.col("_a"))).withColumn("_mfe", F.greatest("_mfe", F.col("_f")))
@@ -303,8 +302,6 @@ def gap_aware_exit(
         if live.isEmpty():
             break
         window *= growth
-    else:
-        raise RuntimeError("trades stay open beyond the last window; raise max_rounds")
 
     out = decided[0]
     for d in decided[1:]:

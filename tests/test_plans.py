@@ -54,9 +54,9 @@ def candidate(pair, score, price):
     }
 
 
-def drop(path, at, watch, trades, cache=0):
+def drop(path, at, watch, trades, threshold=78, cache=0):
     path.mkdir(exist_ok=True)
-    doc = {"generated_at_ms": at, "cache_age_seconds": cache, "thresholds": {"minimum_candidate_score": 78}, "watchlist": watch, "trade_candidates": trades}
+    doc = {"generated_at_ms": at, "cache_age_seconds": cache, "thresholds": {"minimum_candidate_score": threshold}, "watchlist": watch, "trade_candidates": trades}
     (path / f"{at}.json").write_text(json.dumps(doc))
 
 
@@ -78,6 +78,21 @@ def test_live_scans(spark, tmp_path):
     assert state == {"A": 1.1, "B": 2.0}
 
 
+def test_each_scan_brings_its_threshold(spark, tmp_path):
+    """A strict scan refuses what a lenient one lets pass."""
+    landing, out = tmp_path / "scans", str(tmp_path / "out")
+    now, once = F.lit(1_000_000), {"availableNow": True}
+    for at, threshold in ((900_000, 90), (950_000, 90)):
+        drop(landing, at, [], [candidate("STRICT", 85, 1.0)], threshold)
+    for at, threshold in ((910_000, 70), (960_000, 70)):
+        drop(landing, at, [], [candidate("LENIENT", 75, 1.0)], threshold)
+    live.start_machine(spark, str(landing), out, "confirm", now, once).awaitTermination()
+    live.start_machine(spark, str(landing), out, "arm", now, once).awaitTermination()
+    shape = "event string, pair string, timestamp_ms long"
+    assert [tuple(r) for r in spark.read.schema(shape).json(f"{out}/confirm").collect()] == [("SIGNAL_CONFIRMED", "LENIENT", 960_000)]
+    assert {(r.event, r.pair) for r in spark.read.schema(shape).json(f"{out}/arm").collect()} == {("SHADOW_ARMED", "LENIENT")}
+
+
 def test_gate_fails_closed(spark):
     signals = spark.createDataFrame([(1, "MIXED", "50-59"), (2, "MIXED", None), (3, "RISK_ON", "50-59")], "id int, market_regime string, quality_bucket string")
     gate = spark.createDataFrame([("MIXED", "50-59")], "market_regime string, quality_bucket string")

@@ -298,6 +298,13 @@ def test_lookahead_check_finds_a_leak(spark):
         late = p.select("symbol", (F.col("asof_ms") + FINE).alias("asof_ms"))
         return features_at(f, c, late).withColumn("asof_ms", F.col("asof_ms") - FINE)
 
+    def far(f, c, p):
+        # reads one price 200 bars ahead
+        ahead = f.select("symbol", (F.col("close_time_ms") - 200 * FINE).alias("_t"), F.col("close").alias("_far"))
+        near = p.join(ahead, "symbol").filter(F.col("_t").between(F.col("asof_ms") - FINE, F.col("asof_ms"))).groupBy("symbol", "asof_ms").agg(F.max("_far").alias("_far"))
+        return features_at(f, c, p).join(near, ["symbol", "asof_ms"], "left").withColumn("price", F.coalesce("_far", "price")).drop("_far")
+
     check = lambda fn: {r.code for r in lookahead_check(fine, coarse, points, FINE, COARSE, fn, ["price"], ["bias"]).collect()}
     assert check(features_at) == set()
+    assert check(far) == {"LOOKAHEAD_LEAK_DETECTED"}
     assert "LOOKAHEAD_LEAK_DETECTED" in check(leaky) and "1H_FUTURE_CANDLE_USED" in check(leaky)
