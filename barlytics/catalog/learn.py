@@ -220,7 +220,7 @@ def t07(spark, sf):
 
 cte(
     "model_rows",
-    f"""SELECT *, row_number() OVER (PARTITION BY pair, side ORDER BY scan_ms) AS rn FROM (SELECT pair, scan_ms, bias AS side, [1.0::DOUBLE, {VECTOR}] AS x, CAST(pool_price > current_price AS DOUBLE) AS y,
+    f"""SELECT *, row_number() OVER (PARTITION BY pair, side ORDER BY known_ms, scan_ms) AS rn FROM (SELECT pair, scan_ms, scan_ms + (1 + (scan_ms // {HOUR}) % 5) * {HOUR} AS known_ms, bias AS side, [1.0::DOUBLE, {VECTOR}] AS x, CAST(pool_price > current_price AS DOUBLE) AS y,
   (pool_price / current_price - 1) * 100 / 6 AS reward FROM signals_next WHERE pool_price IS NOT NULL)""",
 )
 
@@ -229,6 +229,8 @@ def _online_rows(spark, sf):
     df = signals_next(spark, sf).filter("pool_price is not null")
     return df.select(
         "pair", F.col("bias").alias("side"), "scan_ms", F.col("scan_ms").alias("id"),
+        # The outcome is known one to five hours later, often after later scans.
+        (F.col("scan_ms") + (1 + F.floor(F.col("scan_ms") / HOUR) % 5) * HOUR).alias("known_ms"),
         sc.feature_vector(FEATURES, (10, 20, 30, 5, 3, 100)).alias("x"),
         (F.col("pool_price") > F.col("current_price")).cast("double").alias("y"),
         ((F.col("pool_price") / F.col("current_price") - 1.0) * 100.0 / 6.0).alias("reward_r"),
@@ -244,35 +246,41 @@ ZERO = "[0.0::DOUBLE, 0, 0, 0, 0, 0, 0]"
 DOT = " + ".join(f"w[{i}] * x[{i}]" for i in range(1, 8))
 
 
+KNOWN = """SELECT s.pair, s.side, s.scan_ms, s.x, count(l.rn) AS n FROM model_rows s
+  LEFT JOIN model_rows l ON l.pair = s.pair AND l.side = s.side AND l.known_ms <= s.scan_ms GROUP BY ALL"""
+_MW, _RX = DOT.replace("w[", "m.w[").replace("x[", "r.x["), DOT.replace("w[", "r.x[").replace("* x[", "* r.x[")
+
+
 @query(
     "t08_online_logistic",
-    f"""WITH RECURSIVE m(pair, side, rn, w, score) AS (
-  SELECT DISTINCT pair, side, 0::BIGINT, {ZERO}, NULL::DOUBLE FROM model_rows UNION ALL
-  SELECT pair, side, rn, {weights_sql('rate', '(y - p)')}, CASE WHEN rn > 30 THEN p END FROM (
-    SELECT m.pair, m.side, r.rn, m.w, r.x, r.y, 0.05 / sqrt(1 + (r.rn - 1) / 100.0) AS rate, 1 / (1 + exp(-greatest(-30, least(30, {DOT.replace('w[', 'm.w[').replace('x[', 'r.x[')})))) AS p
+    f"""WITH RECURSIVE m(pair, side, rn, w) AS (
+  SELECT DISTINCT pair, side, 0::BIGINT, {ZERO} FROM model_rows UNION ALL
+  SELECT pair, side, rn, {weights_sql('rate', '(y - p)')} FROM (
+    SELECT m.pair, m.side, r.rn, m.w, r.x, r.y, 0.05 / sqrt(1 + (r.rn - 1) / 100.0) AS rate, 1 / (1 + exp(-greatest(-30, least(30, {_MW})))) AS p
     FROM m JOIN model_rows r ON r.pair = m.pair AND r.side = m.side AND r.rn = m.rn + 1))
-SELECT m.pair, m.side, r.scan_ms AS id, m.rn AS model_n, round(m.score, 7) AS score, round(list_sum(m.w), 7) + 0.0 AS weight_sum FROM m JOIN model_rows r ON m.pair = r.pair AND m.side = r.side AND m.rn = r.rn""",
+SELECT r.pair, r.side, r.scan_ms AS id, r.n AS model_n, round(CASE WHEN r.n >= 30 THEN 1 / (1 + exp(-greatest(-30, least(30, {_MW})))) END, 7) AS score, round(list_sum(m.w), 7) + 0.0 AS weight_sum
+FROM ({KNOWN}) r JOIN m ON m.pair = r.pair AND m.side = r.side AND m.rn = r.n""",
 )
 def t08(spark, sf):
-    out = online.online_logistic(_online_rows(spark, sf), ["pair", "side"], ["scan_ms"])
+    out = online.online_logistic(_online_rows(spark, sf), ["pair", "side"], ["scan_ms"], "known_ms")
     total = F.aggregate("weights", F.lit(0.0), lambda a, v: a + v)
-    return rnd(out.select("pair", "side", "id", "model_n", "score", total.alias("weight_sum")), 7)
+    return rnd(out.select("pair", "side", "id", "model_n", "score", (total + 0.0).alias("weight_sum")), 7)
 
 
 @query(
     "t09_online_reward_regression",
-    f"""WITH RECURSIVE m(pair, side, rn, w, made) AS (
-  SELECT DISTINCT pair, side, 0::BIGINT, {ZERO}, NULL::DOUBLE FROM model_rows UNION ALL
-  SELECT pair, side, rn, {weights_sql('rate', 'err / norm')}, f FROM (SELECT *, greatest(-3, least(3, reward - f)) AS err FROM (
-    SELECT m.pair, m.side, r.rn, m.w, r.x, r.reward, 0.15 / sqrt(1 + (r.rn - 1) / 100.0) AS rate, greatest(1, {DOT.replace('w[', 'r.x[').replace('x[', 'x[').replace('* x[', '* r.x[').replace('r.r.', 'r.')}) AS norm,
-      greatest(-2, least(2, {DOT.replace('w[', 'm.w[').replace('x[', 'r.x[')})) AS f
+    f"""WITH RECURSIVE m(pair, side, rn, w) AS (
+  SELECT DISTINCT pair, side, 0::BIGINT, {ZERO} FROM model_rows UNION ALL
+  SELECT pair, side, rn, {weights_sql('rate', 'err / norm')} FROM (SELECT *, greatest(-3, least(3, reward - f)) AS err FROM (
+    SELECT m.pair, m.side, r.rn, m.w, r.x, r.reward, 0.15 / sqrt(1 + (r.rn - 1) / 100.0) AS rate, greatest(1, {_RX}) AS norm, greatest(-2, least(2, {_MW})) AS f
     FROM m JOIN model_rows r ON r.pair = m.pair AND r.side = m.side AND r.rn = m.rn + 1)))
-SELECT m.pair, m.side, r.scan_ms AS id, m.rn - 1 AS forecast_n, round(m.made, 7) + 0.0 AS forecast, round(list_sum(m.w), 7) + 0.0 AS weight_sum FROM m JOIN model_rows r ON m.pair = r.pair AND m.side = r.side AND m.rn = r.rn""",
+SELECT r.pair, r.side, r.scan_ms AS id, r.n AS forecast_n, round(greatest(-2, least(2, {_MW})), 7) + 0.0 AS forecast, round(list_sum(m.w), 7) + 0.0 AS weight_sum
+FROM ({KNOWN}) r JOIN m ON m.pair = r.pair AND m.side = r.side AND m.rn = r.n""",
 )
 def t09(spark, sf):
-    out = online.online_reward_regression(_online_rows(spark, sf), ["pair", "side"], ["scan_ms"])
+    out = online.online_reward_regression(_online_rows(spark, sf), ["pair", "side"], ["scan_ms"], "known_ms")
     total = F.aggregate("weights", F.lit(0.0), lambda a, v: a + v)
-    return rnd(out.select("pair", "side", "id", "forecast_n", F.col("forecast") + 0.0, (total + 0.0).alias("weight_sum")).toDF("pair", "side", "id", "forecast_n", "forecast", "weight_sum"), 7)
+    return rnd(out.select("pair", "side", "id", "forecast_n", (F.col("forecast") + 0.0).alias("forecast"), (total + 0.0).alias("weight_sum")), 7)
 
 
 # --- paper trades and rewards ----------------------------------------------

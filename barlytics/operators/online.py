@@ -109,44 +109,48 @@ def learn_reward(state: dict, x, reward: float) -> None:
     _sgd(state, x, error * x / max(1.0, float(np.dot(x, x))), 0.15)
 
 
-def online_logistic(df: DataFrame, keys, order, warmup: int = 30) -> DataFrame:
-    """Score every row with the model before it, then learn from its label.
+def _learned(df: DataFrame, keys, order, known: str, label: str, outputs: list[T.StructField], learn: Callable, show: Callable) -> DataFrame:
+    """Rows with ``show(state, x)`` of the model that knows the labels available by then.
 
-    ``df``: keys, order columns, ``id, x (array<double>), y``. Adds the model
-    count and weights after the row; no score before ``warmup`` rows.
+    Each row gives two events: its own, at the first order column, and its label,
+    at ``known``. Labels that become known at the time of a row come before it; a
+    null ``known`` or label is never learned.
     """
     keys, order = list(keys), list(order)
-    slim = df.select(*keys, *[c for c in order if c != "id"], "id", "x", F.col("y").cast("double").alias("y"))
-    schema = T.StructType(
-        [slim.schema[k] for k in keys]
-        + [slim.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("model_n", T.LongType()),
-           T.StructField("weights", T.ArrayType(T.DoubleType()))]
+    event = lambda at, y: df.select(
+        *keys, F.col(at).alias("_at"), F.lit(y is None).alias("_scores"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+        "id", "x", (F.lit(None) if y is None else F.col(y)).cast("double").alias("_y"),
     )
+    events = event(order[0], None).unionByName(event(known, label).filter(F.col("_at").isNotNull() & F.col("_y").isNotNull()))
+    schema = T.StructType([events.schema[k] for k in keys] + [events.schema["id"], *outputs, T.StructField("weights", T.ArrayType(T.DoubleType()))])
 
     def step(state, row):
-        score = probability(state["w"], row.x) if state["n"] >= warmup else None
-        learn_label(state, row.x, row.y)
-        return (*row[:len(keys)], row.id, score, state["n"], state["w"].tolist())
+        if not row[scores]:
+            learn(state, row.x, row[y_at])
+            return None
+        return (*row[:len(keys)], row.id, *show(state, row.x), state["w"].tolist())
 
-    return replay(slim, keys, order, new_model(), step, schema)
+    scores, y_at = events.columns.index("_scores"), events.columns.index("_y")
+    return replay(events, keys, ["_at", "_scores", *[f"_o{i}" for i in range(len(order))], "id"], new_model(), step, schema)
 
 
-def online_reward_regression(df: DataFrame, keys, order) -> DataFrame:
-    """Forecast every reward with the model before it, then learn from it."""
-    keys, order = list(keys), list(order)
-    slim = df.select(*keys, *[c for c in order if c != "id"], "id", "x", F.col("reward_r").cast("double").alias("reward_r"))
-    schema = T.StructType(
-        [slim.schema[k] for k in keys]
-        + [slim.schema["id"], T.StructField("forecast", T.DoubleType()), T.StructField("forecast_n", T.LongType()),
-           T.StructField("weights", T.ArrayType(T.DoubleType()))]
-    )
+def online_logistic(df: DataFrame, keys, order, known: str, warmup: int = 30) -> DataFrame:
+    """Score every row with the labels that are known by then.
+
+    ``df``: keys, order columns (time first), ``id, x (array<double>), y`` and the
+    time at which ``y`` becomes known. Adds the number of labels learned and
+    the weights that made the score; no score before ``warmup`` labels.
+    """
+    show = lambda state, x: (probability(state["w"], x) if state["n"] >= warmup else None, state["n"])
+    outputs = [T.StructField("score", T.DoubleType()), T.StructField("model_n", T.LongType())]
+    return _learned(df, keys, order, known, "y", outputs, learn_label, show)
 
-    def step(state, row):
-        made = forecast(state["w"], row.x), state["n"]
-        learn_reward(state, row.x, row.reward_r)
-        return (*row[:len(keys)], row.id, *made, state["w"].tolist())
 
-    return replay(slim, keys, order, new_model(), step, schema)
+def online_reward_regression(df: DataFrame, keys, order, known: str) -> DataFrame:
+    """Forecast every reward with the rewards that are known by then."""
+    show = lambda state, x: (forecast(state["w"], x), state["n"])
+    outputs = [T.StructField("forecast", T.DoubleType()), T.StructField("forecast_n", T.LongType())]
+    return _learned(df, keys, order, known, "reward_r", outputs, learn_reward, show)
 
 
 def model_hash(weights: str = "weights", n: str = "model_n"):

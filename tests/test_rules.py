@@ -126,16 +126,30 @@ def test_rewards(spark):
 
 def test_models_are_isolated_and_warm_up(spark):
     rows = [(side, i, [1.0] + [0.1 * (i % 5)] * 6, float(side == "LONG")) for side in ("LONG", "SHORT") for i in range(40)]
-    df = spark.createDataFrame(rows, "side string, id long, x array<double>, y double")
-    out = {(r.side, r.id): r for r in online.online_logistic(df, ["side"], ["id"]).collect()}
+    df = spark.createDataFrame(rows, "side string, id long, x array<double>, y double").withColumn("known", F.col("id") + 1)
+    out = {(r.side, r.id): r for r in online.online_logistic(df, ["side"], ["id"], "known").collect()}
     assert out[("LONG", 29)].score is None and out[("LONG", 30)].score > 0.5 > out[("SHORT", 30)].score
-    assert out[("LONG", 39)].model_n == 40
+    assert out[("LONG", 39)].model_n == 39
     np_state = online.new_model()()
-    for side, i, x, y in rows[:40]:
+    for side, i, x, y in rows[:39]:
         online.learn_label(np_state, x, y)
     assert out[("LONG", 39)].weights == pytest.approx(np_state["w"].tolist())
 
 
+def test_a_label_counts_from_the_time_it_is_known(spark):
+    """Reward of a call sent at 0 that resolves at 25 must not act on calls before 25."""
+    x = [1.0] + [0.0] * 6
+    rows = [("a", 0, 25, x, 3.0), ("b", 10, 12, x, -1.0), ("c", 20, None, x, 9.0), ("d", 25, 90, x, 9.0), ("e", 30, 91, x, None)]
+    df = spark.createDataFrame(rows, "id string, t long, known long, x array<double>, reward_r double").withColumn("side", F.lit("LONG"))
+    got = {r.id: r for r in online.online_reward_regression(df, ["side"], ["t"], "known").collect()}
+    assert [got[i].forecast_n for i in "abcde"] == [0, 0, 1, 2, 2]
+    state = online.new_model()()
+    online.learn_reward(state, x, -1.0)
+    assert got["c"].forecast == pytest.approx(online.forecast(state["w"], x))
+    online.learn_reward(state, x, 3.0)
+    assert got["d"].forecast == got["e"].forecast == pytest.approx(online.forecast(state["w"], x))
+
+
 def test_reward_learner_bounds_the_update_not_the_loss():
     st = online.new_model()()
     online.learn_reward(st, [1.0] + [0.0] * 6, -50.0)
