@@ -10,6 +10,7 @@ from barlytics.catalog.paths import BUCKET, HORIZONS, STOPS, TARGET, anchors
 from barlytics.catalog.scalars import position_sql
 from barlytics.catalog.series import core
 from barlytics.operators import labels as lab
+from barlytics.plans.live import settle
 from barlytics.session import cut
 from barlytics.streaming import machines as mc, streams
 
@@ -213,12 +214,14 @@ def t12(spark, sf):
 def t13(spark, sf):
     tiny, a = anchors(spark, sf)
     tiny, a = cut(tiny), cut(a)
-    end = a.agg(F.max("asof_ms")).scalar()
+    waiting = streams.table_dir(spark, "waiting")
+
+    def label(due):
+        facts = lab.path_facts(due.drop("horizon_ms").distinct(), tiny, "trigger_id", [TARGET], STOPS[:1], HORIZONS, BUCKET, "open", TINY)
+        rows = lab.horizon_table(facts, "trigger_id", TARGET, STOPS[:1], HORIZONS)
+        return rows.join(due.select("trigger_id", "horizon_ms"), ["trigger_id", "horizon_ms"]).select("trigger_id", "horizon_ms", "result")
 
     def job(batch, batch_id, out):
-        due = lab.matured(batch, batch.select("trigger_id", F.lit(0).cast("bigint").alias("horizon_ms")).limit(0), HORIZONS, end)
-        facts = lab.path_facts(batch, tiny, "trigger_id", [TARGET], STOPS[:1], HORIZONS, BUCKET, "open", TINY)
-        rows = lab.horizon_table(facts, "trigger_id", TARGET, STOPS[:1], HORIZONS).join(due.select("trigger_id", "horizon_ms"), ["trigger_id", "horizon_ms"])
-        rows.select("trigger_id", "horizon_ms", "result").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        settle(batch, batch_id, out, waiting, HORIZONS, label)
 
-    return streams.arrive(a, "matured", "asof_ms", job=job).select("trigger_id", "horizon_ms", "result")
+    return streams.arrive(a, "matured", "asof_ms", job=job, parts=3).select("trigger_id", "horizon_ms", "result")

@@ -8,7 +8,7 @@ from barlytics.catalog.base import (
     COARSE, DAY, FINE, HOUR, LEAD, SECOND, TINY, candidates, cte, frames, query, rnd, stored_bars, table,
 )
 from barlytics.catalog.scalars import CAND, KEY
-from barlytics.catalog.series import DAILY, RSI_REC, STOCH, core, day_sql, ema_sql, since, win
+from barlytics.catalog.series import DAILY_ALL, RSI_REC, STOCH, core, day_sql, ema_sql, since, win
 from barlytics.functions import gates, rules, scalar as sc
 from barlytics.operators import grid, indicators as ind, joins
 from barlytics.operators.blocks import prefix, roll
@@ -506,7 +506,7 @@ def c11(spark, sf):
 
 @query(
     "c12_late_entry_gate",
-    f"""WITH RECURSIVE {DAILY}
+    f"""WITH RECURSIVE {DAILY_ALL}
 SELECT trigger_id, daily_rsi14 IS NOT NULL AND NOT coalesce((pts >= 4 AND (c7 >= 12 OR e20 >= 6)) OR (heat >= 78 AND e20 >= 8), true) AS allowed,
   CASE WHEN daily_rsi14 IS NULL THEN 'daily anti-chase context unavailable' WHEN (pts >= 4 AND (c7 >= 12 OR e20 >= 6)) OR (heat >= 78 AND e20 >= 8) THEN 'daily late-entry/exhaustion risk' ELSE 'daily anti-chase check passed' END AS reason
 FROM (SELECT *, CASE WHEN heat >= 72 THEN 2 WHEN heat >= 65 THEN 1 ELSE 0 END + CASE WHEN sheat >= 90 THEN 1 ELSE 0 END + CASE WHEN c7 >= 20 THEN 2 WHEN c7 >= 12 THEN 1 ELSE 0 END
@@ -514,10 +514,9 @@ FROM (SELECT *, CASE WHEN heat >= 72 THEN 2 WHEN heat >= 65 THEN 1 ELSE 0 END +
   SELECT trigger_id, daily_rsi14, CASE WHEN bias = 'LONG' THEN daily_rsi14 ELSE 100 - daily_rsi14 END AS heat, CASE WHEN bias = 'LONG' THEN daily_stoch_rsi14 ELSE 100 - daily_stoch_rsi14 END AS sheat,
     g * daily_change_7d_pct AS c7, g * distance_from_daily_ema20_pct AS e20, g * distance_from_daily_ema50_pct AS e50,
     CASE WHEN bias = 'LONG' THEN least(round(rs_btc, 3), round(rs_market, 3)) ELSE -greatest(round(rs_btc, 3), round(rs_market, 3)) END AS worst
-  FROM (SELECT t.trigger_id, t.bias, t.rs_btc, t.rs_market, d.*, CASE WHEN t.bias = 'LONG' THEN 1 ELSE -1 END AS g FROM trigger_rows t LEFT JOIN (SELECT * FROM daily WHERE symbol <> 'S4') d ON t.symbol = d.symbol)))""",
+  FROM (SELECT t.trigger_id, t.bias, t.rs_btc, t.rs_market, d.*, CASE WHEN t.bias = 'LONG' THEN 1 ELSE -1 END AS g FROM trigger_rows t ASOF LEFT JOIN daily d ON t.symbol = d.symbol AND t.asof_ms > d.daily_close_ms)))""",
 )
 def c12(spark, sf):
     _, t = trigger_rows(spark, sf)
-    # One symbol is left without context, so the closed default shows.
-    daily = ind.daily_context(stored_bars(spark, sf), FINE).filter("symbol <> 'S4'")
-    return states.late_entry_gate(t, daily).select("trigger_id", "allowed", "reason")
+    daily = ind.daily_contexts(stored_bars(spark, sf), FINE)
+    return states.late_entry_gate(t, daily, "asof_ms", 512 * FINE).select("trigger_id", "allowed", "reason")

@@ -317,6 +317,10 @@ daily AS (
   JOIN fine_pos b7 ON b7.symbol = b.symbol AND b7.pos = b.pos - 7
   JOIN e20 ON e20.symbol = b.symbol AND e20.pos = b.pos JOIN e50 ON e50.symbol = b.symbol AND e50.pos = b.pos
   JOIN st ON st.symbol = b.symbol AND st.pos = b.pos WHERE b.pos >= 54)"""
+#: The context at every bar instead of the last one.
+DAILY_ALL = DAILY.replace("SELECT b.symbol, round(b.close", "SELECT b.symbol, b.close_time_ms AS daily_close_ms, round(b.close").replace(
+    "FROM fine_pos b JOIN (SELECT symbol, max(pos) AS pos FROM fine_pos GROUP BY symbol) m ON b.symbol = m.symbol AND b.pos = m.pos", "FROM fine_pos b"
+)
 
 
 @query("w16_daily_context", f"WITH RECURSIVE {DAILY} SELECT * REPLACE (round(daily_ema20, 9) AS daily_ema20, round(daily_ema50, 9) AS daily_ema50) FROM daily")

@@ -190,24 +190,19 @@ def stoch_rsi(rsi_col: str = "rsi", n: int = 14, warm: int = 14) -> Roll:
     return Roll(n - 1, build)
 
 
-def daily_context(daily: DataFrame, step: int, keys=("symbol",), minimum: int = 55, week: int = 7) -> DataFrame:
-    """Higher-timeframe context at the last bar of each symbol."""
-    keys = list(keys)
-    df = cut(numbered(daily.select(*keys, "open_time_ms", "close"), step, keys))
-
-    def newest(rows, *cols):
-        return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), POS).alias("x")).select(*keys, "x.*")
-
-    change = newest(roll(df, {"_c7": momentum("close", week)}, step, keys), "close", "_c7", POS)
-    strength = roll(rsi_wilder(df, step, keys=keys), {"_stoch": stoch_rsi()}, step, keys)
-    last = (
-        change.filter(F.col(POS) >= minimum - 1)
-        .join(newest(strength, "rsi", "_stoch"), keys)
-        .join(newest(ema(df, 20, step, out="_e20", keys=keys), "_e20"), keys)
-        .join(newest(ema(df, 50, step, out="_e50", keys=keys), "_e50"), keys)
-    )
+def _context_parts(daily: DataFrame, step: int, keys, week: int) -> list[DataFrame]:
+    """Change, oscillators and both means of every bar, each by key and ``pos``."""
+    df = cut(numbered(daily.select(*keys, "open_time_ms", "close_time_ms", "close"), step, keys))
+    return [
+        roll(df, {"_c7": momentum("close", week)}, step, keys).select(*keys, POS, "close_time_ms", "close", "_c7"),
+        roll(rsi_wilder(df, step, keys=keys), {"_stoch": stoch_rsi()}, step, keys).select(*keys, POS, "rsi", "_stoch"),
+        ema(df, 20, step, out="_e20", keys=keys), ema(df, 50, step, out="_e50", keys=keys),
+    ]
+
+
+def _context(rows: DataFrame, keys) -> DataFrame:
     away = lambda e: F.round((F.col("close") / F.col(e) - 1.0) * 100.0, 2)
-    return last.select(
+    return rows.select(
         *keys,
         F.round("close", 10).alias("daily_close"),
         F.round("rsi", 2).alias("daily_rsi14"),
@@ -219,3 +214,27 @@ def daily_context(daily: DataFrame, step: int, keys=("symbol",), minimum: int =
         away("_e50").alias("distance_from_daily_ema50_pct"),
         (F.col(POS) + 1).alias("daily_candles_used"),
     )
+
+
+def daily_contexts(daily: DataFrame, step: int, keys=("symbol",), minimum: int = 55, week: int = 7) -> DataFrame:
+    """Higher-timeframe context at every bar from the ``minimum``-th, with its ``daily_close_ms``."""
+    keys = list(keys)
+    rows, *others = _context_parts(daily, step, keys, week)
+    for other in others:
+        rows = rows.join(other, [*keys, POS])
+    rows = rows.filter(F.col(POS) >= minimum - 1)
+    return _context(rows, [*keys, F.col("close_time_ms").alias("daily_close_ms")])
+
+
+def daily_context(daily: DataFrame, step: int, keys=("symbol",), minimum: int = 55, week: int = 7) -> DataFrame:
+    """Higher-timeframe context at the last bar of each symbol."""
+    keys = list(keys)
+
+    def newest(rows):
+        values = [c for c in rows.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), POS).alias("x")).select(*keys, "x.*")
+
+    rows, *others = map(newest, _context_parts(daily, step, keys, week))
+    for other in others:
+        rows = rows.join(other.drop(POS), keys)
+    return _context(rows.filter(F.col(POS) >= minimum - 1), keys)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barlytics.functions.gates import fresh
+from barlytics.operators.labels import matured
+from barlytics.session import cut
 from barlytics.sources import files, sinks
 from barlytics.streaming import machines as mc, streams
 
@@ -49,3 +53,25 @@ def start_state_table(spark: SparkSession, landing: str, out: str, now=None, tri
         rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/_offsets/pairs")
         .trigger(**(trigger or {"processingTime": "5 minutes"})).start()
     )
+
+
+def settle(batch: DataFrame, batch_id: int, out: str, waiting: str, horizons_ms: list[int], label: Callable[[DataFrame], DataFrame]) -> None:
+    """Label the (trigger, horizon) pairs that a delivery makes ripe.
+
+    The newest trigger of the delivery tells the time. Triggers with an unripe
+    horizon wait in ``waiting``, a folder per batch; pairs labelled by earlier batches
+    are read back from ``out`` and left out. A repeated batch overwrites its own
+    folders. ``label`` maps the due pairs to result rows.
+    """
+    spark = batch.sparkSession
+    now = batch.agg(F.max("asof_ms")).first()[0]
+    done = batch.select("trigger_id", F.lit(0).cast("bigint").alias("horizon_ms")).limit(0)
+    triggers = batch
+    if batch_id > 0:
+        triggers = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{waiting}/batch={batch_id - 1}"))
+        done = spark.read.parquet(out).filter(F.col("batch") < batch_id).select("trigger_id", "horizon_ms")
+    if now is None:
+        now = triggers.agg(F.max("asof_ms")).first()[0] or 0
+    due = cut(matured(triggers, done, horizons_ms, F.lit(now)))
+    label(due).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    triggers.filter(F.col("asof_ms") + max(horizons_ms) > now).write.mode("overwrite").parquet(f"{waiting}/batch={batch_id}")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barlytics.functions import rules
 from barlytics.operators.blocks import prefix
 from barlytics.operators.grid import floor_bucket
-from barlytics.operators.joins import broadcast_if_small
+from barlytics.operators.joins import asof_join
 
 # Bases of stable coins.
 STABLE_BASES = ["USDC", "FDUSD", "TUSD", "USDP", "DAI", "BUSD", "USDE", "USD1", "PYUSD"]
@@ -89,9 +89,13 @@ def change_log(rows: DataFrame, keys, time: str, reason: str, chunk_ms: int, fin
     return seen.filter(fresh & (F.coalesce(F.col("_any"), F.lit(0)) == 0)).drop("_done", "_prev", "_any")
 
 
-def late_entry_gate(signals: DataFrame, daily: DataFrame, keys=("symbol",)) -> DataFrame:
-    """Exhaustion gate over the daily context; missing context refuses."""
-    j = signals.join(broadcast_if_small(daily), list(keys), "left")
+def late_entry_gate(signals: DataFrame, daily: DataFrame, time: str, bucket_ms: int, keys=("symbol",)) -> DataFrame:
+    """Exhaustion gate over the daily context; missing context refuses.
+
+    ``daily`` has the context at every bar; a signal meets the last one that
+    closed before its ``time``.
+    """
+    j = asof_join(signals, daily, time, "daily_close_ms", bucket_ms, keys)
     risk = rules.late_entry_risk(
         "bias", "daily_rsi14", "daily_stoch_rsi14", "daily_change_7d_pct",
         "distance_from_daily_ema20_pct", "distance_from_daily_ema50_pct",

@@ -93,6 +93,24 @@ def test_each_scan_brings_its_threshold(spark, tmp_path):
     assert {(r.event, r.pair) for r in spark.read.schema(shape).json(f"{out}/arm").collect()} == {("SHADOW_ARMED", "LENIENT")}
 
 
+def test_labels_wait_until_they_are_ripe(spark, tmp_path):
+    """Three deliveries: each pair is labelled once, one only by the third."""
+    out, waiting, seen = str(tmp_path / "out"), str(tmp_path / "waiting"), []
+
+    def label(due):
+        seen.append(sorted((r.trigger_id, r.horizon_ms) for r in due.collect()))
+        return due.select("trigger_id", "horizon_ms", F.lit("x").alias("result"))
+
+    deliveries = [[("a", 0), ("b", 90)], [("c", 120)], [("d", 400)]]
+    for i, rows in enumerate(deliveries):
+        live.settle(spark.createDataFrame(rows, "trigger_id string, asof_ms long"), i, out, waiting, [50, 300], label)
+    assert seen == [[("a", 50)], [], [("a", 300), ("b", 50), ("b", 300), ("c", 50)]]
+    # the same delivery again changes nothing
+    live.settle(spark.createDataFrame(deliveries[2], "trigger_id string, asof_ms long"), 2, out, waiting, [50, 300], label)
+    assert spark.read.parquet(out).count() == 5
+    assert {r.trigger_id for r in spark.read.parquet(f"{waiting}/batch=2").collect()} == {"c", "d"}
+
+
 def test_gate_fails_closed(spark):
     signals = spark.createDataFrame([(1, "MIXED", "50-59"), (2, "MIXED", None), (3, "RISK_ON", "50-59")], "id int, market_regime string, quality_bucket string")
     gate = spark.createDataFrame([("MIXED", "50-59")], "market_regime string, quality_bucket string")
