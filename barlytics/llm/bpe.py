@@ -17,6 +17,8 @@ from array import array
 import numpy as np
 import regex
 
+from barlytics.llm.tables import holds
+
 #: Words and parts that a worker remembers. Full tables stay as they are, since the
 #: first words seen hold the frequent ones; after so many misses they start anew.
 REMEMBERED = 400_000
@@ -111,6 +113,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
+    holds("bpe", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return _loaded[path]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlytics.llm.tables import slices, strings
+from barlytics.llm.tables import holds, release, slices, strings
 
 #: Characters of an item for each edit that is allowed.
 PER_ERROR = 12
@@ -146,6 +146,7 @@ def _items(items: DataFrame, k: int, n: int) -> list[tuple[int, str]]:
 
 
 def scanner(items: list[tuple[int, str]], per_error: int) -> Scanner:
+    holds("decontamination", _scanners.clear)
     key = (per_error, len(items), hash(tuple(items)))
     if key not in _scanners:
         _scanners.clear()
@@ -183,6 +184,7 @@ def drop(docs: DataFrame, items: DataFrame, per_error: int = PER_ERROR, block: i
 
 def _holds(items: list[tuple[int, str]], per_error: int):
     def run(texts: pa.Array) -> pa.Array:
+        release()
         scan = scanner(items, per_error).scan
         return pa.array([bool(scan(normalised(t or ""))) for t in texts.to_pylist()], pa.bool_())
 

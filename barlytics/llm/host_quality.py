@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlytics.llm.tables import SLICE, stored, strings
+from barlytics.llm.tables import SLICE, release, stored, strings
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 NAMES = [m.split()[0] for m in MEASURES.split(", ")]
@@ -63,6 +63,7 @@ def measure_text(text: str) -> tuple[int, int, int, int, int]:
 
 
 def _measure(texts: pa.Array) -> pa.Array:
+    release()
     rows = [measure_text(t) for i in range(0, len(texts), SLICE) for t in strings(texts.slice(i, SLICE))]
     columns = list(zip(*rows)) if rows else [[]] * len(NAMES)
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)

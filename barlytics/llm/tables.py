@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +18,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def release() -> None:
+    """Gives back what earlier batches of this worker used; the pool keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, SLICE):
             yield batch.slice(i, SLICE)
+        del batch
+        release()
 
 
 def strings(column: pa.Array) -> list[str]:
@@ -29,6 +36,20 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(owner: str, clear: Callable[[], None]) -> None:
+    """Says that ``owner`` now fills its tables in this worker; those of other operators are emptied.
+
+    Workers live on from stage to stage, and each operator remembers words or models.
+    """
+    for other in [k for k in _held if k != owner]:
+        _held.pop(other)()
+        release()
+    _held[owner] = clear
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

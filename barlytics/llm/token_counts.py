@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlytics.llm.tables import slices, strings
+from barlytics.llm.tables import holds, slices, strings
 
 #: Words that a worker remembers; a full table stays, and starts anew after so many misses.
 REMEMBERED = 500_000
@@ -144,6 +144,7 @@ class Counter(dict):
 
 
 def counter(path: str) -> Counter:
+    holds("token_counts", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Counter(path)
     return _loaded[path]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlytics.llm.tables import SLICE, drawn, slices, strings
+from barlytics.llm.tables import SLICE, drawn, holds, release, slices, strings
 
 BITS = 20
 PLACES = 1 << BITS
@@ -29,7 +29,7 @@ ALPHA, BETA, L1, L2, EPOCHS, POSITIVE = 2.0, 1.0, 10.0, 1.0, 4, 4.0
 _WORD = re.compile(r"\w+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 #: Words whose hash a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 class _Hashes(dict):
@@ -43,6 +43,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def _forget() -> None:
+    _hashes.clear(), _models.clear()
+
+
 def places(text: str) -> np.ndarray:
     """Places of a text's features, repeats included."""
     words = _WORD.findall(text.lower())
@@ -99,6 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
     rows = known.filter(drawn(draw, rate)).join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").isNotNull())
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("toxicity", _forget)
         seen = []
         for part in slices(batches):
             seen += [(np.unique(places(t)), y) for t, y in zip(strings(part["text"]), part["__y"].to_pylist())]
@@ -117,7 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
 
 
 def _score(texts: pa.Array, model: dict[int, float]) -> pa.Array:
+    holds("toxicity", _forget)
     weights, bias = _dense(model)
+    release()
     out = []
     for i in range(0, len(texts), SLICE):
         for text in strings(texts.slice(i, SLICE)):
