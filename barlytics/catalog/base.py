@@ -237,6 +237,14 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     return candidate_columns(last)
 
 
+def more_fields() -> dict[str, Column]:
+    """Further fields of a candidate, derived from its others."""
+    return {
+        "strength": F.when(F.col("score") >= 78, "STRONG").otherwise("WEAK"), "funding_rate_pct": F.col("oi_change_1h_pct") / 8,
+        "basis_pct": F.col("oi_change_24h_pct") / 4, "invalidation": F.concat(F.lit("void below "), F.col("pair")),
+    }
+
+
 # --- scored rows -----------------------------------------------------------
 
 cte(

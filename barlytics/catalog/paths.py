@@ -367,6 +367,19 @@ def a08m(spark, sf):
     return cohorts.marginal_gate(outcomes(spark, sf).filter(ONE).filter(LAST), min_samples=5)
 
 
+@query(
+    "a08_marginal_status",
+    f"""WITH o AS (SELECT * FROM outcomes WHERE {ONE} AND {LAST}),
+a AS (SELECT market_regime FROM o GROUP BY 1 HAVING count(*) >= 5 AND count(first_target_ms) / count(*) >= 0.55),
+b AS (SELECT quality_bucket FROM o GROUP BY 1 HAVING count(*) >= 5 AND count(first_target_ms) / count(*) >= 0.55)
+SELECT (SELECT count(*) FROM a) AS allowed_market_regime, (SELECT count(*) FROM b) AS allowed_quality_bucket, (SELECT count(*) FROM o) AS total,
+  (SELECT count(*) FROM o) >= 50 AND (SELECT count(*) FROM a) > 0 AND (SELECT count(*) FROM b) > 0 AS ready_for_review, false AS enabled""",
+)
+def a08ms(spark, sf):
+    rows = outcomes(spark, sf).filter(ONE).filter(LAST)
+    return cohorts.marginal_status(rows, cohorts.marginal_gate(rows, min_samples=5), min_total=50)
+
+
 @query(
     "a09_dataset_meta",
     f"""SELECT count(l.row_id) AS row_count, (SELECT count(*) FROM sample_grid) AS timestamp_count, count(*) FILTER (WHERE path = 'TARGET_FIRST') AS positive_count, count(*) FILTER (WHERE path = 'AMBIGUOUS') AS ambiguous_count,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barlytics.catalog.base import HOUR, candidates, cte, ms, query, rnd, table
+from barlytics.catalog.base import HOUR, candidates, cte, more_fields, ms, query, rnd, table
 from barlytics.functions import gates, scalar as sc
 
 KEY = ("pair", "scan_ms")
@@ -109,10 +109,10 @@ def p08(spark, sf):
     return _events(spark, sf).select("event_id", sc.format_price(p).alias("shown"))
 
 
-@query("p09_select_snapshot", f"SELECT {CAND}, bias, score, current_price, array_to_string(warnings, ';') AS warnings FROM candidates")
+@query("p09_select_snapshot", f"SELECT {CAND}, bias, score, current_price, array_to_string(warnings, ';') AS warnings, CASE WHEN score >= 78 THEN 'STRONG' ELSE 'WEAK' END AS strength, oi_change_1h_pct / 8 AS funding_rate_pct, oi_change_24h_pct / 4 AS basis_pct, 'void below ' || pair AS invalidation FROM candidates")
 def p09(spark, sf):
-    df = candidates(spark, sf)
-    wanted = ["bias", "score", "current_price", "funding_rate_pct", "warnings"]
+    df = candidates(spark, sf).withColumns(more_fields())
+    wanted = ["bias", "score", "current_price", "strength", "funding_rate_pct", "basis_pct", "invalidation", "open_interest_usd", "warnings"]
     return df.select(*KEY, sc.snapshot(df.columns, wanted).alias("s")).select(*KEY, "s.*").withColumn(
         "warnings", F.array_join("warnings", ";")
     )
@@ -336,8 +336,8 @@ def p25(spark, sf):
 
 @query(
     "p26_evaluate_entry_drift",
-    f"""SELECT {CAND}, d >= 5 OR d <= -6 AS blocked, CASE WHEN d >= 5 THEN 'target already reached/passed before Telegram alert'
-  WHEN d <= -6 THEN 'stop already reached/passed before Telegram alert'
+    f"""SELECT {CAND}, d >= 5 OR d <= -6 AS blocked, CASE WHEN d >= 5 THEN 'price is past the target'
+  WHEN d <= -6 THEN 'price is past the stop'
   ELSE 'entry drift recorded for research; no empirical late-entry cutoff promoted yet' END AS reason,
   round(d, 4) + 0.0 AS directional_drift_pct, {BUCKET} AS drift_bucket FROM (SELECT {CAND}, {DRIFT} AS d FROM candidates)""",
 )

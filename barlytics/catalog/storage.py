@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlytics import schema as S
-from barlytics.catalog.base import FINE, HOUR, TINY, bars, candidates, ms, query, stored_bars, table
+from barlytics.catalog.base import FINE, HOUR, TINY, bars, candidates, more_fields, ms, query, stored_bars, table
 from barlytics.catalog.market import trigger_rows
 from barlytics.operators import grid
 from barlytics.sources import files, sinks
@@ -101,11 +101,12 @@ _events_query("s05_read_events_newest", "newest", "timestamp_ms DESC, event_id D
 
 @query(
     "s06_read_scan",
-    "SELECT scan_ms AS generated_at_ms, CAST(score >= 78 AS INT) AS section, pair, bias, round(score, 6) AS score, 80.0::DOUBLE AS threshold, spot_volume_1h_usd FROM candidates",
+    "SELECT scan_ms AS generated_at_ms, CAST(score >= 78 AS INT) AS section, pair, bias, round(score, 6) AS score, 80.0::DOUBLE AS threshold, spot_volume_1h_usd, "
+    "CASE WHEN score >= 78 THEN 'STRONG' ELSE 'WEAK' END AS strength, oi_change_1h_pct / 8 AS funding_rate_pct, oi_change_24h_pct / 4 AS basis_pct, 'void below ' || pair AS invalidation FROM candidates",
 )
 def s06(spark, sf):
     path = table_dir(spark, "scans")
-    c = candidates(spark, sf)
+    c = candidates(spark, sf).withColumns(more_fields())
     names = [f.name for f in S.CANDIDATE.fields if f.name in c.columns]
     entry = F.struct(*names)
     pick = lambda cond: F.filter(F.collect_list(F.when(cond, entry)), lambda x: x.isNotNull())
@@ -116,7 +117,7 @@ def s06(spark, sf):
     )
     docs.write.json(path)
     out = files.read_scan_lines(spark, path)
-    return out.select("generated_at_ms", "section", "pair", "bias", F.round("score", 6).alias("score"), "threshold", "spot_volume_1h_usd")
+    return out.select("generated_at_ms", "section", "pair", "bias", F.round("score", 6).alias("score"), "threshold", "spot_volume_1h_usd", "strength", "funding_rate_pct", "basis_pct", "invalidation")
 
 
 @query("s07_append_events", "SELECT CASE WHEN bias = 'LONG' THEN 'SIGNAL_CONFIRMED' ELSE 'SIGNAL_EXPIRED' END AS event, strftime(make_timestamp(asof_ms * 1000), '%Y-%m-%d') AS day, trigger_id, asof_ms AS timestamp_ms FROM trigger_rows")
@@ -167,7 +168,7 @@ def s10(spark, sf):
     path = table_dir(spark, "state")
     b = stored_bars(spark, sf)
     half = b.agg(F.percentile_approx("open_time_ms", 0.5)).scalar()
-    newest = lambda df: df.groupBy("symbol").agg(F.max_by(F.struct("open_time_ms", "close"), "open_time_ms").alias("v")).select("symbol", "v.*")
-    sinks.compact_snapshot(newest(b.filter(F.col("open_time_ms") <= half)), path, 1)
-    sinks.compact_snapshot(newest(b), path, 2)
+    rows = b.select("symbol", "open_time_ms", "close")
+    sinks.compact_snapshot(rows.filter(F.col("open_time_ms") <= half), path, "symbol", "open_time_ms", first=True)
+    sinks.compact_snapshot(rows.filter(F.col("open_time_ms") > half), path, "symbol", "open_time_ms")
     return sinks.read_snapshot(spark, path)

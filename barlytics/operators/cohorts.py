@@ -116,6 +116,20 @@ def marginal_gate(outcomes: DataFrame, dims=("market_regime", "quality_bucket"),
     )
 
 
+def marginal_status(outcomes: DataFrame, gate: DataFrame, dims=("market_regime", "quality_bucket"), min_total: int = 100) -> DataFrame:
+    """One row: all samples, approved values by dimension, and whether the gate is ready for review.
+
+    It is ready with enough samples and an approved value in each dimension;
+    it is never switched on here.
+    """
+    approved = gate.agg(*[F.count_if(F.col("dimension") == d).alias(f"allowed_{d}") for d in dims])
+    ready = F.col("total") >= min_total
+    for d in dims:
+        ready = ready & (F.col(f"allowed_{d}") > 0)
+    total = outcomes.agg(F.count(F.lit(1))).scalar()
+    return approved.withColumn("total", total).withColumn("ready_for_review", ready).withColumn("enabled", F.lit(False))
+
+
 def dataset_meta(times: DataFrame, context: DataFrame, rows: DataFrame, positive: str, ambiguous: str) -> DataFrame:
     """Counts and rates of a learning table; empty sample times count too."""
     per_time = rows.groupBy("asof_ms").agg(

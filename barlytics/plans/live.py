@@ -38,16 +38,11 @@ def start_machine(spark: SparkSession, landing: str, out: str, name: str, now=No
 
 
 def start_state_table(spark: SparkSession, landing: str, out: str, now=None, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the last row of every pair as a versioned table."""
+    """Keep the last row of every pair in a table by key range."""
     rows = scan_candidates(files.stream_scans(spark, landing), now)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.drop("section")
-        if batch_id > 0:
-            latest = sinks.read_snapshot(batch.sparkSession, f"{out}/pairs").unionByName(latest)
-        values = [c for c in latest.columns if c != "pair"]
-        newest = latest.groupBy("pair").agg(F.max_by(F.struct(*values), "scan_ms").alias("v")).select("pair", "v.*")
-        sinks.compact_snapshot(newest, f"{out}/pairs", batch_id)
+        sinks.compact_snapshot(batch.drop("section"), f"{out}/pairs", "pair", "scan_ms", first=batch_id == 0)
 
     return (
         rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/_offsets/pairs")

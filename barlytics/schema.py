@@ -36,6 +36,16 @@ CANDIDATE = T.StructType(
         T.StructField("price_change_1h_spot_pct", T.DoubleType()),
         T.StructField("price_change_4h_spot_pct", T.DoubleType()),
         T.StructField("price_change_24h_futures_pct", T.DoubleType()),
+        T.StructField("strength", T.StringType()),
+        T.StructField("action", T.StringType()),
+        T.StructField("funding_rate_pct", T.DoubleType()),
+        T.StructField("cross_exchange_median_funding_pct", T.DoubleType()),
+        T.StructField("binance_funding_minus_median_pct", T.DoubleType()),
+        T.StructField("basis_pct", T.DoubleType()),
+        T.StructField("oi_change_5m_pct", T.DoubleType()),
+        T.StructField("open_interest_usd", T.DoubleType()),
+        T.StructField("futures_volume_change_24h_pct", T.DoubleType()),
+        T.StructField("invalidation", T.StringType()),
         T.StructField("reasons", T.ArrayType(T.StringType())),
         T.StructField("warnings", T.ArrayType(T.StringType())),
         T.StructField("blockers", T.ArrayType(T.StringType())),

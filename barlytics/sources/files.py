@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from barlytics import schema as S
-from barlytics.operators.joins import broadcast_if_small
 
 # <symbol>/<interval>_<days>d.jsonl.gz; partition-style folder names are fine too.
 CANDLE_PATH = r"/(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?([0-9]+[a-z]+)_([0-9]+)d\.jsonl(?:\.gz)?"
@@ -21,9 +20,9 @@ def _path_parts(path: Column) -> dict[str, Column]:
 
 
 def candle_files(spark: SparkSession, root: str) -> DataFrame:
-    """Symbol, interval and days of every candle file below ``root``."""
+    """Symbol, interval, days and path of every candle file below ``root``; contents are not read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    return listed.withColumns(_path_parts(F.col("path"))).filter("symbol <> ''").select("symbol", "interval", "days").distinct()
+    return listed.withColumns(_path_parts(F.col("path"))).filter("symbol <> ''").select("symbol", "interval", "days", "path")
 
 
 def resolve_interval_file(files: DataFrame, want: Column | int) -> DataFrame:
@@ -31,7 +30,8 @@ def resolve_interval_file(files: DataFrame, want: Column | int) -> DataFrame:
     want = F.lit(want) if isinstance(want, int) else want
     name = F.concat(F.col("interval"), F.lit("_"), F.col("days").cast("string"), F.lit("d"))
     w = Window.partitionBy("symbol", "interval").orderBy(F.desc(F.col("days") == want), F.desc(name))
-    return files.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("symbol", "interval", "days")
+    lengths = files.select("symbol", "interval", "days").distinct()
+    return lengths.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("symbol", "interval", "days")
 
 
 def read_bars(spark: SparkSession, root: str, days: int | None = None) -> DataFrame:
@@ -41,12 +41,14 @@ def read_bars(spark: SparkSession, root: str, days: int | None = None) -> DataFr
     symbol and interval is read from the one file that resolves to it. Gzipped
     files cannot be split: store them once with ``store_bars`` and read that.
     """
-    raw = spark.read.schema(S.BAR).option("recursiveFileLookup", "true").json(root)
-    bars = raw.withColumns(_path_parts(F.input_file_name()))
+    read = spark.read.schema(S.BAR)
     if days is None:
-        return bars
-    chosen = resolve_interval_file(candle_files(spark, root), days)
-    return bars.join(broadcast_if_small(chosen), ["symbol", "interval", "days"], "left_semi")
+        raw = read.option("recursiveFileLookup", "true").json(root)
+    else:
+        listed = candle_files(spark, root)
+        chosen = listed.join(resolve_interval_file(listed, days), ["symbol", "interval", "days"])
+        raw = read.json([r["path"] for r in chosen.select("path").collect()])  # file names, as the reader lists them itself
+    return raw.withColumns(_path_parts(F.input_file_name()))
 
 
 def store_bars(bars: DataFrame, path: str) -> None:

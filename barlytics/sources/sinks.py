@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from barlytics.session import cut
 
 
 def utc_day(ms: Column | str) -> Column:
@@ -31,21 +33,24 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-def compact_snapshot(state: DataFrame, path: str, version: int) -> None:
-    """Write the newest state as a new version beside the older ones.
+def compact_snapshot(rows: DataFrame, path: str, keys, order: str, first: bool = False, buckets: int = 64) -> None:
+    """Bring the newest row of each key up to date in a table kept by key range.
 
-    Readers take the highest finished version, so they never see half a write;
-    running the same version again replaces it. Fits ``foreachBatch``.
+    Only the key buckets that ``rows`` touch are read and written again. The same
+    rows once more change nothing, so it fits ``foreachBatch``; ``first`` says that
+    there is no table yet.
     """
-    state.write.mode("overwrite").parquet(f"{path}/version={version:010d}")
-
-
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The newest finished version of a state table."""
-    jvm = spark._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
-    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
-    if not found:
-        raise ValueError(f"no finished version below {path}")
-    newest = max(f.getPath().getParent().toString() for f in found)
-    return spark.read.parquet(newest)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    spark = rows.sparkSession
+    new = cut(rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    if not first:
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        new = new.unionByName(read_snapshot(spark, path, new.schema).filter(F.col("bucket").isin(touched)))
+    values = [c for c in new.columns if c not in keys and c != "bucket"]
+    newest = new.groupBy("bucket", *keys).agg(F.max_by(F.struct(*values), order).alias("v")).select(*keys, "v.*", "bucket")
+    cut(newest).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The newest rows; with a schema the key range stays as ``bucket``."""
+    return spark.read.parquet(path).drop("bucket") if schema is None else spark.read.schema(schema).parquet(path)

@@ -56,9 +56,21 @@ def test_scan_document(spark, tmp_path):
     assert got == [("A", 0, 70.0, 78.0), ("A", 1, 80.0, 78.0), ("B", 0, 60.0, 78.0)]
 
 
-def test_unfinished_snapshot_is_not_read(spark, tmp_path):
+def test_newest_rows_by_key(spark, tmp_path):
     path = str(tmp_path / "state")
-    sinks.compact_snapshot(spark.range(3), path, 1)
-    sinks.compact_snapshot(spark.range(5), path, 2)
-    (tmp_path / "state" / "version=0000000002" / "_SUCCESS").unlink()
-    assert sinks.read_snapshot(spark, path).count() == 3
+    rows = lambda *r: spark.createDataFrame(r, "k string, t long, v int")
+    sinks.compact_snapshot(rows(("a", 1, 1), ("a", 3, 3), ("b", 2, 2)), path, "k", "t", first=True)
+    for _ in range(2):  # the same delivery twice
+        sinks.compact_snapshot(rows(("a", 2, 9), ("c", 5, 5), ("b", 4, 4)), path, "k", "t")
+    assert sorted(map(tuple, sinks.read_snapshot(spark, path).collect())) == [("a", 3, 3), ("b", 4, 4), ("c", 5, 5)]
+
+
+def test_only_chosen_files_are_read(spark, tmp_path):
+    for name, price in (("1h_30d", 1.0), ("1h_90d", 2.0), ("4h_30d", 3.0)):
+        (tmp_path / "S1").mkdir(exist_ok=True)
+        (tmp_path / "S1" / f"{name}.jsonl").write_text(json.dumps({"open_time_ms": 1, "close": price}) + "\n")
+    (tmp_path / "S1" / "1h_30d.jsonl").write_text("x" * 100)  # would give a null row
+    got = files.read_bars(spark, str(tmp_path), 90)
+    assert sorted((r.interval, r.days, r.close) for r in got.collect()) == [("1h", 90, 2.0), ("4h", 30, 3.0)]
+    assert len(got.inputFiles()) == 2
+
