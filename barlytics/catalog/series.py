@@ -375,10 +375,9 @@ ASOF LEFT JOIN coarse_feat c ON f.symbol = c.symbol AND f.asof_ms > c.h_close_ti
 def j02(spark, sf):
     tiny, fine, coarse = frames(spark, sf, TINY, FINE, COARSE)
     out = fine.select("symbol", (F.col("close_time_ms") + 1).alias("asof_ms"))
-    for df, name, step in ((tiny, "t_close_ms", TINY), (grid.resample(tiny, TINY, 3), "m_close_ms", FINE), (coarse, "c_close_ms", COARSE)):
-        right = df.select("symbol", F.col("close_time_ms").alias(name))
-        out = joins.asof_join(out, right, "asof_ms", name, 128 * step)
-    return out
+    sides = ((tiny, "t_close_ms"), (grid.resample(tiny, TINY, 3), "m_close_ms"), (coarse, "c_close_ms"))
+    rights = [(df.select("symbol", F.col("close_time_ms").alias(name)), name) for df, name in sides]
+    return joins.asof_joins(out, rights, "asof_ms", 128 * FINE)
 
 
 @query(

@@ -31,55 +31,68 @@ def asof_join(
     forward: bool = False,
     salts: int = 1,
 ) -> DataFrame:
-    """The last right row before each left row, per key (all left rows stay).
-
-    ``strict`` wants ``right_time < left_time``, otherwise equal times match
-    too. ``forward`` looks for the first right row after instead. Both sides
-    meet in windows of one key and one time bucket; the last row of earlier
-    buckets comes in as one row per bucket, however far back it lies. With
-    ``salts`` the left rows of a bucket spread over that many tasks, each with
-    a copy of its right rows: for left sides with far more rows than the right.
-    Right columns must not share names with left columns other than the keys.
+    """The last right row before each left row, per key (all left rows stay)."""
+    return asof_joins(left, [(right, right_time)], left_time, bucket_ms, keys, strict, forward, salts)
+
+
+def asof_joins(
+    left: DataFrame,
+    rights: list[tuple[DataFrame, str]],
+    left_time: str,
+    bucket_ms: int,
+    keys=("symbol",),
+    strict: bool = True,
+    forward: bool = False,
+    salts: int = 1,
+) -> DataFrame:
+    """The last row of each (right, time) before each left row, per key.
+
+    ``strict`` wants the right time below the left one, otherwise equal times
+    match too. ``forward`` looks for the first right row after instead. All
+    inputs are shuffled once, to windows of one key and one time bucket; the
+    last row of earlier buckets comes in as one row per bucket, however far
+    back it lies. With ``salts`` the left rows of a bucket spread over that
+    many tasks, each with a copy of its right rows: for left sides with far
+    more rows than the right. Column names other than the keys are distinct.
     """
     keys = list(keys)
     sign = -1 if forward else 1
-    values = [c for c in right.columns if c not in keys]
-    stamp = lambda c: (F.col(c) * sign).cast("bigint").alias("_t")
-    types = (left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType,
-             right.select(F.struct(*values).alias("s")).schema["s"].dataType)
-    salt = F.pmod(F.xxhash64(*[c for c, t in left.dtypes if not t.startswith("map")]), F.lit(salts)) if salts > 1 else F.lit(0).cast("bigint")
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))) if salts > 1 else F.lit(0).cast("bigint")
+    values = [[c for c in r.columns if c not in keys] for r, _ in rights]
+    kind = lambda df, cols: df.select(F.struct(*cols).alias("s")).schema["s"].dataType
+    left_kind, kinds = kind(left, left.columns), [kind(r, v) for (r, _), v in zip(rights, values)]
+    salted = ["_salt"] if salts > 1 else []
+
+    def rows(df, time, which, side):
+        own = F.struct(*(left.columns if which is None else values[which]))
+        salt = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(salts))
+        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+        return df.select(
+            *keys, (F.col(time) * sign).cast("bigint").alias("_t"), F.lit(side).alias("_side"),
+            (own if which is None else F.lit(None).cast(left_kind)).alias("_left"),
+            *[(own if which == i else F.lit(None).cast(k)).alias(f"_r{i}") for i, k in enumerate(kinds)],
+            *[(salt if which is None else copies).alias(c) for c in salted],
+        )
+
     # Of two rows at one time the left one sorts first in a strict join.
-    l = left.select(
-        *keys, stamp(left_time), F.lit(0 if strict else 1).alias("_side"), salt.alias("_salt"),
-        F.struct(*left.columns).alias("_left"), F.lit(None).cast(types[1]).alias("_right"),
-    )
-    r = right.select(
-        *keys, stamp(right_time), F.lit(1 if strict else 0).alias("_side"), copies.alias("_salt"),
-        F.lit(None).cast(types[0]).alias("_left"), F.struct(*values).alias("_right"),
-    )
-    bucket = floor_bucket("_t", bucket_ms)
-    here = Window.partitionBy(*keys, "_bucket", "_salt").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    met = (
-        l.unionByName(r).withColumn("_bucket", bucket)
-        .withColumn("_here", F.last("_right", ignorenulls=True).over(here))
-        .filter(F.col("_left").isNotNull())
-    )
+    met = rows(left, left_time, None, 0 if strict else 1)
+    for i, (right, time) in enumerate(rights):
+        met = met.unionByName(rows(right, time, i, 1 if strict else 0))
+    # Both uses below read this one exchange.
+    met = met.withColumn("_bucket", floor_bucket("_t", bucket_ms)).repartition(*keys, "_bucket", *salted)
+    here = Window.partitionBy(*keys, "_bucket", *salted).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = met.withColumns({f"_h{i}": F.last(f"_r{i}", ignorenulls=True).over(here) for i in range(len(kinds))})
+    found = found.filter(F.col("_left").isNotNull()).select(*keys, "_bucket", "_left", *[f"_h{i}" for i in range(len(kinds))])
     # Last row of each right bucket, carried on to the buckets with left rows.
-    asked = left.select(*keys, stamp(left_time)).select(*keys, bucket.alias("_bucket")).distinct()
-    ends = right.select(*keys, stamp(right_time), F.struct(*values).alias("_right")).groupBy(*keys, bucket.alias("_bucket")).agg(
-        F.max_by("_right", "_t").alias("_end")
+    ends = met.groupBy(*keys, "_bucket").agg(
+        F.max(F.col("_left").isNotNull()).alias("_asks"),
+        *[F.max_by(f"_r{i}", F.when(F.col(f"_r{i}").isNotNull(), F.col("_t"))).alias(f"_e{i}") for i in range(len(kinds))],
     )
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rangeBetween(Window.unboundedPreceding, -1)
-    carried = (
-        asked.withColumns({"_end": F.lit(None).cast(types[1]), "_asks": F.lit(True)})
-        .unionByName(ends.withColumn("_asks", F.lit(False)))
-        .withColumn("_before", F.last("_end", ignorenulls=True).over(earlier))
-        .filter("_asks").select(*keys, "_bucket", "_before")
-    )
-    found = F.coalesce("_here", "_before")
-    return met.join(carried, [*keys, "_bucket"]).select(
-        "_left.*", *[found[c].alias(c) for c in values]
+    carried = ends.withColumns({f"_b{i}": F.last(f"_e{i}", ignorenulls=True).over(earlier) for i in range(len(kinds))})
+    carried = carried.filter("_asks").select(*keys, "_bucket", *[f"_b{i}" for i in range(len(kinds))])
+    last = [F.coalesce(f"_h{i}", f"_b{i}") for i in range(len(kinds))]
+    return found.join(carried, [*keys, "_bucket"]).select(
+        "_left.*", *[last[i][c].alias(c) for i, cols in enumerate(values) for c in cols]
     )
 
 

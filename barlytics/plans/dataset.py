@@ -12,7 +12,7 @@ from barlytics.operators.indicators import (
     atr_pct_stages, day_snapshot, lagged, momentum, realized_vol_stages, rolling_max, rolling_min,
     sma, sma_lagged, taker_buy_ratio, volume_expansion,
 )
-from barlytics.operators.joins import asof_join
+from barlytics.operators.joins import asof_joins
 from barlytics.plans.setups import market_context_ml, top_n
 from barlytics.session import cut
 
@@ -152,10 +152,9 @@ def feature_rows(
     liquid = cut(top_n(universe(base, times, tiny_step, min_turnover), ["asof_ms"], "activity_score", None))
     context = market_context_ml(liquid, lead, second)
     rows = liquid.filter(F.col("activity_rank") <= n).join(context, "asof_ms")
-    for frame, close, step in (
-        (trade_frame(fine, fine_step), "f_close_ms", fine_step),
-        (trend_frame(coarse, coarse_step), "h_close_ms", coarse_step),
-        (confirm_frame(resample(tiny, tiny_step, k), tiny_step * k), "c_close_ms", tiny_step * k),
-    ):
-        rows = asof_join(rows, frame, "asof_ms", close, BUCKET_STEPS * step).filter(F.col(close).isNotNull())
+    frames = [
+        (trade_frame(fine, fine_step), "f_close_ms"), (trend_frame(coarse, coarse_step), "h_close_ms"),
+        (confirm_frame(resample(tiny, tiny_step, k), tiny_step * k), "c_close_ms"),
+    ]
+    rows = asof_joins(rows, frames, "asof_ms", BUCKET_STEPS * max(fine_step, tiny_step * k)).dropna(subset=[close for _, close in frames])
     return directional(rows), context
