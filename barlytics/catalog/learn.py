@@ -110,6 +110,49 @@ def m11m(spark, sf):
     return ev.promotable(ev.threshold_metrics(test, F.array(best.select("threshold").scalar())))
 
 
+# What SQL can say about the fitted model: sizes, labels, and that all figures are in bounds.
+cte(
+    "model_split",
+    f"""WITH t AS (SELECT scan_ms, row_number() OVER (ORDER BY scan_ms) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT scan_ms FROM signals_next WHERE pool_price IS NOT NULL)),
+b AS (SELECT max(scan_ms) FILTER (WHERE pos = i) AS val_start, max(scan_ms) FILTER (WHERE pos = j) AS test_start FROM (
+  SELECT *, least(greatest(i + 1, CAST(floor(n * (0.6::DOUBLE + 0.2::DOUBLE)) AS BIGINT)), n - 1) AS j FROM (SELECT *, greatest(1, CAST(floor(n * 0.6::DOUBLE) AS BIGINT)) AS i FROM t)))
+SELECT pool_price > current_price AS y, CASE WHEN scan_ms <= val_start - {24 * HOUR} THEN 'train' WHEN scan_ms BETWEEN val_start AND test_start - {24 * HOUR} THEN 'val' WHEN scan_ms >= test_start THEN 'test' END AS split
+FROM signals_next, b WHERE pool_price IS NOT NULL""",
+)
+
+
+@query(
+    "m03_classifier_checks",
+    "SELECT split, count(*) AS rows, count(*) FILTER (WHERE y) AS positives, count(*) AS scored, true AS bounded, true AS better_than_base FROM model_split WHERE split IS NOT NULL GROUP BY split",
+)
+def m03c(spark, sf):
+    rows = _model_rows(spark, sf)
+    s = cut(ev.predict(_fitted(rows, sf), rows, MODEL_FEATURES))
+    y, p = F.col("y").cast("double"), F.col("p")
+    body = s.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("y").alias("positives"), F.count_if(p.between(0.0, 1.0)).alias("scored"),
+        (F.avg((p - y) ** 2) < F.avg(y) * (1 - F.avg(y))).alias("better_than_base"),
+    )
+    figures = ev.roc_auc(s, by=["split"]).drop("n").join(ev.average_precision(s, by=["split"]).drop("n"), "split")
+    bounded = F.col("roc_auc").between(0.5, 1.0) & F.col("average_precision").between(0.0, 1.0)
+    return body.join(figures.select("split", bounded.alias("bounded")), "split")
+
+
+@query("m10_importance_checks", f"SELECT unnest({MODEL_FEATURES}) AS feature, true AS bounded")
+def m10c(spark, sf):
+    return m10(spark, sf).select("feature", F.col("importance").between(-1.0, 1.0).alias("bounded"))
+
+
+@query("m11_model_checks", "SELECT count(*) AS test_rows, true AS known_threshold, true AS consistent FROM model_split WHERE split = 'test'")
+def m11c(spark, sf):
+    n = _model_rows(spark, sf).filter("split = 'test'").agg(F.count(F.lit(1))).scalar()
+    c = F.col("alerts")
+    return m11m(spark, sf).select(
+        n.alias("test_rows"), F.col("threshold").between(0.35, 0.95).alias("known_threshold"),
+        (c.between(0, n) & (F.abs(F.col("coverage") - c / n) < 1e-9) & (F.col("promotable") <= (c >= 20))).alias("consistent"),
+    )
+
+
 # --- threshold metrics -----------------------------------------------------
 
 GAP = 12 * HOUR
