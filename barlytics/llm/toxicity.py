@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
         holds("toxicity", _forget)
         seen = []
         for part in slices(batches):
-            seen += [(np.unique(places(t)), y) for t, y in zip(strings(part["text"]), part["__y"].to_pylist())]
+            seen += [(np.unique(places(t)).astype(np.int32), y) for t, y in zip(strings(part["text"]), part["__y"].to_pylist())]
         model = Ftrl()
         for _ in range(EPOCHS if seen else 0):
             for at, y in seen:
