@@ -18,7 +18,8 @@ class KeyedMachine(StatefulProcessor):
     """Runs a transition function over each key's rows of a micro-batch in order.
 
     The state of a key is one JSON value. Rows of a micro-batch are sorted by
-    event order first; across micro-batches the source order counts.
+    event order first. A row that is older than the last one its key has seen in
+    an earlier micro-batch comes too late and is left out.
     """
 
     def __init__(self, step: Callable, order: list[str], names: list[str]):
@@ -28,13 +29,18 @@ class KeyedMachine(StatefulProcessor):
         self.state = handle.getValueState("machine", "body string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        st = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        held = json.loads(self.state.get()[0]) if self.state.exists() else {"machine": {}, "at": None}
+        st, last = held["machine"], held["at"]
         out = []
         # A micro-batch holds the scans of one trigger, so few rows per key.
         for row in pd.concat(rows).sort_values(self.order, kind="stable").itertuples(index=False, name="Row"):
+            at = int(getattr(row, self.order[0]))
+            if last is not None and at < last:
+                continue
+            last = at
             made = self.step(st, row)
             out += made if isinstance(made, list) else [] if made is None else [made]
-        self.state.update((json.dumps(st, default=float),))
+        self.state.update((json.dumps({"machine": st, "at": last}, default=float),))
         yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:

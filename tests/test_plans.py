@@ -93,6 +93,15 @@ def test_each_scan_brings_its_threshold(spark, tmp_path):
     assert {(r.event, r.pair) for r in spark.read.schema(shape).json(f"{out}/arm").collect()} == {("SHADOW_ARMED", "LENIENT")}
 
 
+def test_a_scan_that_comes_too_late_is_left_out(spark, tmp_path):
+    landing, out = tmp_path / "scans", str(tmp_path / "out")
+    for at in (960_000, 940_000, 970_000):
+        drop(landing, at, [], [candidate("A", 85, 1.0)])
+        live.start_machine(spark, str(landing), out, "confirm", F.lit(1_000_000), {"availableNow": True}).awaitTermination()
+    events = spark.read.schema("event string, timestamp_ms long").json(f"{out}/confirm").collect()
+    assert [tuple(e) for e in events] == [("SIGNAL_CONFIRMED", 970_000)]
+
+
 def test_labels_wait_until_they_are_ripe(spark, tmp_path):
     """Three deliveries: each pair is labelled once, one only by the third."""
     out, waiting, seen = str(tmp_path / "out"), str(tmp_path / "waiting"), []
