@@ -264,6 +264,16 @@ def test_account_cooldown_and_outcome(spark):
     assert [(e.id, e.data_error) for e in ev if e.kind == "STALLED"] == [("c", "MISSING_BAR")]
 
 
+def test_an_accepted_id_stays_silent_for_good(spark):
+    day = 86_400_000
+    bars = paper_bars((100, 110, 99), start=BAR) + paper_bars((100, 110, 99), start=day + 2 * BAR)
+    signals = [signal("a", 1), signal("x", 2), signal("b", day + BAR + 1), signal("a", 1, seen=day + 5 * BAR), signal("x", 2, seen=day + 5 * BAR), signal("x", 2, seen=day + 6 * BAR)]
+    ev = paper(spark, signals, bars)
+    assert [(e.id, e.reason) for e in ev if e.kind == "ADMISSION"] == [
+        ("a", "ACCEPTED"), ("x", "POSITION_ALREADY_OPEN"), ("b", "ACCEPTED"), ("x", "STALE_AT_OBSERVATION"),
+    ]
+
+
 @pytest.mark.parametrize("name,side,ohl,now,status,net", [c for c in EXITS if c[5] is not None])
 def test_account_exits_match_the_batch_rule(spark, name, side, ohl, now, status, net):
     ev = [e for e in paper(spark, [signal("a", 1, bias=side)], paper_bars(*ohl)) if e.kind == "OUTCOME"]
