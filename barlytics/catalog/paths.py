@@ -8,7 +8,7 @@ from barlytics.catalog.base import COARSE, DAY, FINE, HOUR, LEAD, SECOND, TINY,
 from barlytics.catalog.market import HORIZON, R9, ml_rows, trigger_rows
 from barlytics.functions import scalar as sc
 from barlytics.operators import cohorts, grid, labels as lab
-from barlytics.plans import backtest
+from barlytics.plans import backtest, dataset
 from barlytics.session import cut
 
 # Fixture prices span about 5 %, so barriers and horizons are smaller and longer
@@ -146,13 +146,16 @@ cte(
 
 def ml_facts(spark, sf):
     tiny, rows, ctx = ml_rows(spark, sf)
+    return facts_of(tiny, rows), ctx
+
+
+def facts_of(tiny, rows):
     a = rows.select(
         F.concat_ws("-", "symbol", F.col("asof_ms").cast("string")).alias("row_id"), "symbol", F.col("direction").alias("bias"), "asof_ms", "entry_price"
     )
-    f = lab.path_facts(
+    return lab.path_facts(
         cut(a), tiny, "row_id", [t for t, _ in BARRIERS], [s for _, s in BARRIERS], ML_HORIZONS, BUCKET, "close", TINY
     )
-    return f, ctx
 
 
 def ml_labels(spark, sf):
@@ -174,6 +177,27 @@ def l06(spark, sf):
     ), 6)
 
 
+GOAL, STOP_AT, WITHIN = *BARRIERS[1], ML_HORIZONS[1]
+GOAL_NAMES = {k: dataset.label_name(k, GOAL, STOP_AT, WITHIN) for k in ("target", "ambiguous", "sim_return")}
+
+
+def learning_table(spark, sf):
+    tiny, rows, _ = ml_rows(spark, sf)
+    rows = cut(rows)
+    labels = lab.label_grid(facts_of(tiny, rows), "row_id", BARRIERS, ML_HORIZONS)
+    return dataset.learning_rows(rows, labels, BARRIERS, ML_HORIZONS)
+
+
+@query(
+    "c06_learning_rows",
+    f"""SELECT f.row_id, f.symbol, f.asof_ms, f.bias AS direction, CAST(path = 'TARGET_FIRST' AS INT) AS {GOAL_NAMES['target']}, CAST(path = 'AMBIGUOUS' AS INT) AS {GOAL_NAMES['ambiguous']},
+  round(sim_return_pct, 6) + 0.0 AS {GOAL_NAMES['sim_return']}
+FROM ml_anchors f JOIN ml_labels l ON f.row_id = l.row_id WHERE target_pct = {GOAL} AND horizon_ms = {WITHIN}""",
+)
+def c06b(spark, sf):
+    return rnd(learning_table(spark, sf).select("row_id", "symbol", "asof_ms", "direction", *GOAL_NAMES.values()), 6)
+
+
 PIV = [(t, h) for t, _ in BARRIERS for h in ML_HORIZONS]
 
 

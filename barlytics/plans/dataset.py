@@ -158,3 +158,28 @@ def feature_rows(
     ]
     rows = asof_joins(rows, frames, "asof_ms", BUCKET_STEPS * max(fine_step, tiny_step * k)).dropna(subset=[close for _, close in frames])
     return directional(rows), context
+
+
+def label_name(kind: str, target: float, stop: float, horizon_ms: int, unit_ms: int = 3_600_000) -> str:
+    """Column name of a label of the learning table."""
+    tag = lambda x: f"{x:g}".replace(".", "_")
+    return f"{kind}{tag(target)}_stop{tag(stop)}_{horizon_ms // unit_ms}h"
+
+
+def learning_rows(features: DataFrame, labels: DataFrame, barriers, horizons_ms) -> DataFrame:
+    """The table the classifier learns from: features, and what came after each row.
+
+    ``labels`` has a row per (row_id, horizon, barrier), as ``labels.label_grid`` makes
+    them; they become columns, shrunk to one row per row_id before the join.
+    """
+    columns = []
+    for target, stop in barriers:
+        for h in horizons_ms:
+            on = (F.col("target_pct") == target) & (F.col("stop_pct") == stop) & (F.col("horizon_ms") == h)
+            made = {
+                "target": F.col("target_before_stop"), "ambiguous": (F.col("path") == "AMBIGUOUS").cast("int"), "sim_return": F.col("sim_return_pct"),
+            }
+            columns += [F.max(F.when(on, v)).alias(label_name(k, target, stop, h)) for k, v in made.items()]
+    wide = labels.groupBy("row_id").agg(*columns)
+    row_id = F.concat_ws("-", "symbol", F.col("asof_ms").cast("string"))
+    return features.withColumn("row_id", row_id).join(wide, "row_id")

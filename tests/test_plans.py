@@ -45,6 +45,19 @@ def test_training_separates_a_learnable_label(spark):
     assert out["top_slices"].count() == 3
 
 
+def test_the_built_table_trains(spark):
+    """From bars to a judged classifier, with every feature the classifier reads."""
+    from barlytics.catalog.base import DAY
+    from barlytics.catalog.paths import GOAL_NAMES, learning_table
+
+    rows = learning_table(spark, SF)
+    assert set(training.FEATURES) <= set(rows.columns)
+    out = training.evaluate(rows, GOAL_NAMES["target"], GOAL_NAMES["sim_return"], "row_id", ambiguous=GOAL_NAMES["ambiguous"], max_iter=3, min_rows=5, gap_ms=30 * DAY)
+    slices = {r.slice: r for r in out["slices"].collect()}
+    assert set(slices) == {"train", "val", "test"} and all(r.n > 0 for r in slices.values())
+    assert out["promotable"].count() == 1
+
+
 def candidate(pair, score, price):
     return {
         "pair": pair, "bias": "LONG", "score": score, "current_price": price, "oi_change_15m_pct": 0.5, "oi_change_1h_pct": 0.2,
