@@ -93,7 +93,7 @@ def rnd(df: DataFrame, digits: int = 9, keep=()) -> DataFrame:
 
 cte(
     "ticks",
-    """SELECT concat('S', l_suppkey % greatest(5, (SELECT max(l_suppkey) FROM lineitem) // 20)) AS symbol, epoch_ms(l_shipdate) AS t_ms,
+    """SELECT concat('S', l_suppkey % greatest(5, (SELECT max(l_suppkey) + 1 FROM lineitem) // 20)) AS symbol, epoch_ms(l_shipdate) AS t_ms,
   (l_orderkey * 8 + l_linenumber) * 262144 + l_partkey % 262144 AS seq, 100 + l_extendedprice / 20000 AS price,
   l_quantity AS qty, l_extendedprice AS quote,
   CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END AS taker_base,
@@ -119,7 +119,7 @@ cte("coarse_bars", _bars_sql(COARSE))
 
 def n_keys(df: DataFrame, column: str, least: int, share: int) -> Column:
     """Number of series that a table is folded into; it grows with the table."""
-    return F.greatest(F.lit(least).cast("bigint"), F.floor(df.agg(F.max(column)).scalar() / share))
+    return F.greatest(F.lit(least).cast("bigint"), F.floor((df.agg(F.max(column)).scalar() + 1) / share))
 
 
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +167,7 @@ def frames(spark: SparkSession, sf: str, *steps: int) -> list[DataFrame]:
 
 cte(
     "scan_rows",
-    f"""SELECT concat('P', user_id % greatest(20, (SELECT max(user_id) FROM events) // 50)) AS pair, epoch_us(ts) // 1000 - (epoch_us(ts) // 1000) % {HOUR} AS scan_ms,
+    f"""SELECT concat('P', user_id % greatest(20, (SELECT max(user_id) + 1 FROM events) // 7)) AS pair, epoch_us(ts) // 1000 - (epoch_us(ts) // 1000) % {HOUR} AS scan_ms,
   event_id, ts, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
   event_type = 'error' AS is_error
 FROM events""",
@@ -199,7 +199,7 @@ def scan_rows(spark: SparkSession, sf: str) -> DataFrame:
     hour = ms("ts") - F.pmod(ms("ts"), F.lit(HOUR))
     events = table(spark, sf, "events")
     return events.select(
-        F.concat(F.lit("P"), (F.col("user_id") % n_keys(events, "user_id", 20, 50)).cast("string")).alias("pair"),
+        F.concat(F.lit("P"), (F.col("user_id") % n_keys(events, "user_id", 20, 7)).cast("string")).alias("pair"),
         hour.alias("scan_ms"), "event_id", "ts", "value",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
         (F.col("event_type") == "error").alias("is_error"),
