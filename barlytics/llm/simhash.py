@@ -15,6 +15,7 @@ task, so a group of m fingerprints gives fewer than m links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlytics.llm import minhash
 from barlytics.llm.components import components
 from barlytics.llm.tables import slices, stored, strings
 
@@ -64,22 +66,6 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
     return np.array([digest(s, SEED) for s in shingles], dtype=np.uint64)
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """XXH64 of the distinct words of a text."""
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w, SEED) for w in set(text.encode().lower().split())], dtype=np.uint64)
-
-
-def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The ``k``-th independent set of hashes made from one; the 0th is the set itself."""
-    if not k:
-        return hashes
-    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64), pa.int64())
 
@@ -96,18 +82,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def word_fingerprints(rows: DataFrame, n: int) -> DataFrame:
-    """row and ``n`` independent fingerprints of its distinct words, of ``rows`` (row, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            hashes = [word_hashes(t) for t in strings(part["text"])]
-            found = [_signed([majority(mixed(h, k)) for h in hashes]) for k in range(n)]
-            yield pa.RecordBatch.from_arrays([part["row"], *found], ["row", *(f"fp{k}" for k in range(n))])
-
-    return rows.select("row", "text").mapInArrow(run, "row long, " + ", ".join(f"fp{k} long" for k in range(n)))
-
-
 # ------------------------------------------------------------------ groups
 
 
@@ -297,26 +271,23 @@ def groups(docs: DataFrame, shingle: int = 3, max_diff: int = 3, limit: int = LI
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, n: int = 4, max_diff: int = 3, limit: int = LIMIT) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` less all but one of each group of near copies.
 
-    Two documents are linked if one of ``n`` independent fingerprints of their distinct
-    words differs in at most ``max_diff`` bits. On the given tables 98 % of the pairs that
-    share 0.8 of their five-word shingles fall into one group, and no texts that share
-    less than 0.3.
+    Two documents are linked if the sets of their word shingles have a Jaccard similarity
+    of at least ``percent`` hundredths, and groups are what links connect (see ``minhash``).
     The row with the smallest doc_id stays (nulls last); texts without words are one group.
     """
+    hashes = partial(shingle_hashes, size=shingle)
     docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    names = [f"fp{k}" for k in range(n)]
-    rows = stored(word_fingerprints(docs.select(F.col("__row").alias("row"), F.col("text").cast("string")), n), "fingerprints")
+    texts = docs.select(F.col("__row").alias("row"), F.col("text").cast("string"))
+    rows = stored(minhash.signatures(texts, hashes), "signatures")
     ids = docs.select(F.col("__row").alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__row").alias("row")).alias("place"))
-    classes = stored(rows.groupBy(*names).agg(F.min("row").alias("class")), "classes")
-    each = classes.select("class", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("fp")) for k, c in enumerate(names)])).alias("w")).select("class", "w.*")
-    words = stored(each.groupBy("kind", "fp").agg(F.min("class").alias("node")), "words")
-    own = each.join(words, ["kind", "fp"]).filter(F.col("class") != F.col("node")).select(F.col("class").alias("u"), F.col("node").alias("v"))
-    roots = components(links(words, max_diff, limit).unionByName(own))
-    named = classes.join(roots, classes["class"] == roots["node"], "left").select(*names, F.coalesce("root", "class").alias("root"))
-    placed = stored(rows.join(ids, "row").join(named, names).select("row", "root", "place"), "placed")
+    same = stored(rows.groupBy("high", "low").agg(F.min("row").alias("node")), "same")
+    classes = stored(rows.withColumnRenamed("row", "node").join(same.select("node"), "node", "left_semi").select("node", "bands", "short"), "classes")
+    roots = components(minhash.links(classes, texts.withColumnRenamed("row", "node"), hashes, percent))
+    named = same.join(roots, "node", "left").select("high", "low", F.coalesce("root", "node").alias("root"))
+    placed = stored(rows.select("row", "high", "low").join(ids, "row").join(named, ["high", "low"]).select("row", "root", "place"), "placed")
     first = placed.groupBy("root").agg(F.min("place").alias("place"), F.count("*").alias("n")).filter(F.col("n") > 1)
     first = stored(first.select("root", F.col("place.row").alias("first")), "first")
     gone = stored(placed.join(first, "root").filter(F.col("row") != F.col("first")).select(F.col("row").alias("__row")), "gone")

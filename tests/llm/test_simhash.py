@@ -100,3 +100,49 @@ def test_keep_one_leaves_one_of_each_group(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(x["doc_id"] for x in kept.collect()) == [*range(20), 300]
+
+
+def edited(seed, families, copies, words, most):
+    """Families of edited texts: (doc_id, text), in random order."""
+    r = random.Random(seed)
+    rows = []
+    for f in range(families):
+        base = [f"f{f}w{r.randrange(10**6)}" for _ in range(r.choice(words))]
+        for _ in range(copies):
+            text = list(base)
+            for _ in range(r.randrange(most + 1)):
+                text[r.randrange(len(text))] = f"e{r.randrange(10**6)}"
+            rows.append(" ".join(text))
+    r.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def brute_kept(rows, size=5, percent=80):
+    """Kept doc_ids, and the pairs that are alike, by comparing all pairs of shingle sets."""
+    sets = {d: {tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} for d, t in rows for w in [t.lower().split()]}
+    root = {d: d for d in sets}
+    alike = []
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in range(a):
+            if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                alike.append((a, b))
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d for d in sets if find(d) == d}, alike
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_keep_one_finds_all_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash.minhash, "BLOCK", block)
+    rows = edited(11, 30, 12, (40, 90, 150, 300), 5) + [(10_000, "a common line of seven words here")]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    want, alike = brute_kept(rows)
+    assert len(alike) > 300 and 30 < len(want) < len(rows) - 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in simhash.keep_one(docs).collect()} == want
