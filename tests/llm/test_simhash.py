@@ -146,3 +146,10 @@ def test_keep_one_finds_all_near_copies(spark, monkeypatch, block):
     assert len(alike) > 300 and 30 < len(want) < len(rows) - 100
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x["doc_id"] for x in simhash.keep_one(docs).collect()} == want
+
+
+def test_keep_one_keeps_same_words_in_another_order(spark):
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words), " ".join(words[::-1]), " ".join(words[::2] + words[1::2])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.keep_one(docs).collect()) == [0, 1, 2]
