@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from barlytics.llm import decontamination, host_quality, huffman, licenses, main_text, packing, simhash, token_counts, toxicity, url_rules
-from barlytics.llm.tables import new_path, read
+from barlytics.llm import (
+    chat, decontamination, hard_negatives, host_quality, huffman, licenses, main_text, merkle, packing, simhash, token_counts, toxicity, url_rules,
+)
+from barlytics.llm.tables import new_path, read, stored
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -59,11 +61,24 @@ def op10_host_quality(spark, sf_dir):
     return host_quality.judge(read(spark, sf_dir, "documents")).drop("host_rejected")
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.prove(read(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
+def op13_chat_format(spark, sf_dir):
+    turns = chat.with_hostile(read(spark, sf_dir, "conversations"))
+    return chat.digests(stored(chat.formatted(turns), "chat"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_huffman_ids, op2_main_text, op3_token_counts, op4_simhash_groups, op5_packing, op6_toxicity, op7_licenses,
-        op8_url_rules, op9_decontamination, op10_host_quality,
+        op8_url_rules, op9_decontamination, op10_host_quality, op11_merkle_manifest, op12_hard_negatives, op13_chat_format,
     )
 }
 
@@ -126,5 +141,82 @@ prior AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1),
 bad_hosts AS (SELECT source FROM hosts, prior WHERE (bad + m * k) / (n + k) > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad_hosts)) AS kept
-FROM judged""",
+FROM judged""",    "op11_merkle_manifest": """
+WITH RECURSIVE crcs AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+  FROM range(256) r(b)),
+framed AS (
+  SELECT doc_id, lang, text,
+         CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+         || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+         || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+         || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head,
+         xor(list_reduce(list_transform(range(length(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(substring(CAST(doc_id AS VARCHAR), i + 1, 1)) AS BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 3 = 0 AS hit
+  FROM documents, crcs),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         CASE WHEN hit AND text IS NOT NULL
+              THEN sha256(head || strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) END AS bent
+  FROM framed),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r, count(*) AS n FROM leaves GROUP BY lang),
+placed AS (
+  SELECT l.doc_id, l.leaf, coalesce(l.bent, l.leaf) AS fold, g.r, g.n,
+         row_number() OVER (PARTITION BY g.r ORDER BY l.doc_id NULLS FIRST, l.leaf) - 1 AS i
+  FROM leaves l JOIN langs g ON l.lang IS NOT DISTINCT FROM g.lang),
+nodes AS (
+  SELECT r, 0 AS k, i, n AS m, leaf AS d FROM placed
+  UNION ALL
+  SELECT r, k + 1, i // 8, (m + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM nodes WHERE m > 1 GROUP BY r, k, i // 8, m),
+subroots AS (SELECT r, k AS h, d FROM nodes WHERE m = 1),
+tops AS (
+  SELECT 0 AS k, r AS i, (SELECT count(*) FROM langs) AS m, d FROM subroots
+  UNION ALL
+  SELECT k + 1, i // 8, (m + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM tops WHERE m > 1 GROUP BY k, i // 8, m),
+root AS (SELECT d FROM tops WHERE m = 1),
+around AS (
+  SELECT r, k, i, coalesce(string_agg(d, '') OVER (PARTITION BY r, k, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+         coalesce(string_agg(d, '') OVER (PARTITION BY r, k, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM (SELECT r, k, i, d FROM nodes WHERE m > 1 UNION ALL SELECT -1, k, i, d FROM tops WHERE m > 1)),
+climb AS (
+  SELECT p.r, p.i AS leaf_at, h, 0 AS step, p.i AS pos, fold AS f, '' AS proof FROM placed p JOIN subroots s ON p.r = s.r
+  UNION ALL
+  SELECT c.r, leaf_at, h, step + 1, CASE WHEN step + 1 = h THEN c.r ELSE pos // 8 END, sha256(a || f || b), proof || a || b
+  FROM climb c JOIN around n
+    ON n.r = CASE WHEN step < h THEN c.r ELSE -1 END AND n.k = CASE WHEN step < h THEN step ELSE step - h END
+   AND n.i = CASE WHEN step = 0 AND h = 0 THEN c.r ELSE pos END),
+ends AS (SELECT r, leaf_at, max_by(f, step) AS f, max_by(proof, step) AS proof FROM climb GROUP BY r, leaf_at)
+SELECT p.doc_id, p.leaf, s.d AS subroot, root.d AS root, sha256(e.proof) AS proof_sha256, e.f AS folded_root, e.f = root.d AS verified
+FROM placed p JOIN ends e ON p.r = e.r AND p.i = e.leaf_at JOIN subroots s ON p.r = s.r, root""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+ AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 5""",
+    "op13_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+written AS (
+  SELECT *, length(role) + 24 + length(CASE WHEN contains(text, '<|im_start|>') OR contains(text, '<|im_end|>') OR regexp_matches(text, '<\\+\|')
+    THEN regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') ELSE text END) AS chars
+  FROM turns),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned, CAST(sum(chars) AS BIGINT) AS formatted_chars
+  FROM written GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM whole""",
 }

@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from barlytics.session import shared_dir
 
@@ -64,3 +65,22 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 def drawn(hashed: Column, share: float) -> Column:
     """True for ``share`` of all values of a signed 64-bit hash."""
     return hashed <= min(int(share * 2**64) - 2**63, 2**63 - 1)
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``place``, the number of a row in its group, and ``total``, the group's size.
+
+    Rows are dealt out by range, sorted and written with the number of their task; what
+    earlier tasks hold of a group is added up over one row for each group and task.
+    Equal rows are dealt out too, by where they came from.
+    """
+    spread = F.xxhash64(F.monotonically_increasing_id())
+    by = [F.col(c).asc_nulls_first() for c in [*group, *order]]
+    rows = rows.withColumn("_salt", spread).repartitionByRange(*by, "_salt").sortWithinPartitions(*by).drop("_salt")
+    rows = stored(rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), name)
+    sizes = rows.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    each = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = F.sum("_n").over(each.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*group, "_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(each).alias("total"))
+    placed = rows.join(sizes, [*group, "_part"]).withColumn("place", F.col("_at") - F.col("_first") + F.col("_before"))
+    return placed.drop("_part", "_at", "_first", "_before")
