@@ -287,7 +287,7 @@ def trades(spark, sf):
     tiny, t = trigger_rows(spark, sf)
     entries = t.select(F.col("trigger_id").alias("id"), "symbol", F.col("bias").alias("side"), grid.next_bucket("asof_ms", DAY).alias("entry_ms"))
     now = tiny.agg(F.max("open_time_ms")).scalar()
-    return t, lab.gap_aware_exit(entries, tiny, TINY, now, TP, SL, first_window=16)
+    return t, lab.gap_aware_exit(entries, tiny, TINY, now, TP, SL)
 
 
 @query(

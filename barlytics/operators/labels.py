@@ -1,19 +1,20 @@
 """Labels from the price path after each anchor.
 
-All horizons, targets and stops of an anchor come out of one pass: the pairs of
-the range join go straight into partial aggregates (first hit times, extremes,
-last close), so what is shuffled is one row per anchor and task. First-hit times
-then decide every (target, stop, horizon) combination without another join.
+All horizons, targets and stops of an anchor come out of one walk over a pyramid of
+highs and lows: extremes, counts and last closes of each horizon, first hit times and the
+worst move up to a target. First-hit times then decide every (target, stop, horizon)
+combination without another join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from barlytics.functions.scalar import _c, clamp, directional_return
 from barlytics.operators.grid import ceil_bucket
 from barlytics.operators.indicators import numbered
-from barlytics.operators.joins import asof_join, forward_join
+from barlytics.operators import pyramid
+from barlytics.operators.joins import asof_join
 from barlytics.session import cut
 
 HOUR = 3_600_000
@@ -31,10 +32,13 @@ def favorable_adverse(entry, bias, high, low) -> tuple[Column, Column]:
 
 def path_facts(
     anchors: DataFrame, bars: DataFrame, anchor_id: str, targets, stops, horizons_ms,
-    bucket_ms: int, window: str = "open", step: int | None = None, keys=("symbol",), carry=(),
+    bucket_ms: int, window: str = "open", step: int = 300_000, keys=("symbol",), carry=(),
 ) -> DataFrame:
     """Per anchor: first hit times, extremes, counts and last close per horizon.
 
+    One pass over a pyramid of highs and lows (see ``pyramid``): an anchor meets rows whose number
+    grows with the logarithm of its longest horizon.
+
     Anchors carry ``entry_price, bias, asof_ms``. ``window`` picks the bars:
 
     * ``open``  - open time in ``[asof, asof + h)``
@@ -58,49 +62,23 @@ def path_facts(
         origin, inclusive = F.col("asof_ms"), False
         start, end = F.col("asof_ms"), F.col("asof_ms") + F.lit(longest)
 
-    pairs = forward_join(anchors, bars.select(*keys, "open_time_ms", "close_time_ms", "high", "low", "close"),
-                         start, end, bucket_ms, time, keys, inclusive)
-    t = F.col(f"bar.{time}")
-    fav, adv = favorable_adverse("entry_price", "bias", F.col("bar.high"), F.col("bar.low"))
-    pairs = pairs.withColumns({"_t": t, "_fav": fav, "_adv": adv, "_close": F.col("bar.close"), "_origin": origin})
-
-    def inside(h):
-        edge = F.col("_origin") + F.lit(h)
-        return F.col("_t") <= edge if inclusive else F.col("_t") < edge
-
-    aggs = [F.first(c).alias(c) for c in carry]
-    aggs += [F.min(F.when(F.col("_fav") >= T, F.col("_t"))).alias(f"t_target_{tag(T)}") for T in targets]
-    aggs += [F.min(F.when(F.col("_adv") <= -S, F.col("_t"))).alias(f"t_stop_{tag(S)}") for S in stops]
-    for h in horizons_ms:
-        k = f"{h}"
-        cond = inside(h)
-        aggs += [
-            F.count_if(cond).alias(f"bars_{k}"),
-            F.max(F.when(cond, F.col("_fav"))).alias(f"fav_{k}"),
-            F.min(F.when(cond, F.col("_adv"))).alias(f"adv_{k}"),
-            F.max_by("_close", F.when(cond, F.col("_t"))).alias(f"close_{k}"),
-        ]
-    group = [anchor_id, *keys, "bias", "entry_price", "asof_ms", F.col("_origin").alias("origin_ms")]
-    # One row per anchor, read by the second pass and by the caller.
-    facts = cut(pairs.groupBy(*group).agg(*aggs))
-
-    # Worst adverse move up to a target: a second pass that reads no further
-    # than the last first-target time of each anchor.
-    hit = F.greatest(*[F.col(f"t_target_{tag(T)}") for T in targets], F.lit(None).cast("bigint"))
-    reached = facts.withColumn("_until", hit).filter("_until is not null")
-    first = F.col("origin_ms") if window != "close" else F.col("origin_ms") + F.lit(step)
-    again = forward_join(
-        reached, bars.select(*keys, "open_time_ms", "close_time_ms", "high", "low"),
-        first if window != "ceil" else ceil_bucket("asof_ms", step), F.col("_until"), bucket_ms, time, keys, True,
-    )
-    _, adv2 = favorable_adverse("entry_price", "bias", F.col("bar.high"), F.col("bar.low"))
-    before = again.withColumns({"_t": t, "_adv": adv2}).groupBy(anchor_id).agg(
-        *[
-            F.least(F.lit(0.0), F.min(F.when(F.col("_t") <= F.col(f"t_target_{tag(T)}"), F.col("_adv")))).alias(f"mae_to_target_{tag(T)}")
-            for T in targets
-        ]
-    )
-    return facts.join(before, anchor_id, "left")
+    edge = [origin + F.lit(h) + F.lit(int(inclusive)) for h in horizons_ms]
+    last = end + F.lit(int(inclusive))
+    order = sorted(range(len(horizons_ms)), key=lambda i: horizons_ms[i])
+    ends = [F.least(edge[i], last).cast("bigint") for i in order]
+    levels = pyramid.height(longest / step)
+    blocks = pyramid.build(bars, step, levels, time, keys)
+    barriers = [pyramid.Barrier(f"target_{tag(T)}", lambda fav, adv, T=T: fav >= T, path=True) for T in targets]
+    barriers += [pyramid.Barrier(f"stop_{tag(S)}", lambda fav, adv, S=S: adv <= -S) for S in stops]
+    anchors = anchors.withColumns({"_origin": origin, "_start": start.cast("bigint")})
+    own = ["asof_ms", "_origin", *[c for c in carry if c != "asof_ms"]]
+    facts = pyramid.walk(anchors, blocks, anchor_id, F.col("_start"), ends, barriers, step, levels, keys, own)
+    names = {"_origin": "origin_ms"}
+    for k, i in enumerate(order):
+        names |= {f"n_{k}": f"bars_{horizons_ms[i]}"} | {f"{c}_{k}": f"{c}_{horizons_ms[i]}" for c in ("fav", "adv", "close")}
+    facts = facts.withColumnsRenamed(names)
+    worst = {f"mae_to_target_{tag(T)}": F.when(F.col(f"t_target_{tag(T)}").isNotNull(), F.least(F.lit(0.0), f"adv_target_{tag(T)}")) for T in targets}
+    return facts.withColumns(worst).drop(*[f"{c}_target_{tag(T)}" for c in ("fav", "adv") for T in targets])
 
 
 def resolve(target_time, stop_time) -> Column:
@@ -232,7 +210,6 @@ def with_runs(bars: DataFrame, step: int) -> DataFrame:
 
 def gap_aware_exit(
     trades: DataFrame, bars: DataFrame, step: int, now: Column, target: float = 5.0, stop: float = 6.0,
-    first_window: int = 288, growth: int = 4,
 ) -> DataFrame:
     """Exit of each paper trade at its first deciding bar.
 
@@ -240,72 +217,42 @@ def gap_aware_exit(
     bar at ``entry_ms`` and follows the unbroken run of closed bars from there.
     Opening gaps decide first; both barriers in one bar are an ambiguous loss.
 
-    Trades look through a short window first; those still open go on to a
-    window ``growth`` times as long, until all are decided or the bars end. So
-    the work follows the holding times, not the length of the history.
+    Bars hold ``low <= open <= high``, so a bar decides exactly if its high or low reaches a
+    barrier. The first such bar is found in a pyramid of highs and lows, with rows that grow with
+    the logarithm of the run, then that bar alone tells how the trade ends. ``id`` names a trade.
     """
     eps = 1e-9
     closed = with_runs(bars, step).filter(F.col("open_time_ms") + step <= now)
     closed = cut(closed.select("symbol", "open_time_ms", "open", "high", "low", "close", "run_id"))
-    entry = closed.select(
-        "symbol", F.col("open_time_ms").alias("entry_ms"), F.col("open").alias("entry_price"), F.col("run_id").alias("_run")
+    runs = closed.groupBy("symbol", "run_id").agg(F.max("open_time_ms").alias("_run_end"))
+    entry = closed.select("symbol", F.col("open_time_ms").alias("entry_ms"), F.col("open").alias("entry_price"), "run_id")
+    live = cut(trades.join(entry.join(runs, ["symbol", "run_id"]).drop("run_id"), ["symbol", "entry_ms"], "left"))
+    pending = live.filter("_run_end is null").drop("_run_end", "entry_price")
+    live = live.filter("_run_end is not null")
+    longest = live.agg(F.max((F.col("_run_end") - F.col("entry_ms")) / step)).first()[0] or 1
+    levels = pyramid.height(longest)
+    exits = pyramid.Barrier("exit", lambda fav, adv: (fav >= target - eps) | (adv <= -(stop - eps)), path=True)
+    found = pyramid.walk(
+        live.withColumn("bias", F.col("side")), pyramid.build(closed, step, levels), "id", F.col("entry_ms"),
+        [F.col("_run_end") + 1], [exits], step, levels, carry=["side", "entry_ms"],
     )
-    run_end = closed.groupBy("symbol", "run_id").agg(F.max("open_time_ms").alias("_run_end"))
-    live = trades.join(entry, ["symbol", "entry_ms"], "left")
-    pending = live.filter("_run is null").drop("_run", "entry_price")
-    live = live.filter("_run is not null").join(
-        run_end.withColumnRenamed("run_id", "_run"), ["symbol", "_run"]
-    ).withColumn("_from", F.col("entry_ms"))
-    live = cut(live.withColumn("_mae", F.lit(0.0)).withColumn("_mfe", F.lit(0.0)))
-
-    decided, window = [], first_window
-    while True:  # every round moves the open trades towards the end of their run
-        until = F.least(F.col("_from") + F.lit(window * step), F.col("_run_end") + 1)
-        pairs = forward_join(live.withColumnRenamed("_run", "_r"), closed, F.col("_from"), until, first_window * step)
-        pairs = pairs.filter(F.col("bar.run_id") == F.col("_r"))
-        sign = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
-        e = F.col("entry_price")
-        opening = sign * (F.col("bar.open") / e - 1.0) * 100.0
-        up, down = (F.col("bar.high") / e - 1.0) * 100.0, (1.0 - F.col("bar.low") / e) * 100.0
-        fav = F.when(F.col("side") == "LONG", up).otherwise(down)
-        adv = F.when(F.col("side") == "LONG", down).otherwise(up)
-        hit_t, hit_s = fav >= target - eps, adv >= stop - eps
-        gap_stop, gap_target = opening <= -stop, opening >= target
-        exits = gap_stop | gap_target | hit_t | hit_s
-        won = gap_target | (~gap_stop & hit_t & ~hit_s)
-        both = ~gap_stop & ~gap_target & hit_t & hit_s
-        pairs = pairs.select(
-            "id", F.col("bar.open_time_ms").alias("_t"), fav.alias("_fav"), adv.alias("_adv"),
-            F.when(exits, F.col("bar.open_time_ms")).alias("_x"),
-            F.when(won, "TARGET").when(both, "AMBIGUOUS_LOSS").otherwise("STOP").alias("_status"),
-            F.when(gap_stop, F.least(F.lit(-stop), opening)).when(won, F.lit(target)).otherwise(F.lit(-stop)).alias("_gross"),
-        )
-        earlier = Window.partitionBy("id").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-        known = pairs.withColumn("_past", F.min("_x").over(earlier)).filter("_past is null")  # up to the deciding bar
-        seen = known.groupBy("id").agg(
-            F.max("_adv").alias("_a"), F.max("_fav").alias("_f"), F.max("_x").alias("_exit"),
-            F.min_by(F.struct("_status", "_gross"), "_x").alias("_o"),
-        )
-        after = live.join(seen, "id", "left")
-        after = after.withColumn("_mae", F.greatest("_mae", F.col("_a"))).withColumn("_mfe", F.greatest("_mfe", F.col("_f")))
-        after = cut(after.drop("_a", "_f"))
-        decided.append(after.filter(F.col("_exit").isNotNull()).drop("_from"))
-        rest = after.filter(F.col("_exit").isNull()).drop("_exit", "_o").withColumn(
-            "_from", F.col("_from") + F.lit(window * step)
-        )
-        live = rest.filter("_from <= _run_end")
-        decided.append(
-            rest.filter("_from > _run_end").drop("_from")
-            .withColumn("_exit", F.lit(None).cast("bigint"))
-            .withColumn("_o", F.lit(None).cast("struct<_status:string,_gross:double>"))
-        )
-        if live.isEmpty():
-            break
-        window *= growth
-
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
+    reached = F.col("t_exit").isNotNull()
+    found = found.select(
+        "id", F.col("t_exit").alias("_exit"), F.greatest(F.lit(0.0), F.when(reached, F.col("fav_exit")).otherwise(F.col("fav_0"))).alias("_mfe"),
+        F.greatest(F.lit(0.0), -F.when(reached, F.col("adv_exit")).otherwise(F.col("adv_0"))).alias("_mae"),
+    )
+    bar = closed.select("symbol", F.col("open_time_ms").alias("_exit"), F.struct("open", "high", "low").alias("_bar"))
+    out = live.join(found, "id").join(bar, ["symbol", "_exit"], "left")
+    e, sign = F.col("entry_price"), F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
+    opening = sign * (F.col("_bar.open") / e - 1.0) * 100.0
+    fav, adv = favorable_adverse("entry_price", "side", F.col("_bar.high"), F.col("_bar.low"))
+    gap_stop, gap_target = opening <= -stop, opening >= target
+    hit_t, hit_s = fav >= target - eps, -adv >= stop - eps
+    won = gap_target | (~gap_stop & hit_t & ~hit_s)
+    both = ~gap_stop & ~gap_target & hit_t & hit_s
+    status = F.when(won, "TARGET").when(both, "AMBIGUOUS_LOSS").otherwise("STOP")
+    paid = F.when(gap_stop, F.least(F.lit(-stop), opening)).when(won, F.lit(target)).otherwise(F.lit(-stop))
+    out = out.withColumn("_o", F.when(F.col("_exit").isNotNull(), F.struct(status.alias("_status"), paid.alias("_gross"))))
     hours = (F.col("_exit") + F.lit(step) - F.col("entry_ms")) / F.lit(float(HOUR))
     gross = F.col("_o._gross")
     cols = [c for c in trades.columns]
