@@ -8,7 +8,7 @@ from barlytics.catalog.base import DAY, HOUR, candidates, cte, query, rnd, score
 from barlytics.catalog.paths import trades
 from barlytics.catalog.scalars import CAND, FEATURES, KEY, VECTOR, signals_next
 from barlytics.functions import scalar as sc
-from barlytics.operators import cohorts, evaluate as ev, joins, online
+from barlytics.operators import cohorts, evaluate as ev, gaps, joins, online
 from barlytics.session import cut
 
 # --- cleaning and splitting ------------------------------------------------
@@ -250,13 +250,13 @@ def m11(spark, sf):
 @query("t06_cooldown", f"WITH RECURSIVE {cooled('SELECT * FROM scored', 'symbol', 'asof_ms', 100 * HOUR, 'doc_id', 'cd')} SELECT doc_id, symbol, asof_ms FROM cd_kept")
 def t06(spark, sf):
     df = scored(spark, sf).select("symbol", "asof_ms", "doc_id")
-    return online.cooldown(df, ["symbol"], "asof_ms", 100 * HOUR, "doc_id")
+    return gaps.cooldown(df, ["symbol"], "asof_ms", 100 * HOUR, "doc_id")
 
 
 @query("t07_rate_limit", f"WITH RECURSIVE {cooled('SELECT pair, scan_ms, score FROM candidates', 'pair', 'scan_ms', DAY, 'score', 'rl')} SELECT pair, scan_ms FROM rl_kept")
 def t07(spark, sf):
     df = candidates(spark, sf).select(*KEY, "score")
-    return online.rate_limit(df, "pair", "scan_ms", DAY, "score").select(*KEY)
+    return gaps.rate_limit(df, "pair", "scan_ms", DAY, "score").select(*KEY)
 
 
 # --- online models: one per pair and side ----------------------------------

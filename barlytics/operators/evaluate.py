@@ -10,7 +10,7 @@ from barlytics.functions.scalar import num
 from barlytics.operators.blocks import prefix, with_position
 from barlytics.operators.cohorts import exact_quantiles
 from barlytics.operators.grid import floor_bucket
-from barlytics.operators.online import cooldown
+from barlytics.operators.gaps import cooldown
 from barlytics.session import cut
 
 HOUR = 3_600_000

@@ -1,10 +1,10 @@
-"""Ordered replays per key: cooldowns, online models.
+"""Ordered replays per key: online models.
 
 A replay reads the rows of a key in order and keeps a small state. Rows are
 hash-partitioned by key, sorted inside the partition and streamed in Arrow
 batches, so memory holds one batch however long a key is. Keys run in parallel;
-one model or one cooldown is sequential by definition, so rows are reduced
-before the replay wherever the rule allows it.
+one model is sequential by definition, so rows are reduced before the replay wherever
+the rule allows it.
 """
 
 from __future__ import annotations
@@ -46,32 +46,6 @@ def replay(
     return ready.mapInPandas(run, schema)
 
 
-def cooldown(df: DataFrame, keys, time: str, gap_ms: int, tie: str) -> DataFrame:
-    """Rows kept by a greedy rule: at least ``gap_ms`` since the last kept one.
-
-    Of several rows of a key at one time only the first (by ``tie``) can be
-    kept, so the rows shrink to distinct times before they move.
-    """
-    keys = list(keys)
-    values = [c for c in df.columns if c not in keys and c != time]
-    slim = df.groupBy(*keys, time).agg(F.min_by(F.struct(*values), tie).alias("_v")).select(*keys, time, "_v.*")
-    at = slim.columns.index(time)
-
-    def step(state, row):
-        last = state.get("last")
-        if last is not None and row[at] - last < gap_ms:
-            return None
-        state["last"] = row[at]
-        return tuple(row)
-
-    return replay(slim, keys, [time], dict, step, slim.schema)
-
-
-def rate_limit(df: DataFrame, channel: str, time: str, gap_ms: int, tie: str) -> DataFrame:
-    """At most one row per channel and gap."""
-    return cooldown(df, [channel], time, gap_ms, tie)
-
-
 def _dot(w, x) -> float:
     return float(np.dot(w, np.asarray(x, dtype=float)))
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barlytics.operators import evaluate as ev, grid, indicators as ind, joins, online
+from barlytics.operators import evaluate as ev, gaps, grid, indicators as ind, joins, online
 from barlytics.operators.blocks import fold_linear, prefix, roll, with_position
 from barlytics.operators.cohorts import exact_quantiles
 
@@ -166,7 +166,7 @@ def test_cooldown_is_greedy(spark):
     rng = random.Random(8)
     rows = [(s, rng.randrange(0, 5000), i) for s in ("HOT", "HOT", "HOT", "A") for i in range(200)]
     df = spark.createDataFrame(rows, "symbol string, t long, id long")
-    got = sorted((r.symbol, r.t, r.id) for r in online.cooldown(df, ["symbol"], "t", 60, "id").collect())
+    got = sorted((r.symbol, r.t, r.id) for r in gaps.cooldown(df, ["symbol"], "t", 60, "id").collect())
     want, last = [], {}
     for s, t, i in sorted(set(rows)):
         if s not in last or t - last[s] >= 60:
@@ -175,6 +175,28 @@ def test_cooldown_is_greedy(spark):
     assert got == want
 
 
+def test_cooldown_of_one_hot_key_in_many_tasks(spark):
+    """Long runs, pauses, null keys, rows of one time; a chunk of one key is a window partition."""
+    rng, t, rows = random.Random(9), 0, []
+    for i in range(3000):
+        t += rng.choice([0, 1, 1, 2, 3, 7] + [80] * (i % 500 == 0))
+        rows.append(("HOT", t, i))
+    rows += [(None, k * 10, 5000 + k) for k in range(40)] + [("X", -500 + k * 9, 6000 + k) for k in range(120)] + [("N", None, 1)]
+    df = spark.createDataFrame(rows, "symbol string, t long, id long")
+    for gap in (1, 20, 90, 5000):
+        got = sorted(((r.symbol or "", r.t, r.id) for r in gaps.cooldown(df, ["symbol"], "t", gap, "id").collect()))
+        want, last = [], {}
+        for s, at, i in sorted((s or "", at, i) for s, at, i in rows if at is not None):
+            if s not in last or at - last[s] >= gap:
+                want.append((s, at, i))
+                last[s] = at
+        assert got == want
+    chunks = gaps.followers(df.filter("t is not null").select("symbol", "t").distinct(), ["symbol"], "t", 20)
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(symbol" in plan and "_chunk" in plan and not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+    assert gaps.cooldown(df.filter("false"), ["symbol"], "t", 20, "id").count() == 0
+
+
 def test_replay_keeps_state_across_batches(spark):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
