@@ -56,14 +56,14 @@ def _args(pair):
 
 @query(
     "q01_first_faults",
-    f"""SELECT symbol, interval, code, count(*) AS n, min(open_time_ms) AS first_ms FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pos, code) AS rn FROM (
+    f"""SELECT symbol, interval, code, count(*) AS n, min(open_time_ms) AS first_ms FROM (
   SELECT symbol, interval, pos, open_time_ms, unnest(list_filter([CASE WHEN delta = 0 THEN 'DUPLICATE' END, CASE WHEN delta <> {DAY} THEN 'GAP_OR_BAD_STEP' END,
    CASE WHEN least(open, high, low, close) <= 0 OR high < greatest(open, close) OR low > least(open, close) OR high < low THEN 'BAD_OHLC' END, CASE WHEN volume < 0 OR quote_volume < 0 THEN 'NEGATIVE_VOLUME' END], lambda x: x IS NOT NULL)) AS code
-  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms) AS pos FROM faulty_seq))) WHERE rn <= 100 GROUP BY ALL""",
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms) AS pos FROM faulty_seq)) GROUP BY ALL""",
 )
 def q01b(spark, sf):
-    head = q.audit_bars(*_args(faulty(spark, sf)))[1]
-    return head.groupBy("symbol", "interval", "code").agg(F.count(F.lit(1)).alias("n"), F.min("open_time_ms").alias("first_ms"))
+    faults = q.audit_bars(*_args(faulty(spark, sf)))[1]
+    return faults.groupBy("symbol", "interval", "code").agg(F.count(F.lit(1)).alias("n"), F.min("open_time_ms").alias("first_ms"))
 
 
 @query("q02_eligible_symbols", "SELECT symbol, status = 'PASS' AS eligible, error_count AS errors FROM audit")
@@ -220,21 +220,38 @@ def features_at(fine, coarse, points):
     return plan.feature_core(plan.align(rows, plan.coarse_features(coarse, COARSE), FINE)).drop("pos", "open_time_ms")
 
 
-@query(
-    "q09_lookahead_check",
-    f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms) - 1 AS pos FROM fine_bars),
+POINTS = f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms) - 1 AS pos FROM fine_bars),
 c AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms) - 1 AS pos FROM coarse_bars),
 edge AS (SELECT f.symbol, greatest(f.o, c.o) AS e, least(f.cl + 1, c.cl + {COARSE}) AS l
   FROM (SELECT symbol, coalesce(max(open_time_ms) FILTER (WHERE pos = 30), 0) AS o, max(close_time_ms) AS cl FROM f GROUP BY symbol) f
   JOIN (SELECT symbol, coalesce(max(open_time_ms) FILTER (WHERE pos = 25), 0) AS o, max(close_time_ms) AS cl FROM c GROUP BY symbol) c ON f.symbol = c.symbol),
-points AS (SELECT DISTINCT symbol, p AS asof_ms FROM (SELECT symbol, e, l, ((e + (i * (l - e)) // 25) // {FINE}) * {FINE} + 300000 AS p FROM edge, generate_series(1, 24) AS g(i) WHERE l > e) WHERE e < p AND p <= l)
-SELECT symbol, count(*) AS checkpoints, 0::BIGINT AS errors FROM points GROUP BY symbol""",
-)
+points AS (SELECT DISTINCT symbol, p AS asof_ms FROM (SELECT symbol, e, l, ((e + (i * (l - e)) // 25) // {FINE}) * {FINE} + 300000 AS p FROM edge, generate_series(1, 24) AS g(i) WHERE l > e) WHERE e < p AND p <= l)"""
+
+
+@query("q09_lookahead_check", f"{POINTS} SELECT symbol, count(*) AS checkpoints, 0::BIGINT AS errors FROM points GROUP BY symbol")
 def q09(spark, sf):
+    return _leaks(spark, sf, features_at)
+
+
+@query(
+    "q09_planted_leak",
+    f"""{POINTS} SELECT symbol, count(*) AS checkpoints, count(*) FILTER (WHERE asof_ms <= (SELECT max(close_time_ms) FROM fine_bars b WHERE b.symbol = points.symbol)) AS errors
+FROM points GROUP BY symbol""",
+)
+def q09b(spark, sf):
+    """A price that is the last one of the whole series shows at every checkpoint that has later bars."""
+    def leaking(fine, coarse, points):
+        ends = fine.groupBy("symbol").agg(F.max_by("close", "open_time_ms").alias("_end"))
+        return features_at(fine, coarse, points).join(ends, "symbol").withColumn("price", F.col("_end")).drop("_end")
+
+    return _leaks(spark, sf, leaking)
+
+
+def _leaks(spark, sf, features):
     fine, coarse = frames(spark, sf, FINE, COARSE)
     points = cut(grid.checkpoints(numbered(fine, FINE), numbered(coarse, COARSE), 24, FINE, COARSE, 300_000))
-    errors = q.lookahead_check(fine, coarse, points, FINE, COARSE, features_at, q.PARITY_NUMERIC, q.PARITY_EXACT)
-    found = errors.groupBy("symbol").agg(F.count(F.lit(1)).alias("errors"))
+    errors = q.lookahead_check(fine, coarse, points, FINE, COARSE, features, q.PARITY_NUMERIC, q.PARITY_EXACT)
+    found = errors.groupBy("symbol").agg(F.countDistinct("asof_ms").alias("errors"))
     return points.groupBy("symbol").agg(F.count(F.lit(1)).alias("checkpoints")).join(found, "symbol", "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
 
 

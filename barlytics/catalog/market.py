@@ -406,7 +406,7 @@ def j04(spark, sf):
 @query(
     "j05_gate_join",
     """SELECT s.symbol, s.asof_ms, coalesce(g.samples >= 20, false) AS allowed,
-  CASE WHEN g.samples >= 20 THEN concat('historically supported ', s.market_regime, ' / ', s.quality_bucket) ELSE concat('historically unsupported ', s.market_regime, ' / ', s.quality_bucket) END AS gate_reason
+  CASE WHEN g.samples >= 20 THEN concat('approved: ', s.market_regime, ' / ', s.quality_bucket) ELSE concat('not approved: ', s.market_regime, ' / ', s.quality_bucket) END AS gate_reason
 FROM trigger_rows s LEFT JOIN (SELECT market_regime, quality_bucket, count(*) AS samples FROM trigger_rows GROUP BY ALL HAVING count(*) >= 20) g
 ON s.market_regime = g.market_regime AND s.quality_bucket = g.quality_bucket""",
 )
@@ -508,7 +508,7 @@ def c11(spark, sf):
     "c12_late_entry_gate",
     f"""WITH RECURSIVE {DAILY_ALL}
 SELECT trigger_id, daily_rsi14 IS NOT NULL AND NOT coalesce((pts >= 4 AND (c7 >= 12 OR e20 >= 6)) OR (heat >= 78 AND e20 >= 8), true) AS allowed,
-  CASE WHEN daily_rsi14 IS NULL THEN 'daily anti-chase context unavailable' WHEN (pts >= 4 AND (c7 >= 12 OR e20 >= 6)) OR (heat >= 78 AND e20 >= 8) THEN 'daily late-entry/exhaustion risk' ELSE 'daily anti-chase check passed' END AS reason
+  CASE WHEN daily_rsi14 IS NULL THEN 'no daily context' WHEN (pts >= 4 AND (c7 >= 12 OR e20 >= 6)) OR (heat >= 78 AND e20 >= 8) THEN 'too late into the move' ELSE 'not too late' END AS reason
 FROM (SELECT *, CASE WHEN heat >= 72 THEN 2 WHEN heat >= 65 THEN 1 ELSE 0 END + CASE WHEN sheat >= 90 THEN 1 ELSE 0 END + CASE WHEN c7 >= 20 THEN 2 WHEN c7 >= 12 THEN 1 ELSE 0 END
   + CASE WHEN e20 >= 10 THEN 2 WHEN e20 >= 6 THEN 1 ELSE 0 END + CASE WHEN e50 >= 18 THEN 1 ELSE 0 END + CASE WHEN worst <= -2 THEN 1 ELSE 0 END AS pts FROM (
   SELECT trigger_id, daily_rsi14, CASE WHEN bias = 'LONG' THEN daily_rsi14 ELSE 100 - daily_rsi14 END AS heat, CASE WHEN bias = 'LONG' THEN daily_stoch_rsi14 ELSE 100 - daily_stoch_rsi14 END AS sheat,

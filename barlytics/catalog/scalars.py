@@ -175,26 +175,26 @@ FROM candidates""",
 
 
 def nums(mid: str) -> str:
-    return f"concat(' spot{mid} (B/S ', printf('%.3f', {BS}), ', flow ', format('{{:,}}', CAST(round({FLOW}) AS BIGINT)), ')')"
+    return f"concat(' {mid} (ratio ', printf('%.3f', {BS}), ', flow ', format('{{:,}}', CAST(round({FLOW}) AS BIGINT)), ')')"
 
 
-LIQ_TEXT = f"""CASE WHEN {VOL} IS NULL THEN 'missing spot volume' WHEN {VOL} < min_vol THEN
-  concat('spot volume ', format('{{:,}}', CAST(round({VOL}) AS BIGINT)), ' below required ', format('{{:,}}', min_vol)) END"""
-SPOT_TEXT = f"CASE WHEN NOT spot THEN concat(lower(bias), {nums(' weak')}) END"
-SCORE_TEXT = "CASE WHEN score < req THEN concat('score ', score_text, ' below required ', req) END"
-BLOCK_TEXT = "CASE WHEN len(blockers) > 0 THEN 'candidate has blocker(s)' END"
+LIQ_TEXT = f"""CASE WHEN {VOL} IS NULL THEN 'spot turnover unknown' WHEN {VOL} < min_vol THEN
+  concat('spot turnover ', format('{{:,}}', CAST(round({VOL}) AS BIGINT)), ', at least ', format('{{:,}}', min_vol), ' asked') END"""
+SPOT_TEXT = f"CASE WHEN NOT spot THEN concat(lower(bias), {nums('lacks spot backing')}) END"
+SCORE_TEXT = "CASE WHEN score < req THEN concat('score ', score_text, ', asked ', req) END"
+BLOCK_TEXT = "CASE WHEN len(blockers) > 0 THEN 'blockers are set' END"
 
 
 def texts(*items: str) -> str:
     return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
 
 
-ENTRY = texts(SCORE_TEXT, BLOCK_TEXT, f"CASE WHEN NOT spot THEN concat(lower(bias), {nums(' confirmation weak')}) END",
-              "CASE WHEN NOT oi_change_15m_pct > 0 THEN '15m OI is not expanding' END")
-BASE = texts(SCORE_TEXT, BLOCK_TEXT, SPOT_TEXT, "CASE WHEN NOT oi_change_15m_pct > 0 THEN '15m OI not expanding' END", LIQ_TEXT)
+ENTRY = texts(SCORE_TEXT, BLOCK_TEXT, f"CASE WHEN NOT spot THEN concat(lower(bias), {nums('not backed by spot')}) END",
+              "CASE WHEN NOT oi_change_15m_pct > 0 THEN 'no growth of 15m open interest' END")
+BASE = texts(SCORE_TEXT, BLOCK_TEXT, SPOT_TEXT, "CASE WHEN NOT oi_change_15m_pct > 0 THEN '15m open interest does not grow' END", LIQ_TEXT)
 HEALTH = texts(
-    "CASE WHEN score < req - 6 THEN concat('score ', score_text, ' below persistence floor ', req - 6) END", BLOCK_TEXT, SPOT_TEXT,
-    "CASE WHEN NOT oi_change_15m_pct > -0.25 THEN '15m OI materially negative' END", LIQ_TEXT,
+    "CASE WHEN score < req - 6 THEN concat('score ', score_text, ', to persist ', req - 6) END", BLOCK_TEXT, SPOT_TEXT,
+    "CASE WHEN NOT oi_change_15m_pct > -0.25 THEN '15m open interest shrinks' END", LIQ_TEXT,
 )
 
 
@@ -336,9 +336,9 @@ def p25(spark, sf):
 
 @query(
     "p26_evaluate_entry_drift",
-    f"""SELECT {CAND}, d >= 5 OR d <= -6 AS blocked, CASE WHEN d >= 5 THEN 'price is past the target'
-  WHEN d <= -6 THEN 'price is past the stop'
-  ELSE 'entry drift recorded for research; no empirical late-entry cutoff promoted yet' END AS reason,
+    f"""SELECT {CAND}, d >= 5 OR d <= -6 AS blocked, CASE WHEN d >= 5 THEN 'already beyond the target'
+  WHEN d <= -6 THEN 'already beyond the stop'
+  ELSE 'drift noted, no limit in force' END AS reason,
   round(d, 4) + 0.0 AS directional_drift_pct, {BUCKET} AS drift_bucket FROM (SELECT {CAND}, {DRIFT} AS d FROM candidates)""",
 )
 def p26(spark, sf):
@@ -378,12 +378,12 @@ def signals_next(spark, sf):
     return seen.select(*df.columns, "_next.*").withColumn("start_ms", start)
 
 
-ELIGIBLE = f"""CASE WHEN bias <> 'SHORT' THEN 'short-only experiment' WHEN scan_ms < start_ms THEN 'predates activation'
-  WHEN NOT coalesce(next_ms - scan_ms BETWEEN 0 AND {2 * HOUR}, false) THEN 'stale or future trigger'
-  WHEN pool_bias IS NULL THEN 'required live context unavailable'
-  WHEN pool_bias <> 'SHORT' OR pool_state <> 'CONTINUATION_TRIGGER' THEN 'setup no longer active'
-  WHEN pool_volume IS NULL THEN 'invalid live data' WHEN abs(pool_price / current_price - 1) * 100 > 2 THEN 'entry moved too far'
-  WHEN pool_volume < 10000000 THEN 'insufficient spot turnover' WHEN NOT lead_change <= 4 THEN 'adverse or invalid BTC context' END"""
+ELIGIBLE = f"""CASE WHEN bias <> 'SHORT' THEN 'not a short' WHEN scan_ms < start_ms THEN 'older than the start'
+  WHEN NOT coalesce(next_ms - scan_ms BETWEEN 0 AND {2 * HOUR}, false) THEN 'trigger time out of range'
+  WHEN pool_bias IS NULL THEN 'symbol not in the pool'
+  WHEN pool_bias <> 'SHORT' OR pool_state <> 'CONTINUATION_TRIGGER' THEN 'setup is over'
+  WHEN pool_volume IS NULL THEN 'pool row without usable numbers' WHEN abs(pool_price / current_price - 1) * 100 > 2 THEN 'price too far from the entry'
+  WHEN pool_volume < 10000000 THEN 'turnover too small' WHEN NOT lead_change <= 4 THEN 'lead symbol against it or unknown' END"""
 
 
 @query("p27_signal_eligible", f"SELECT {CAND}, r AS reason, r IS NULL AS ok FROM (SELECT {CAND}, {ELIGIBLE} AS r FROM signals_next)")
@@ -401,9 +401,9 @@ def p27(spark, sf):
 
 @query(
     "p27_paper_signal_eligible",
-    f"""SELECT {CAND}, CASE WHEN scan_ms < start_ms THEN 'predates activation' WHEN bias <> 'LONG' THEN 'not an open paper trade'
-  WHEN NOT next_ms - scan_ms BETWEEN 0 AND {HOUR} THEN 'entry too old' WHEN pool_price IS NULL THEN 'invalid current price'
-  WHEN abs(pool_price / current_price - 1) * 100 > 2 THEN 'entry moved too far' END AS reason FROM signals_next""",
+    f"""SELECT {CAND}, CASE WHEN scan_ms < start_ms THEN 'older than the start' WHEN bias <> 'LONG' THEN 'trade is not open'
+  WHEN NOT next_ms - scan_ms BETWEEN 0 AND {HOUR} THEN 'entered too long ago' WHEN pool_price IS NULL THEN 'current price unusable'
+  WHEN abs(pool_price / current_price - 1) * 100 > 2 THEN 'price too far from the entry' END AS reason FROM signals_next""",
 )
 def p27b(spark, sf):
     df = signals_next(spark, sf)

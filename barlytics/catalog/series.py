@@ -424,14 +424,14 @@ SWING = """round(greatest(0, least(100,
 cte(
     "core",
     f"""SELECT symbol, open_time_ms, asof_ms, pos, bias, setup_state,
-  CASE WHEN bias = 'LONG' AND setup_state = 'CONTINUATION_TRIGGER' THEN 'long pullback reached trend area and buying resumed'
-    WHEN bias = 'LONG' AND setup_state = 'RETEST_READY' THEN 'long trend intact; price is near 1h trend support'
-    WHEN bias = 'SHORT' AND setup_state = 'CONTINUATION_TRIGGER' THEN 'short bounce reached trend area and selling resumed'
-    WHEN bias = 'SHORT' AND setup_state = 'RETEST_READY' THEN 'short trend intact; price is near 1h trend resistance' END AS retest_reason,
+  CASE WHEN bias = 'LONG' AND setup_state = 'CONTINUATION_TRIGGER' THEN 'pullback over, buyers are back'
+    WHEN bias = 'LONG' AND setup_state = 'RETEST_READY' THEN 'uptrend holds, price back at its mean'
+    WHEN bias = 'SHORT' AND setup_state = 'CONTINUATION_TRIGGER' THEN 'bounce over, sellers are back'
+    WHEN bias = 'SHORT' AND setup_state = 'RETEST_READY' THEN 'downtrend holds, price back at its mean' END AS retest_reason,
   close AS price, round(m3, 3) + 0.0 AS momentum_3h_pct, round(m12, 3) + 0.0 AS momentum_12h_pct, round(m24, 3) + 0.0 AS momentum_24h_pct,
   round(pull, 3) + 0.0 AS pullback_from_12h_high_pct, round(bounce, 3) + 0.0 AS bounce_from_12h_low_pct, round(dist, 3) + 0.0 AS distance_from_1h_sma10_pct,
   round(vexp, 2) AS volume_expansion_1h, {SWING} AS swing_score,
-  list_filter([CASE WHEN vexp < 0.7 THEN 'spot volume participation is weak' END,
+  list_filter([CASE WHEN vexp < 0.7 THEN 'little spot volume behind the move' END,
     CASE WHEN abs(m12) >= 8 THEN printf('12h move already extended: %+.2f%%', m12) WHEN abs(m12) >= 5 THEN printf('12h move somewhat extended: %+.2f%%', m12) END],
     lambda x: x IS NOT NULL) AS warnings,
   CASE WHEN abs(m12) >= 8 THEN 'EXTREME' WHEN abs(m12) >= 5 THEN 'EXTENDED' ELSE 'CLEAN' END AS anti_chase_state,

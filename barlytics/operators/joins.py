@@ -167,11 +167,11 @@ def gate_join(
     out = signals.join(broadcast_if_small(marked), on, "left")
     reason = F.coalesce(
         first_reason(
-            (~enabled, "historical gate disabled: no historically approved edge"),
-            (~known, "historical gate enabled but live macro/quality context is unavailable"),
-            (F.col("_approved").isNotNull(), F.concat(F.lit("historically supported "), combo)),
+            (~enabled, "gate is off: nothing has been approved"),
+            (~known, "gate is on, but the signal has no context"),
+            (F.col("_approved").isNotNull(), F.concat(F.lit("approved: "), combo)),
         ),
-        F.concat(F.lit("historically unsupported "), combo),
+        F.concat(F.lit("not approved: "), combo),
     )
     allowed = enabled & known & F.col("_approved").isNotNull()
     return out.withColumn("gate_reason", reason).withColumn("allowed", allowed).drop("_approved")

@@ -106,9 +106,9 @@ def late_entry_gate(signals: DataFrame, daily: DataFrame, time: str, bucket_ms:
     return j.withColumns(
         {
             "allowed": known & ~blocked,
-            "reason": F.when(~known, "daily anti-chase context unavailable")
-            .when(blocked, "daily late-entry/exhaustion risk")
-            .otherwise("daily anti-chase check passed"),
+            "reason": F.when(~known, "no daily context")
+            .when(blocked, "too late into the move")
+            .otherwise("not too late"),
             "risk_points": F.when(known, risk["risk_points"]),
             "risk_reasons": F.when(known, risk["reasons"]),
         }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from barlytics.operators import cohorts, evaluate as ev
 from barlytics.session import cut
 
-# The features the classifier reads from the learning rows.
+# The columns of the learning rows that the classifier reads, as the table names them.
 FEATURES = [
     "direction_sign", "activity_score", "activity_rank", "quote_volume_24h", "price_change_24h_pct",
     "taker_buy_ratio_24h", "taker_buy_ratio_1h", "market_regime_score", "market_breadth_pct",

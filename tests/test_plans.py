@@ -137,9 +137,9 @@ def test_gate_fails_closed(spark):
     signals = spark.createDataFrame([(1, "MIXED", "50-59"), (2, "MIXED", None), (3, "RISK_ON", "50-59")], "id int, market_regime string, quality_bucket string")
     gate = spark.createDataFrame([("MIXED", "50-59")], "market_regime string, quality_bucket string")
     got = {r.id: (r.allowed, r.gate_reason) for r in joins.gate_join(signals, gate).collect()}
-    assert got[1] == (True, "historically supported MIXED / 50-59")
+    assert got[1] == (True, "approved: MIXED / 50-59")
     assert got[2][0] is False and "unavailable" in got[2][1]
-    assert got[3] == (False, "historically unsupported RISK_ON / 50-59")
+    assert got[3] == (False, "not approved: RISK_ON / 50-59")
     off = joins.gate_join(signals, gate, enabled=F.lit(False)).collect()
     assert not any(r.allowed for r in off) and "disabled" in off[0].gate_reason
 

@@ -186,7 +186,7 @@ def test_thin_spot_waits(spark):
     row = scan(1, 1.0, 90, volume=72_352.0, warnings=["Low open interest"])
     assert arm_events(spark, row) == []
     why = mc.arm_input(spark.createDataFrame([row], CAND)).first().why
-    assert "spot volume 72,352 below required 100,000" in why
+    assert "spot turnover 72,352, at least 100,000 asked" in why
 
 
 def test_arm_expiry_and_false_start(spark):
@@ -216,7 +216,7 @@ def test_expiry_only_by_age(spark):
     late = 6 * 3_600_000
     assert confirm_events(spark, scan(0, 1.0, 91), scan(late, 1.0, 91))[1][0] == "SIGNAL_EXPIRED"
     ended = confirm_events(spark, scan(0, 1.0, 91), scan(late, 1.0, 60))[1]
-    assert ended[0] == "SIGNAL_DETERIORATED" and "score deteriorated to 60.0 from 91.0" in ended[1]
+    assert ended[0] == "SIGNAL_DETERIORATED" and "score down to 60.0 after 91.0" in ended[1]
 
 
 def test_cooldown_resets_the_streak(spark):
