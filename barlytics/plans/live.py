@@ -14,8 +14,8 @@ from barlytics.sources import files, sinks
 from barlytics.streaming import machines as mc, streams
 
 MACHINES = {
-    "confirm": (mc.confirm_input, mc.confirm_and_monitor, mc.CONFIRM_EVENTS),
-    "arm": (mc.arm_input, mc.arm_confirm_manage, mc.ARM_EVENTS),
+    "confirm": (mc.confirm_input, mc.confirm_and_monitor, mc.CONFIRM_EVENTS, None),
+    "arm": (mc.arm_input, mc.arm_confirm_manage, mc.ARM_EVENTS, mc.arm_timers),
 }
 
 
@@ -27,10 +27,13 @@ def scan_candidates(scans: DataFrame, now=None) -> DataFrame:
 
 
 def start_machine(spark: SparkSession, landing: str, out: str, name: str, now=None, trigger: dict | None = None) -> StreamingQuery:
-    """Run one state machine over arriving scan documents into an event table."""
-    prepare_input, machine, schema = MACHINES[name]
+    """Run one state machine over arriving scan documents into an event table.
+
+    Late rows appear as ``LATE_INPUT`` events, armed setups end by event time also without a further scan.
+    """
+    prepare_input, machine, schema, timers = MACHINES[name]
     rows = prepare_input(scan_candidates(files.stream_scans(spark, landing), now))
-    events = streams.stateful(rows, ["pair"], ["scan_ms"], machine(), schema)
+    events = streams.stateful(rows, ["pair"], ["scan_ms"], machine(), schema, timers and timers())
     return (
         events.writeStream.format("json").option("path", f"{out}/{name}").option("checkpointLocation", f"{out}/_offsets/{name}")
         .outputMode("append").trigger(**(trigger or {"processingTime": "5 minutes"})).start()

@@ -14,46 +14,96 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from barlytics.session import prepare, shared_dir
 
 
+#: Event name of a row that came after newer rows of its key had been worked on.
+LATE = "LATE_INPUT"
+
+
 class KeyedMachine(StatefulProcessor):
     """Runs a transition function over each key's rows of a micro-batch in order.
 
     The state of a key is one JSON value. Rows of a micro-batch are sorted by
     event order first. A row that is older than the last one its key has seen in
-    an earlier micro-batch comes too late and is left out.
+    an earlier micro-batch can no longer be worked on in order; it is given out as an
+    event ``LATE_INPUT`` with what the row has of the output's columns.
+
+    ``deadline(state)`` says until when the state may wait for a further row (null:
+    for ever). When the watermark passes that time, ``expired(state, key, deadline)`` changes the
+    state and returns the event. A row that comes before that is worked on first.
     """
 
-    def __init__(self, step: Callable, order: list[str], names: list[str]):
-        self.step, self.order, self.names = step, order, names
+    def __init__(self, step: Callable, order: list[str], names: list[str], keys: list[str], deadline: Callable | None = None, expired: Callable | None = None):
+        self.step, self.order, self.names, self.keys = step, order, names, keys
+        self.deadline, self.expired = deadline, expired
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("machine", "body string")
 
+    def _held(self) -> dict:
+        return json.loads(self.state.get()[0]) if self.state.exists() else {"machine": {}, "at": None, "timer": None}
+
+    def _keep(self, held: dict) -> None:
+        if self.deadline is not None:
+            until = self.deadline(held["machine"])
+            if until != held["timer"]:
+                if held["timer"] is not None:
+                    self.handle.deleteTimer(held["timer"])
+                if until is not None:
+                    self.handle.registerTimer(until)
+                held["timer"] = until
+        self.state.update((json.dumps(held, default=float),))
+
+    def _late(self, row) -> tuple:
+        own = {"event": LATE, "kind": LATE, "timestamp_ms": int(getattr(row, self.order[0]))}
+        return tuple(own[n] if n in own else getattr(row, n, None) for n in self.names)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = json.loads(self.state.get()[0]) if self.state.exists() else {"machine": {}, "at": None}
-        st, last = held["machine"], held["at"]
+        held = self._held()
         out = []
         # A micro-batch holds the scans of one trigger, so few rows per key.
         for row in pd.concat(rows).sort_values(self.order, kind="stable").itertuples(index=False, name="Row"):
             at = int(getattr(row, self.order[0]))
-            if last is not None and at < last:
+            if held["at"] is not None and at < held["at"]:
+                out.append(self._late(row))
                 continue
-            last = at
-            made = self.step(st, row)
+            held["at"] = at
+            made = self.step(held["machine"], row)
             out += made if isinstance(made, list) else [] if made is None else [made]
-        self.state.update((json.dumps({"machine": st, "at": last}, default=float),))
+        self._keep(held)
+        yield pd.DataFrame(out, columns=self.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        at = int(expiredTimerInfo.getExpiryTimeInMs())
+        out = []
+        if held["timer"] == at:
+            held["timer"] = None
+            made = self.expired(held["machine"], key, at)
+            out = [] if made is None else [made]
+            self._keep(held)
         yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:
         pass
 
 
-def stateful(stream: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
-    """Attach a state machine to a stream of rows."""
+def stateful(
+    stream: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str,
+    timers: tuple[Callable, Callable] | None = None, delay: str = "1 hour",
+) -> DataFrame:
+    """Attach a state machine to a stream of rows.
+
+    With ``timers`` (deadline, expired) states that wait are ended by event time: the first order
+    column, in milliseconds, drives a watermark that stays ``delay`` behind. Rows older than the
+    watermark do not reach the machine, so ``delay`` is the lateness up to which late rows still show.
+    """
     prepare(stream.sparkSession)
     names = [f.name for f in T._parse_datatype_string(schema).fields]
+    if timers is not None:
+        stream = stream.withColumn("_event_time", F.timestamp_millis(F.col(order[0]))).withWatermark("_event_time", delay)
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=KeyedMachine(step, order, names), outputStructType=T._parse_datatype_string(schema),
-        outputMode="append", timeMode="None",
+        statefulProcessor=KeyedMachine(step, order, names, list(keys), *(timers or ())), outputStructType=T._parse_datatype_string(schema),
+        outputMode="append", timeMode="None" if timers is None else "EventTime",
     )
 
 

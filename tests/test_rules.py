@@ -297,6 +297,23 @@ def test_stream_equals_batch_over_many_triggers(spark):
         assert got == want and want
 
 
+def test_late_rows_are_shown_and_armed_setups_end_without_a_further_scan(spark):
+    """Deliveries out of order; the watermark of other pairs ends a setup that hears no more."""
+    other = lambda t, score: ("Q", *scan(t, 1.0, score)[1:])
+    hour, day = 3_600_000, 86_400_000
+    deliveries = [[scan(day, 1.0, 82), other(day, 60)], [other(day + 2 * hour, 60)], [other(day + hour, 60), other(day + 5 * hour, 60)], [other(day + 9 * hour, 60)]]
+    out = streams.table_dir(spark, "late")
+    for i, rows in enumerate(deliveries):
+        df = mc.arm_input(spark.createDataFrame(rows, CAND))
+        df.write.parquet(f"{out}/landing/part={i}")
+        source = spark.readStream.schema(df.schema).parquet(f"{out}/landing/part=*")
+        events = streams.stateful(source, ["pair"], ["scan_ms"], mc.arm_confirm_manage(), mc.ARM_EVENTS, mc.arm_timers(), "3 hours")
+        writer = events.writeStream.format("parquet").option("path", f"{out}/data").outputMode("append")
+        streams._run_available(writer.option("checkpointLocation", f"{out}/offsets"), spark)
+    got = sorted((r.event, r.pair, r.timestamp_ms) for r in spark.read.parquet(f"{out}/data").collect())
+    assert got == [("LATE_INPUT", "Q", day + hour), ("SHADOW_ARMED", "P", day), ("SHADOW_ARM_EXPIRED", "P", day + 30 * 60_000 + 1)]
+
+
 def test_longer_horizons_hit_at_least_as_often(spark):
     from conftest import SF
 
