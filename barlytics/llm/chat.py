@@ -134,5 +134,6 @@ def digests(conversations: DataFrame) -> DataFrame:
 
 def with_hostile(turns: DataFrame) -> DataFrame:
     """``turns`` and one more conversation that consists of marks."""
-    more = turns.sparkSession.createDataFrame([(HOSTILE_ID, i, role, HOSTILE) for i, role in enumerate(("user", ASSISTANT))], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise(ASSISTANT)
+    more = turns.sparkSession.range(2).select(F.lit(HOSTILE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(HOSTILE).alias("text"))
     return turns.select("conv_id", "turn", "role", "text").unionByName(more)

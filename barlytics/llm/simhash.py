@@ -15,7 +15,7 @@ task, so a group of m fingerprints gives fewer than m links.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from barlytics.llm import minhash
 from barlytics.llm.components import components
-from barlytics.llm.tables import slices, stored, strings
+from barlytics.llm.tables import drop, free, slices, stored, strings
 
 BITS = 64
 SEED = 42
@@ -276,19 +276,40 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
     Two documents are linked if the sets of their word shingles have a Jaccard similarity
     of at least ``percent`` hundredths, and groups are what links connect (see ``minhash``).
-    The row with the smallest doc_id stays (nulls last); texts without words are one group.
+    The row with the smallest doc_id stays (nulls last); texts without words, null ones too, are one group.
+    Rows are known by doc_id and two 64-bit hashes of the text; of rows that are equal in these, one stays.
     """
     hashes = partial(shingle_hashes, size=shingle)
-    docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    texts = docs.select(F.col("__row").alias("row"), F.col("text").cast("string"))
-    rows = stored(minhash.signatures(texts, hashes), "signatures")
-    ids = docs.select(F.col("__row").alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__row").alias("row")).alias("place"))
-    same = stored(rows.groupBy("high", "low").agg(F.min("row").alias("node")), "same")
-    classes = stored(rows.withColumnRenamed("row", "node").join(same.select("node"), "node", "left_semi").select("node", "bands", "short"), "classes")
-    roots = components(minhash.links(classes, texts.withColumnRenamed("row", "node"), hashes, percent))
-    named = same.join(roots, "node", "left").select("high", "low", F.coalesce("root", "node").alias("root"))
-    placed = stored(rows.select("row", "high", "low").join(ids, "row").join(named, ["high", "low"]).select("row", "root", "place"), "placed")
-    first = placed.groupBy("root").agg(F.min("place").alias("place"), F.count("*").alias("n")).filter(F.col("n") > 1)
-    first = stored(first.select("root", F.col("place.row").alias("first")), "first")
-    gone = stored(placed.join(first, "root").filter(F.col("row") != F.col("first")).select(F.col("row").alias("__row")), "gone")
-    return docs.join(gone, "__row", "left_anti").drop("__row")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keys = {"id": F.col("doc_id"), "k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
+    plain = docs.select(*[c.alias(k) for k, c in keys.items()], text.alias("text"))
+    signed = stored(minhash.signatures(plain, hashes), "signatures", "zstd")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+    rows = stored(signed.groupBy("id", "k1", "k2").agg(F.count("*").alias("n")), "rows")
+    classes = signed.groupBy("high", "low").agg(F.min(place).alias("place"), F.first(F.struct("bands", "short")).alias("s"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "place", "s.bands", "s.short"), "classes", "zstd")
+    drop(signed)
+    known = classes.select("node", "place.id", "place.k1", "place.k2")
+
+    def same(a: DataFrame, b: DataFrame, names: dict[str, str]):
+        return reduce(lambda x, y: x & y, [a[names[k]].eqNullSafe(b[k]) for k in keys])
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = known.join(nodes, "node")
+        found = minhash.sets(plain.join(wanted, same(plain, wanted, {k: k for k in keys})).select("node", "text"), hashes)
+        return found.groupBy("node").agg(F.first("hashes").alias("hashes"))  # repeated rows give the same set again
+
+    roots = components(minhash.links(classes.select("node", "bands", "short"), sets_of, percent))
+    named = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "place")
+    first = stored(named.groupBy("root").agg(F.min("place").alias("place")).select("place.id", "place.k1", "place.k2"), "first")
+    drop(classes)
+    gone = stored(rows.join(first, same(rows, first, {k: k for k in keys}), "left_anti").select(*keys), "gone")
+    again = stored(rows.filter("n > 1").join(first, same(rows.filter("n > 1"), first, {k: k for k in keys}), "left_semi").select(*keys), "again")
+    drop(rows, first)
+    names = {k: free(f"__{k}", docs.columns) for k in keys}
+    keyed = docs.withColumns({names[k]: c for k, c in keys.items()})
+    left = gone if again.isEmpty() else gone.unionByName(again)
+    out = keyed.join(left, same(keyed, left, names), "left_anti")
+    if left is not gone:
+        out = out.unionByName(keyed.join(again, same(keyed, again, names), "left_semi").dropDuplicates(list(names.values())))
+    return out.drop(*names.values())

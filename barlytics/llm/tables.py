@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -55,11 +57,53 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Where the tables that ``stored`` gave out lie, and the lists that open ``collected`` blocks fill.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_collecting: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder; continues from the written table."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    for paths in _collecting:
+        paths.append(path)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage, if it is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for these tables; nothing that is still to run may read them."""
+    for table in tables:
+        if path := _places.pop(table, None):
+            remove(table.sparkSession, path)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders that ``stored`` writes inside the block."""
+    paths: list[str] = []
+    _collecting.append(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.remove(paths)
+
+
+def free(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores in front as it takes to be none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def drawn(hashed: Column, share: float) -> Column:
