@@ -5,11 +5,12 @@ the bits. Rows are therefore dealt out by (piece, its bits), and a group with mo
 ``LIMIT`` fingerprints is dealt out again by the pieces of its other bits, until none is
 larger; no pair is lost on the way, and no group of any size meets in one task.
 
-Inside a group the fingerprints are sorted by Gray rank, so that neighbours share most
-bits. Nodes over runs of them hold the bits on which all members agree, less those that
-their parent holds already. A query walks down with the differences added up so far and
-leaves a whole node as soon as they exceed ``d``. What is linked is united inside the
-task, so a group of m fingerprints gives fewer than m links.
+A task sorts its groups by Gray rank, so that neighbours share most bits, and builds one
+index over whole groups of some thousand fingerprints. Nodes over runs of them hold the
+bits on which all members agree, less those that their parent holds already. Every
+fingerprint walks down with the differences added up so far and leaves a whole node as
+soon as they exceed ``d``. What is linked is united inside the task, so m fingerprints give
+fewer than m links.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ SEED = 42
 #: Largest number of fingerprints compared in one group.
 LIMIT = 4096
 #: Members of a node.
-FAN = 16
+FAN = 4
 #: Queries that walk down the index at the same time.
 QUERIES = 512
-#: Rows that a task gathers before it compares small groups.
-GATHER = 1 << 15
+#: Rows of whole groups that a task gathers for one index.
+GATHER = 1 << 12
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -194,7 +195,7 @@ def united(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
 
 
 def group_labels(fps: np.ndarray, max_diff: int) -> np.ndarray:
-    """Labels of one Gray-sorted group, queries in turn."""
+    """Labels of fingerprints in any order, best in Gray order, by one index that each of them walks."""
     index, label = Index(fps), np.arange(len(fps))
     for i in range(0, len(fps), QUERIES):
         q, leaf = index.pairs(fps[i : i + QUERIES], max_diff)
@@ -214,20 +215,9 @@ def links(words: DataFrame, max_diff: int = 3, limit: int = LIMIT) -> DataFrame:
     rows = rows.repartition("kind", "mask", "value").sortWithinPartitions("kind", "mask", "value", "rank").drop("rank")
 
     def compare(kind, mask, value, fp, node) -> pa.RecordBatch:
-        same = (kind[1:] == kind[:-1]) & (mask[1:] == mask[:-1]) & (value[1:] == value[:-1])
-        group = np.concatenate([[0], np.cumsum(~same)])
-        sizes = np.bincount(group)
         label = np.arange(len(fp))
-        small = sizes[group] <= 2 * FAN
-        a, b = [], []
-        for step in range(1, min(2 * FAN, len(fp))):
-            i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]) & (np.bitwise_count(fp[:-step] ^ fp[step:]) <= max_diff))
-            a.append(i), b.append(i + step)
-        if a:
-            label = united(len(fp), np.concatenate(a), np.concatenate(b), label)
-        ends = np.cumsum(sizes)
-        for g in np.flatnonzero(sizes > 2 * FAN):
-            begin, end = ends[g] - sizes[g], ends[g]
+        edges = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1], True])
+        for begin, end in zip(edges, edges[1:]):
             label[begin:end] = begin + group_labels(fp[begin:end], max_diff)
         at = np.flatnonzero(label != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]])], ["u", "v"])
@@ -295,7 +285,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
         return reduce(lambda x, y: x & y, [a[names[k]].eqNullSafe(b[k]) for k in keys])
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = known.join(nodes, "node")
+        wanted = stored(known.join(nodes, "node"), "wanted")  # of known size, so that texts need not move for a small one
         found = minhash.sets(plain.join(wanted, same(plain, wanted, {k: k for k in keys})).select("node", "text"), hashes)
         return found.groupBy("node").agg(F.first("hashes").alias("hashes"))  # repeated rows give the same set again
 

@@ -153,3 +153,35 @@ def test_keep_one_keeps_same_words_in_another_order(spark):
     texts = [" ".join(words), " ".join(words[::-1]), " ".join(words[::2] + words[1::2])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(x["doc_id"] for x in simhash.keep_one(docs).collect()) == [0, 1, 2]
+
+
+def test_the_index_decides_on_thousands_in_one_group(monkeypatch):
+    """Families around random words, all with the same top bits; far fewer nodes are looked at than there are pairs."""
+    import numpy as np
+
+    rng, seen = np.random.default_rng(3), []
+    fps = []
+    for base in rng.integers(0, 2**44, 900, dtype=np.uint64):
+        for _ in range(6):
+            x = int(base)
+            for bit in rng.integers(0, 64, int(rng.integers(0, 4))):
+                x ^= 1 << int(bit)
+            fps.append(x)
+    fps = np.unique(np.array(fps, dtype=np.uint64))
+    rank = fps.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(shift)
+    fps = fps[np.argsort(rank)]
+    real = np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: (seen.append(np.size(x)), real(x))[1])
+    label = simhash.group_labels(fps, 3)
+    monkeypatch.undo()
+    assert sum(seen) < len(fps) ** 2 / 3
+    want = np.arange(len(fps))
+    close = [np.flatnonzero(real(fps ^ x) <= 3) for x in fps]
+    while True:
+        new = np.array([want[c].min() for c in close])
+        if (new == want).all():
+            break
+        want = new
+    assert (label == want).all() and len(set(want)) < len(fps) / 2
