@@ -83,25 +83,30 @@ FAMILIES = [
 
 #: Sentences of license texts and notices: label, keyword, expression.
 SENTENCES = [
-    ("mit", "permission is hereby granted", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
-    ("mit", "without restriction", r"deal in the software without restriction"),
-    ("isc", "permission to use", r"permission to use, copy, modify,? and/?o?r? distribute this software"),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms"),
-    ("bsd", "neither the name", r"neither the name of .{1,80}? nor the names of (?:its|their) contributors"),
-    ("gpl", "redistribute it and/or modify", r"redistribute it and/or modify\s+it under the terms of the gnu general public"),
-    ("lgpl", "redistribute it and/or modify", r"redistribute it and/or modify\s+it under the terms of the gnu lesser"),
-    ("agpl", "redistribute it and/or modify", r"redistribute it and/or modify\s+it under the terms of the gnu affero"),
-    ("apache", "in compliance with the license", r"you may not use this file except in compliance with the license"),
-    ("mpl", "source code form is subject", r"source code form is subject to the terms of the mozilla public"),
-    ("zlib", "altered source versions", r"altered source versions must be plainly marked"),
-    ("unlicense", "released into the public domain", r"free and unencumbered software released into the public domain"),
-    ("public-domain", "public domain", r"(?:dedicated to|placed in|released (?:in)?to|is in) the public domain"),
-    ("proprietary", "all rights reserved", r"all rights reserved"),
+    ("mit", "hereby", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
+    ("mit", "restriction", r"deal in the software without restriction"),
+    ("isc", "permission", r"permission to use, copy, modify,? and/?o?r? distribute this software"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms"),
+    ("bsd", "neither", r"neither the name of [\s\S]{1,80}? nor the names of (?:its|their) contributors"),
+    ("gpl", "redistribute", r"redistribute it and/or modify it under the terms of the gnu general public"),
+    ("lgpl", "redistribute", r"redistribute it and/or modify it under the terms of the gnu lesser"),
+    ("agpl", "redistribute", r"redistribute it and/or modify it under the terms of the gnu affero"),
+    ("apache", "compliance", r"you may not use this file except in compliance with the license"),
+    ("mpl", "mozilla", r"source code form is subject to the terms of the mozilla public"),
+    ("zlib", "altered", r"altered source versions must be plainly marked"),
+    ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain"),
+    ("public-domain", "domain", r"(?:dedicated to|placed in|released (?:in)?to|is in) the public domain"),
+    ("proprietary", "reserved", r"all rights reserved"),
     ("copyright", "copyright", r"copyright\s+(?:\(c\)|©|\d{4})[^\n]{0,80}"),
     ("copyright", "©", r"©\s*(?:\d{4}|[^\W\d_]+ \d{4})"),
 ]
 
 
+def wrapped(expression: str) -> str:
+    """The expression with any white space, line ends and comment marks included, where it has one space outside a set."""
+    return re.sub(r" (\??)(?![^\[]*\])", lambda m: r"(?:[\s*#/;]+)" + m[1], expression)
+
+
 class Rule(NamedTuple):
     label: str
     keyword: str
@@ -121,7 +126,7 @@ def rules() -> list[Rule]:
         found.append(Rule(label, "under", rf"(?:released|licen[sc]ed|distributed|published|available) under (?:the )?(?:terms of (?:the )?)?(?:{names})(?: licen[sc]e)?\b[^\w\n]{{0,2}}(?:v(?:ersion)? ?\d[\d.]*)?", 25, 0.95))
         found.append(Rule(label, "licen", rf"\b(?:{names}) licen[sc]e\b(?:,? v(?:ersion)? ?\d[\d.]*)?", 20, 0.8))
     found += [Rule(label, keyword, expression, 10, 0.5) for label, keyword, expression in SENTENCES]
-    return found
+    return [r._replace(expression=wrapped(r.expression)) for r in found]
 
 
 class Scanner:
