@@ -85,10 +85,15 @@ class Scanner:
     def verify(self, text: str, k: int, low: int, high: int) -> tuple[int, int, int] | None:
         """(distance, begin, end) of item ``k`` where it begins between ``low`` and ``high``."""
         _, item, budget, profile = self.items[k]
-        begin = text.find(item, max(low, 0), high + len(item))
-        if begin >= 0:
-            return 0, begin, begin + len(item)
-        if not budget:
+        begin, stop = text.find(item, max(low, 0), high + len(item)), len(item)
+        if budget:
+            if begin >= 0:
+                return 0, begin, begin + stop
+        else:  # an item too short for an edit is found as whole words only
+            while begin >= 0:
+                if text[begin - 1 : begin] in ("", " ") and text[begin + stop : begin + stop + 1] in ("", " "):
+                    return 0, begin, begin + stop
+                begin = text.find(item, begin + 1, high + stop)
             return None
         at = max(low - budget, 0)
         window = text[at : high + len(item) + budget]

@@ -14,6 +14,8 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 RAW_TAGS = frozenset("script style title template svg math iframe object noframes canvas audio video".split())
+#: Those of them that hold the rest of the page if they are not closed; of others only the tag is left out.
+UNREADABLE = frozenset("script style title iframe noframes".split())
 #: Elements that a begin tag of the same set ends, up to the nearest of the bounds.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -114,7 +116,7 @@ def blocks(page: str) -> list[Block]:
         if name in RAW_TAGS:
             if not rest.endswith("/"):
                 stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
+                at = stop.end() if stop else len(page) if name in UNREADABLE else at
             continue
         if block:
             if name in _CLOSES:

@@ -94,13 +94,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
     Rows are drawn by a hash of their doc_id, at a rate that makes ``max_train`` the
     expected number. They are few, so one task goes through them in the order of that
     hash. Rows without label and held-out rows never take part; a doc_id with several
-    labels counts with the largest.
+    labels counts with the largest, one with several texts with the last in order, so
+    repeated rows do not outweigh others and the bound holds for what the task gets.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("__y"))
     draw = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     rate = min(1.0, max_train / max(known.count(), 1))
     rows = known.filter(drawn(draw, rate)).join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").isNotNull())
+    rows = rows.groupBy("doc_id").agg(F.max(F.struct("text", "__y")).alias("__r")).select("doc_id", "__r.*")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holds("toxicity", _forget)

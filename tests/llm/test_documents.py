@@ -282,3 +282,30 @@ def test_decontamination_equals_brute_force(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find(spark.createDataFrame(docs, EMPTY), none).count() == 0
     assert decontamination.drop(spark.createDataFrame(docs, EMPTY), none).count() == len(docs)
+
+
+def test_license_sentences_that_wrap():
+    scan = licenses.Scanner().scan
+    wrapped = {
+        "Neither the name of the X nor the names of its\n   contributors may be used": "bsd", "to deal\n// in the Software without restriction": "mit",
+        "Mozilla Public\nLicense, v. 2.0": "mpl", "redistribute it and/or modify\n * it under the terms of the GNU Lesser": "lgpl",
+        "Licensed under the terms of the\n# Apache License, Version 2.0": "apache", "Permission is hereby granted, free of charge,\n to any person\nobtaining a copy": "mit",
+    }
+    for text, label in wrapped.items():
+        assert scan(text)[5] == label, text
+    assert scan("all kinds of rights that are reserved for the public")[5] == ""
+
+
+def test_short_items_are_whole_words(spark):
+    items = spark.createDataFrame([(1, "art"), (2, "Start")], "item_id long, text string")
+    docs = table(spark, ["we start here", "the art", "art", "artist of parts", "x start", "Art, art"])
+    got = {(r["doc_id"], r["item_id"], r["begin"], r["end"]) for r in decontamination.find(docs, items).collect()}
+    assert got == {(0, 2, 3, 8), (1, 1, 4, 7), (2, 1, 0, 3), (4, 2, 2, 7), (5, 1, 0, 3)}
+
+
+def test_repeated_rows_do_not_outweigh_others_in_training(spark):
+    rows = [(i, "you vile fool" if i % 2 else "a fine day", "s") for i in range(300)]
+    docs = spark.createDataFrame(rows + [(2, "a fine day", "s")] * 2000, EMPTY)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    once = toxicity.fit(spark.createDataFrame(rows, EMPTY), labels)
+    assert toxicity.fit(docs, labels) == once and once

@@ -30,6 +30,14 @@ def test_blocks():
     assert [b.linked for b in blocks("<p><a href=x>link</a> rest</p>")] == [4]
 
 
+def test_an_unclosed_element_loses_only_its_tag():
+    for name in ("svg", "math", "object", "canvas", "audio", "video", "template"):
+        assert texts(f"<article><p>A</p><{name} src=x><p>B</p></article>") == ["A", "B"]
+        assert texts(f"<p>A</p><{name}>x</{name}><p>B</p>") == ["A", "B"]
+    assert texts("<p>A</p><style>p{} <p>B</p>") == ["A"]
+    assert texts("<div>" * 3000 + "deep" + "</div>" * 3000) == ["deep"]
+
+
 def test_marginals_agree_with_enumeration():
     import itertools
 
