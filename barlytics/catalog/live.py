@@ -10,6 +10,7 @@ from barlytics.catalog.paths import BUCKET, HORIZONS, STOPS, TARGET, anchors
 from barlytics.catalog.scalars import position_sql
 from barlytics.catalog.series import core
 from barlytics.operators import labels as lab
+from barlytics.plans import account
 from barlytics.plans.live import settle
 from barlytics.session import cut
 from barlytics.streaming import machines as mc, streams
@@ -130,45 +131,97 @@ def t03s(spark, sf):
     return _machine(_scans(spark, sf), "scans", ["symbol"], ["timestamp_ms"], mc.swing_step, mc.SWING_EVENTS)
 
 
-# --- paper account: every setup row is a signal ----------------------------
+# --- paper account: every trigger is a signal -------------------------------
+
+TP, SL, REST = 2.0, 2.5, 20 * DAY
+_FAV = "CASE WHEN side = 'LONG' THEN (high / e - 1) * 100 ELSE (1 - low / e) * 100 END"
+_ADV = "CASE WHEN side = 'LONG' THEN (1 - low / e) * 100 ELSE (high / e - 1) * 100 END"
+cte(
+    "acc_signals",
+    f"""SELECT *, early IS NULL AS fit FROM (SELECT trigger_id AS id, symbol, bias AS side, at_ms, CASE WHEN asof_ms < (SELECT min(asof_ms) FROM trigger_rows) + {100 * DAY} THEN 'PRE_ACTIVATION'
+  WHEN at_ms - asof_ms > 600000 THEN 'STALE_AT_OBSERVATION' WHEN CAST(substring(symbol, 2) AS BIGINT) % 5 = 4 THEN 'IDENTITY_NOT_VERIFIED_CRYPTO' END AS early
+ FROM (SELECT *, asof_ms + CASE WHEN pos % 9 = 0 THEN 900000 ELSE 60000 END AS at_ms FROM trigger_rows))""",
+)
+cte("acc_runs", f"SELECT symbol, open_time_ms AS t, open, high, low, open_time_ms - pos * {DAY} AS run FROM tiny_pos")
+cte(
+    "acc_paths",
+    f"""SELECT *, CASE WHEN side = 'LONG' THEN 1 ELSE -1 END * (open / e - 1) * 100 AS gap, {_FAV} AS fav, {_ADV} AS adv FROM (
+ SELECT s.symbol, s.at_ms, s.side, en.open AS e, en.t AS entry, b.t, b.open, b.high, b.low FROM acc_signals s
+ JOIN acc_runs en ON en.symbol = s.symbol AND en.t = s.at_ms - s.at_ms % {DAY} + {DAY} AND s.fit JOIN acc_runs b ON b.symbol = en.symbol AND b.run = en.run AND b.t >= en.t)""",
+)
+cte("acc_marks", f"SELECT *, min(CASE WHEN gap <= -{SL} OR gap >= {TP} OR fav >= {TP} - 1e-9 OR adv >= {SL} - 1e-9 THEN t END) OVER (PARTITION BY symbol, at_ms) AS x FROM acc_paths")
+cte(
+    "acc_ends",
+    f"""SELECT symbol, at_ms, any_value(e) AS e, any_value(entry) AS entry, any_value(x) AS x, greatest(0, max(adv)) AS mae, greatest(0, max(fav)) AS mfe, max(t) AS seen,
+  max(CASE WHEN gap <= -{SL} THEN 'STOP' WHEN gap >= {TP} THEN 'TARGET' WHEN fav >= {TP} - 1e-9 AND adv >= {SL} - 1e-9 THEN 'AMBIGUOUS_LOSS' WHEN fav >= {TP} - 1e-9 THEN 'TARGET' ELSE 'STOP' END) FILTER (WHERE t = x) AS status,
+  max(CASE WHEN gap <= -{SL} THEN least(-{SL}, gap) WHEN gap >= {TP} OR (fav >= {TP} - 1e-9 AND adv < {SL} - 1e-9) THEN {TP} ELSE -{SL} END::DOUBLE) FILTER (WHERE t = x) AS gross
+FROM acc_marks WHERE x IS NULL OR t <= x GROUP BY symbol, at_ms""",
+)
+# One usable signal follows another at the first time at which the symbol is free again.
+cte(
+    "acc_fit",
+    f"""SELECT s.symbol, s.at_ms, min(s.id) AS id, CASE WHEN any_value(n.x) IS NOT NULL THEN greatest(s.at_ms + {REST}, any_value(n.x) + {DAY}) END AS free
+FROM acc_signals s LEFT JOIN acc_ends n ON s.symbol = n.symbol AND s.at_ms = n.at_ms WHERE s.fit GROUP BY s.symbol, s.at_ms""",
+)
+ACC_TAKEN = """acc_taken AS (
+  SELECT symbol, min(at_ms) AS at_ms FROM acc_fit GROUP BY symbol
+  UNION ALL SELECT t.symbol, (SELECT min(n.at_ms) FROM acc_fit n WHERE n.symbol = t.symbol AND n.at_ms >= f.free) FROM acc_taken t
+  JOIN acc_fit f ON f.symbol = t.symbol AND f.at_ms = t.at_ms WHERE (SELECT min(n.at_ms) FROM acc_fit n WHERE n.symbol = t.symbol AND n.at_ms >= f.free) IS NOT NULL),
+acc_held AS (SELECT f.*, n.* EXCLUDE (symbol, at_ms) FROM acc_taken t JOIN acc_fit f ON f.symbol = t.symbol AND f.at_ms = t.at_ms LEFT JOIN acc_ends n ON n.symbol = t.symbol AND n.at_ms = t.at_ms)"""
+ADMITTED = f"""WITH RECURSIVE {ACC_TAKEN}
+SELECT symbol, id, side, at_ms AS timestamp_ms, reason, CASE WHEN reason = 'ACCEPTED' THEN at_ms - at_ms % {DAY} + {DAY} END AS entry_ms FROM (
+ SELECT s.*, CASE WHEN s.early IS NOT NULL THEN s.early WHEN h.id = s.id THEN 'ACCEPTED' WHEN h.id < s.id THEN 'POSITION_ALREADY_OPEN' WHEN p.at_ms IS NOT NULL AND (p.x IS NULL OR p.x + {DAY} > s.at_ms) THEN 'POSITION_ALREADY_OPEN'
+   ELSE 'SYMBOL_COOLDOWN' END AS reason
+ FROM acc_signals s LEFT JOIN acc_held h ON h.symbol = s.symbol AND h.at_ms = s.at_ms ASOF LEFT JOIN acc_held p ON p.symbol = s.symbol AND p.at_ms < s.at_ms)"""
+TRACKED = f"""WITH RECURSIVE {ACC_TAKEN}
+SELECT h.symbol, h.id, s.side, h.x + {DAY} AS timestamp_ms, h.entry AS entry_ms, round(h.e, 9) AS entry_price, h.status, round(h.mae, 9) AS mae_pct, round(h.mfe, 9) AS mfe_pct,
+  round(h.gross - 0.12 - 0.01 * ceil((h.x + {DAY} - h.entry) / {HOUR}.0 / 8), 9) AS net_return_pct, round(h.gross - 0.50 - 0.01 * ceil((h.x + {DAY} - h.entry) / {HOUR}.0 / 8), 9) AS stressed_net_return_pct
+FROM acc_held h JOIN acc_signals s ON s.id = h.id WHERE h.x IS NOT NULL"""
 
 
 def _paper_rows(spark, sf):
+    """Judged signals and closed bars."""
     tiny, t = trigger_rows(spark, sf)
     signals = t.select(
         F.col("trigger_id").alias("id"), "symbol", "bias", F.col("asof_ms").alias("timestamp_ms"),
-        (F.col("asof_ms") + F.when(F.col("pos") % 9 == 0, 900_000).otherwise(60_000)).alias("observed_ms"), *mc.PAPER_FEATURES,
-    )
-    registry = table(spark, sf, "region").select(
-        F.concat(F.lit("S"), F.col("r_regionkey").cast("string")).alias("symbol"),
-        F.when(F.col("r_regionkey") < 4, "CRYPTO").otherwise("OTHER").alias("classification"),
+        (F.col("asof_ms") + F.when(F.col("pos") % 9 == 0, 900_000).otherwise(60_000)).alias("observed_ms"), *account.FEATURES,
     )
-    start = t.agg(F.min("asof_ms") + 100 * DAY).scalar()
-    return mc.paper_input(signals, tiny, TINY, registry, start)
+    registry = tiny.select("symbol").distinct().withColumn("classification", F.when(F.substring("symbol", 2, 20).cast("bigint") % 5 == 4, "OTHER").otherwise("CRYPTO"))
+    return account.judged(signals, registry, t.agg(F.min("asof_ms") + 100 * DAY).scalar()), tiny.select("symbol", "open_time_ms", "open", "high", "low", "close")
+
+
+def _events(signals, bars):
+    return account.account(signals, bars, TINY, TP, SL, REST)
 
 
-def _paper(spark, sf, kind: str):
-    step = mc.paper_trader(TINY, 2.0, 2.5, 20 * DAY)
-    ev = mc.batch(step, _paper_rows(spark, sf), ["symbol"], ["at_ms", "turn", "id"], mc.PAPER_EVENTS)
-    return ev.filter(F.col("kind") == kind)
+def _tracked(events):
+    return rnd(events.filter("kind = 'OUTCOME'").select(
+        "symbol", "id", "side", "timestamp_ms", "entry_ms", "entry_price", "status", "mae_pct", "mfe_pct", "net_return_pct", "stressed_net_return_pct"
+    ))
 
 
-@query("t04_admit")
+@query("t04_admit", ADMITTED)
 def t04(spark, sf):
-    return _paper(spark, sf, "ADMISSION").select("symbol", "id", "side", "timestamp_ms", "reason", "entry_ms")
+    return _events(*_paper_rows(spark, sf)).filter("kind = 'ADMISSION'").select("symbol", "id", "side", "timestamp_ms", "reason", "entry_ms")
 
 
-@query("t05_track_open_positions")
+@query("t05_track_open_positions", TRACKED)
 def t05(spark, sf):
-    out = _paper(spark, sf, "OUTCOME")
-    return rnd(out.select("symbol", "id", "side", "timestamp_ms", "entry_ms", "entry_price", "status", "mae_pct", "mfe_pct", "net_return_pct", "stressed_net_return_pct"))
+    return _tracked(_events(*_paper_rows(spark, sf)))
 
 
-@query("t05_track_open_positions_stream")
+@query("t05_track_open_positions_stream", TRACKED)
 def t05s(spark, sf):
-    step = mc.paper_trader(TINY, 2.0, 2.5, 20 * DAY)
-    ev = _machine(_paper_rows(spark, sf), "paper", ["symbol"], ["at_ms", "turn", "id"], step, mc.PAPER_EVENTS)
-    return ev.filter("kind = 'OUTCOME'").select("symbol", "id", "side", "timestamp_ms", "entry_ms", "status")
+    """Signals and bars arrive together; a delivery gives out the events that it causes."""
+    signals, bars = _paper_rows(spark, sf)
+    own, prices = signals.columns, bars.columns
+    both = signals.withColumn("_signal", F.lit(True)).unionByName(bars.withColumn("at_ms", F.col("open_time_ms") + TINY).withColumn("_signal", F.lit(False)), allowMissingColumns=True)
+    kept = streams.table_dir(spark, "account")
+
+    def job(batch, batch_id, out):
+        account.deliver(batch, batch_id, out, kept, lambda rows: _events(rows.filter("_signal").select(*own), rows.filter("not _signal").select(*prices)))
+
+    return _tracked(streams.arrive(cut(both), "account", "at_ms", job=job, parts=3))
 
 
 # --- event-time operators on the event stream ------------------------------

@@ -59,8 +59,14 @@ def reached(times: DataFrame, keys, time: str, gap_ms: int) -> DataFrame:
     keys = list(keys)
     on = [*keys, time]
     facts = cut(followers(times, keys, time, gap_ms))
-    kept = facts.filter("_starts").select(*on)
-    jumps = facts.filter("_next is not null").select(*on, "_next")
+    return closure(facts.filter("_starts").select(*on), facts.filter("_next is not null").select(*on, "_next"), keys, time)
+
+
+def closure(kept: DataFrame, jumps: DataFrame, keys, time: str) -> DataFrame:
+    """What ``kept`` (keys, time) reaches over ``jumps`` (keys, time, _next), itself included; jumps go forward in time."""
+    keys = list(keys)
+    on = [*keys, time]
+    jumps = cut(jumps)
     while not jumps.isEmpty():
         more = kept.join(jumps, on).select(*keys, F.col("_next").alias(time))
         kept = cut(kept.unionByName(more))

@@ -209,7 +209,7 @@ def with_runs(bars: DataFrame, step: int) -> DataFrame:
 
 
 def gap_aware_exit(
-    trades: DataFrame, bars: DataFrame, step: int, now: Column, target: float = 5.0, stop: float = 6.0,
+    trades: DataFrame, bars: DataFrame, step: int, now: Column, target: float = 5.0, stop: float = 6.0, run_end: bool = False,
 ) -> DataFrame:
     """Exit of each paper trade at its first deciding bar.
 
@@ -219,7 +219,8 @@ def gap_aware_exit(
 
     Bars hold ``low <= open <= high``, so a bar decides exactly if its high or low reaches a
     barrier. The first such bar is found in a pyramid of highs and lows, with rows that grow with
-    the logarithm of the run, then that bar alone tells how the trade ends. ``id`` names a trade.
+    the logarithm of the run, then that bar alone tells how the trade ends. ``id`` names a trade. With
+    ``run_end`` the last bar of the run is added as ``run_end_ms``.
     """
     eps = 1e-9
     closed = with_runs(bars, step).filter(F.col("open_time_ms") + step <= now)
@@ -262,11 +263,12 @@ def gap_aware_exit(
         F.col("_exit").alias("resolved_bar_ms"), F.col("_mae").alias("mae_pct"), F.col("_mfe").alias("mfe_pct"),
         gross.alias("gross_return_pct"), F.when(F.col("_exit").isNotNull(), hours).alias("holding_hours"),
         (gross - holding_costs(hours, 0.12)).alias("net_return_pct"),
-        (gross - holding_costs(hours, 0.50)).alias("stressed_net_return_pct"),
+        (gross - holding_costs(hours, 0.50)).alias("stressed_net_return_pct"), *([F.col("_run_end").alias("run_end_ms")] if run_end else []),
     )
     waiting = pending.select(
         *cols, F.lit(None).cast("double").alias("entry_price"), F.lit("PENDING").alias("status"),
         F.lit(None).cast("bigint").alias("resolved_bar_ms"), F.lit(0.0).alias("mae_pct"), F.lit(0.0).alias("mfe_pct"),
         *[F.lit(None).cast("double").alias(c) for c in ("gross_return_pct", "holding_hours", "net_return_pct", "stressed_net_return_pct")],
+        *([F.lit(None).cast("bigint").alias("run_end_ms")] if run_end else []),
     )
     return done.unionByName(waiting)

@@ -9,7 +9,6 @@ from barlytics import catalog
 # Queries without a SQL form; their operators are tested on fixtures.
 NO_SQL = {
     "m03_fit_classifier", "m10_permutation_importance", "m11_model_promotable",
-    "t04_admit", "t05_track_open_positions", "t05_track_open_positions_stream",
 }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from barlytics.functions import rules, scalar as sc
 from barlytics.operators import cohorts, joins, labels, online
 from barlytics.operators.quality import lookahead_check
+from barlytics.plans import account
 from barlytics.streaming import machines as mc, streams
 
 BAR = 300_000
@@ -236,8 +237,8 @@ def signal(i, t, symbol="X", bias="LONG", seen=None, m=1.0):
 
 def paper(spark, signals, bars, start=0):
     registry = spark.createDataFrame([("X", "CRYPTO"), ("S", "STOCK")], "symbol string, classification string")
-    rows = mc.paper_input(spark.createDataFrame(signals, SIGNAL), spark.createDataFrame(bars, PRICE), BAR, registry, F.lit(start))
-    return mc.batch(mc.paper_trader(BAR), rows, ["symbol"], ["at_ms", "turn", "id"], mc.PAPER_EVENTS).orderBy("timestamp_ms", "id").collect()
+    rows = account.judged(spark.createDataFrame(signals, SIGNAL), registry, F.lit(start))
+    return account.account(rows, spark.createDataFrame(bars, PRICE), BAR).orderBy("timestamp_ms", "id").collect()
 
 
 def test_admission_reasons(spark):
