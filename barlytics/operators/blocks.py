@@ -30,6 +30,49 @@ class Roll:
     build: Callable[[WindowSpec], Column]
 
 
+#: Groups into which the chunks of a series without keys are put.
+GROUPS = 256
+
+_AGG = {"max": F.max, "min": F.min, "sum": F.sum}
+
+
+def _over(col, kind: str, w: WindowSpec) -> Column:
+    return _AGG[kind](col).over(w) if kind in _AGG else F.last(col, ignorenulls=True).over(w)
+
+
+def _joined(here: Column, earlier: Column, kind: str) -> Column:
+    if kind == "sum":
+        return F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0))
+    return {"max": F.greatest, "min": F.least}.get(kind, F.coalesce)(here, earlier)
+
+
+def scan_chunks(rows: DataFrame, keys, kinds: dict[str, str]) -> DataFrame:
+    """Each column of ``kinds`` over all earlier ``_chunk`` rows of the key (null before the first).
+
+    With keys a window holds the chunk rows of one key. Without any, chunks are put into up to
+    ``GROUPS`` groups of consecutive ones; a window holds the chunks of a group, and the
+    groups' totals, one row each, are sent to the groups behind.
+    """
+    keys = list(keys)
+    if keys:
+        before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select(*keys, "_chunk", *[_over(F.col(c), kind, before).alias(c) for c, kind in kinds.items()])
+    shares = [i / GROUPS for i in range(1, GROUPS)]
+    edges = sorted(set(rows.agg(F.percentile_approx("_chunk", shares)).first()[0] or []))
+    group = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("_chunk"))) if edges else F.lit(0)
+    rows = rows.withColumn("_group", group)
+    inside = Window.partitionBy("_group").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    own = lambda c, kind: _AGG[kind](c) if kind in _AGG else F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_chunk")))
+    totals = rows.groupBy("_group").agg(*[own(c, kind).alias(c) for c, kind in kinds.items()])
+    ahead = F.explode(F.sequence(F.col("_group") + 1, F.lit(len(edges))))
+    sent = totals.filter(F.col("_group") < len(edges)).select(ahead.alias("_to"), "*")
+    gone = lambda c, kind: _AGG[kind](c) if kind in _AGG else F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_group")))
+    earlier = sent.groupBy(F.col("_to").alias("_group")).agg(*[gone(c, kind).alias(f"_e_{c}") for c, kind in kinds.items()])
+    local = rows.select("_group", "_chunk", *[_over(F.col(c), kind, inside).alias(c) for c, kind in kinds.items()])
+    both = local.join(earlier, "_group", "left")
+    return both.select("_chunk", *[_joined(F.col(c), F.col(f"_e_{c}"), kind).alias(c) for c, kind in kinds.items()])
+
+
 def with_position(df: DataFrame, keys, time: str, chunk: Column) -> DataFrame:
     """Number the rows of each key from 0 in time order, without one long window.
 
@@ -38,16 +81,12 @@ def with_position(df: DataFrame, keys, time: str, chunk: Column) -> DataFrame:
     """
     keys = list(keys)
     base = df.withColumn("_chunk", chunk)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        base.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    )
+    offsets = scan_chunks(base.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_off")), keys, {"_off": "sum"})
     inside = Window.partitionBy(*keys, "_chunk").orderBy(time)
     return (
         base.withColumn("_rn", F.row_number().over(inside))
         .join(offsets, [*keys, "_chunk"])
-        .withColumn(POS, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
+        .withColumn(POS, (F.coalesce("_off", F.lit(0)) + F.col("_rn") - 1).cast("bigint"))
         .drop("_chunk", "_rn", "_off")
     )
 
@@ -104,47 +143,29 @@ def prefix(
     for c in lags:
         base = base.withColumn(f"_box_{c}", F.struct(F.col(c).alias("v")))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     key_struct = F.struct(*order)
 
-    def over(fn_col, kind, w):
-        agg = {"max": F.max, "min": F.min, "sum": F.sum}
-        if kind in agg:
-            return agg[kind](fn_col).over(w)
-        return F.last(fn_col, ignorenulls=True).over(w)
-
     def total(out, c, kind):
-        agg = {"max": F.max, "min": F.min, "sum": F.sum}
-        if kind in agg:
-            return agg[kind](c).alias(out)
+        if kind in _AGG:
+            return _AGG[kind](c).alias(out)
         src = F.col(f"_box_{c}") if kind == "lag" else F.col(c)
         return F.max_by(src, F.when(src.isNotNull(), key_struct)).alias(out)
 
     carry = base.groupBy(*keys, "_chunk").agg(
         *[total(f"_c_{o}", c, kind) for o, (c, kind) in specs.items()]
     )
-    carry = carry.select(
-        *keys, "_chunk",
-        *[over(F.col(f"_c_{o}"), kind, before).alias(f"_c_{o}") for o, (c, kind) in specs.items()],
-    )
+    carry = scan_chunks(carry, keys, {f"_c_{o}": kind for o, (c, kind) in specs.items()})
     run = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = base.withColumns(
         {
-            f"_l_{o}": over(F.col(f"_box_{c}") if kind == "lag" else F.col(c), kind, run)
+            f"_l_{o}": _over(F.col(f"_box_{c}") if kind == "lag" else F.col(c), kind, run)
             for o, (c, kind) in specs.items()
         }
     )
     joined = local.join(carry, [*keys, "_chunk"])
 
     def merged(o, kind):
-        here, earlier = F.col(f"_l_{o}"), F.col(f"_c_{o}")
-        if kind == "sum":
-            return F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0))
-        if kind == "max":
-            return F.greatest(here, earlier)
-        if kind == "min":
-            return F.least(here, earlier)
-        both = F.coalesce(here, earlier)
+        both = _joined(F.col(f"_l_{o}"), F.col(f"_c_{o}"), kind)
         return both["v"] if kind == "lag" else both
 
     out = joined.withColumns({o: merged(o, kind) for o, (c, kind) in specs.items()})

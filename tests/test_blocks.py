@@ -162,6 +162,27 @@ def test_auc_and_ap_with_ties(spark):
     assert ev.average_precision(df).first().average_precision == pytest.approx(ap)
 
 
+@pytest.mark.parametrize("chunk", [7, 64, 100_000])
+def test_values_without_keys_are_carried_by_groups_of_chunks(spark, chunk):
+    rng = random.Random(chunk)
+    rows = sorted((t, rng.choice([None, rng.randrange(100)])) for t in rng.sample(range(-3000, 9000), 2500))
+    df = spark.createDataFrame(rows, "t long, v long")
+    cut_at = F.col("t") - F.pmod(F.col("t"), F.lit(chunk))
+    specs = {"a": ("v", "max"), "b": ("v", "min"), "c": ("v", "sum"), "d": ("v", "last"), "e": ("v", "lag")}
+    out = prefix(df, [], "t", cut_at, specs)
+    got = {r["t"]: tuple(r[c] for c in "abcde") for r in out.collect()}
+    seen = []
+    for k, (t, v) in enumerate(rows):
+        want = (max(seen, default=None), min(seen, default=None), sum(seen), seen[-1] if seen else None, rows[k - 1][1] if k else None)
+        assert got[t] == want
+        seen += [v] if v is not None else []
+    placed = with_position(df, [], "t", cut_at)
+    assert [r["pos"] for r in placed.orderBy("t").collect()] == list(range(len(rows)))
+    for plan in (out, placed):
+        assert "SinglePartition" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert prefix(df.filter("false"), [], "t", cut_at, specs).count() == 0
+
+
 def test_cooldown_is_greedy(spark):
     rng = random.Random(8)
     rows = [(s, rng.randrange(0, 5000), i) for s in ("HOT", "HOT", "HOT", "A") for i in range(200)]
