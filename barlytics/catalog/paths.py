@@ -351,7 +351,7 @@ def a06(spark, sf):
     won = cut(won.select(F.abs("mae_before_target_pct").alias("m"), "minutes_to_target"))
     names = [f"p{int(q * 100)}" for q in QS]
     drawdown = cohorts.exact_quantiles(won, "m", QS)
-    minutes = cohorts.exact_quantiles(won, "minutes_to_target", QS, bin_width=60.0)
+    minutes = cohorts.exact_quantiles(won, "minutes_to_target", QS)
     row = minutes.select(F.struct(*names).alias("m")).scalar()
     return rnd(drawdown.withColumn("_m", row).select("samples", *names, *[F.col(f"_m.{n}").alias(f"minutes_{n}") for n in names]), 4)
 

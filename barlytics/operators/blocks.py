@@ -73,6 +73,18 @@ def scan_chunks(rows: DataFrame, keys, kinds: dict[str, str]) -> DataFrame:
     return both.select("_chunk", *[_joined(F.col(c), F.col(f"_e_{c}"), kind).alias(c) for c, kind in kinds.items()])
 
 
+def depth(df: DataFrame, by, column: str, parts: int = GROUPS) -> DataFrame:
+    """Adds ``_depth``: which of ``parts`` bins of about equally many rows of the group the value lies in.
+
+    Edges are approximate quantiles, so bins follow the values however close they lie; equal
+    values share a bin.
+    """
+    by = list(by)
+    edges = df.groupBy(*by).agg(F.percentile_approx(column, [i / parts for i in range(1, parts)]).alias("_edges"))
+    near = df.join(edges, by) if by else df.withColumn("_edges", edges.scalar())
+    return near.withColumn("_depth", F.size(F.filter("_edges", lambda e: e <= F.col(column)))).drop("_edges")
+
+
 def with_position(df: DataFrame, keys, time: str, chunk: Column) -> DataFrame:
     """Number the rows of each key from 0 in time order, without one long window.
 

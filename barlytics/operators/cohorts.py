@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barlytics.operators.blocks import prefix
-
+from barlytics.operators.blocks import depth, prefix
 
 
 def rate_summary(outcomes: DataFrame, by=("horizon_ms",), hit: str = "target_reached") -> DataFrame:
@@ -53,15 +52,15 @@ def stop_summary(outcomes: DataFrame, by=("stop_pct",), ret: str = "sim_return_p
     return sums.join(middle, by)
 
 
-def exact_quantiles(df: DataFrame, column: str, points: list[float], by=(), bin_width: float = 0.01) -> DataFrame:
+def exact_quantiles(df: DataFrame, column: str, points: list[float], by=()) -> DataFrame:
     """Exact quantiles with linear interpolation per group, one column each.
 
     Rows shrink to counts per distinct value; ranks come from a prefix sum over
-    value bins, so no task holds all values of a group.
+    bins of equal depth, so no task holds all values of a group.
     """
     by = list(by)
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix(counts, by, "_v", F.floor(F.col("_v") / bin_width), {"_below": ("_n", "sum")})
+    ranked = prefix(depth(counts, by, "_v"), by, "_v", F.col("_depth"), {"_below": ("_n", "sum")})
     if by:
         sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
         ranked = ranked.join(sizes, by)

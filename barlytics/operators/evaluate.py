@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barlytics.functions.scalar import num
-from barlytics.operators.blocks import prefix, with_position
+from barlytics.operators.blocks import depth, prefix, with_position
 from barlytics.operators.cohorts import exact_quantiles
 from barlytics.operators.grid import floor_bucket
 from barlytics.operators.gaps import cooldown
@@ -127,20 +127,20 @@ def _by_score(df: DataFrame, p: str, y: str, keys) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, p: str = "p", y: str = "y", by=(), bins: int = 1024) -> DataFrame:
+def roc_auc(df: DataFrame, p: str = "p", y: str = "y", by=()) -> DataFrame:
     """Area under the ROC curve from ranks; null with only one class."""
     by = list(by)
-    scores = prefix(_by_score(df, p, y, by), by, "_p", F.floor(F.col("_p") * bins), {"_below": ("_neg", "sum")})
+    scores = prefix(depth(_by_score(df, p, y, by), by, "_p"), by, "_p", F.col("_depth"), {"_below": ("_neg", "sum")})
     won = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
     return scores.groupBy(*by).agg(F.sum(F.col("_pos") + F.col("_neg")).alias("n"), F.when(pairs > 0, won / pairs).alias("roc_auc"))
 
 
-def average_precision(df: DataFrame, p: str = "p", y: str = "y", by=(), bins: int = 1024) -> DataFrame:
+def average_precision(df: DataFrame, p: str = "p", y: str = "y", by=()) -> DataFrame:
     """Precision weighted by the recall each distinct score adds."""
     by = list(by)
     rows = _by_score(df, p, y, by).withColumns({"_down": -F.col("_p"), "_all": F.col("_pos") + F.col("_neg")})
-    cum = prefix(rows, by, "_down", F.floor(F.col("_down") * bins), {"_tp": ("_pos", "sum"), "_seen": ("_all", "sum")})
+    cum = prefix(depth(rows, by, "_down"), by, "_down", F.col("_depth"), {"_tp": ("_pos", "sum"), "_seen": ("_all", "sum")})
     precision = (F.col("_tp") + F.col("_pos")) / (F.col("_seen") + F.col("_all"))
     total = F.sum("_pos")
     return cum.groupBy(*by).agg(

@@ -51,7 +51,7 @@ def report_tables(outcomes: DataFrame, stops=STOP_GRID_PCT, horizons_ms=HORIZONS
         "stop_grid": summary,
         "best_stop": cohorts.best_stop(summary),
         "drawdown": cohorts.exact_quantiles(winners, "drawdown", [0.5, 0.75, 0.9, 0.95]),
-        "minutes_to_target": cohorts.exact_quantiles(winners, "minutes_to_target", [0.5, 0.75, 0.9], bin_width=60.0),
+        "minutes_to_target": cohorts.exact_quantiles(winners, "minutes_to_target", [0.5, 0.75, 0.9]),
         "gate_groups": groups,
         "gate_status": cohorts.gate_status(groups),
     }

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlytics.operators import evaluate as ev, gaps, grid, indicators as ind, joins, online
-from barlytics.operators.blocks import fold_linear, prefix, roll, with_position
+from barlytics.operators.blocks import depth, fold_linear, prefix, roll, with_position
 from barlytics.operators.cohorts import exact_quantiles
 
 STEP = 10
@@ -183,6 +183,19 @@ def test_values_without_keys_are_carried_by_groups_of_chunks(spark, chunk):
     assert prefix(df.filter("false"), [], "t", cut_at, specs).count() == 0
 
 
+def test_close_scores_still_spread(spark):
+    """Scores within a millionth of each other fill many bins; results are those of the ranks."""
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 2, 4000)
+    p = 0.5 + np.round((y * 0.2 + rng.random(4000)) * 1e-6, 10)
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "p": p}))
+    sizes = [r["count"] for r in depth(df.select("p").distinct(), [], "p").groupBy("_depth").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 100
+    pos, neg = p[y == 1], p[y == 0]
+    want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    assert ev.roc_auc(df).first().roc_auc == pytest.approx(want)
+
+
 def test_cooldown_is_greedy(spark):
     rng = random.Random(8)
     rows = [(s, rng.randrange(0, 5000), i) for s in ("HOT", "HOT", "HOT", "A") for i in range(200)]
