@@ -169,6 +169,7 @@ def s10(spark, sf):
     b = stored_bars(spark, sf)
     half = b.agg(F.percentile_approx("open_time_ms", 0.5)).scalar()
     rows = b.select("symbol", "open_time_ms", "close")
-    sinks.compact_snapshot(rows.filter(F.col("open_time_ms") <= half), path, "symbol", "open_time_ms", first=True)
-    sinks.compact_snapshot(rows.filter(F.col("open_time_ms") > half), path, "symbol", "open_time_ms")
-    return sinks.read_snapshot(spark, path)
+    sinks.append_newest(rows.filter(F.col("open_time_ms") <= half), path, "symbol", "open_time_ms", 0)
+    sinks.append_newest(rows.filter(F.col("open_time_ms") > half), path, "symbol", "open_time_ms", 1)
+    sinks.compact_newest(spark, path, "symbol", "open_time_ms")
+    return sinks.read_newest(spark, path, "symbol", "open_time_ms")

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barlytics.functions.gates import fresh
-from barlytics.operators.labels import matured
-from barlytics.session import cut
+from barlytics.session import cut, remove
 from barlytics.sources import files, sinks
 from barlytics.streaming import machines as mc, streams
 
@@ -41,11 +40,11 @@ def start_machine(spark: SparkSession, landing: str, out: str, name: str, now=No
 
 
 def start_state_table(spark: SparkSession, landing: str, out: str, now=None, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the last row of every pair in a table by key range."""
+    """Add each delivery's last row of every pair to a table of newest rows (``sinks.read_newest``)."""
     rows = scan_candidates(files.stream_scans(spark, landing), now)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        sinks.compact_snapshot(batch.drop("section"), f"{out}/pairs", "pair", "scan_ms", first=batch_id == 0)
+        sinks.append_newest(batch.drop("section"), f"{out}/pairs", "pair", "scan_ms", batch_id)
 
     return (
         rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/_offsets/pairs")
@@ -56,20 +55,19 @@ def start_state_table(spark: SparkSession, landing: str, out: str, now=None, tri
 def settle(batch: DataFrame, batch_id: int, out: str, waiting: str, horizons_ms: list[int], label: Callable[[DataFrame], DataFrame]) -> None:
     """Label the (trigger, horizon) pairs that a delivery makes ripe.
 
-    The newest trigger of the delivery tells the time. Triggers with an unripe
-    horizon wait in ``waiting``, a folder per batch; pairs labelled by earlier batches
-    are read back from ``out`` and left out. A repeated batch overwrites its own
-    folders. ``label`` maps the due pairs to result rows.
+    The newest trigger of the delivery tells the time. Pairs that are not ripe wait in
+    ``waiting``, in the folder of their batch, and are all that the next batch reads: no result is read
+    again. A repeated batch overwrites its own folders; folders that no batch can
+    need any more are removed. ``label`` maps the due pairs to result rows.
     """
     spark = batch.sparkSession
     now = batch.agg(F.max("asof_ms")).first()[0]
-    done = batch.select("trigger_id", F.lit(0).cast("bigint").alias("horizon_ms")).limit(0)
-    triggers = batch
+    pairs = batch.withColumn("horizon_ms", F.explode(F.array(*[F.lit(h).cast("bigint") for h in horizons_ms])))
     if batch_id > 0:
-        triggers = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{waiting}/batch={batch_id - 1}"))
-        done = spark.read.parquet(out).filter(F.col("batch") < batch_id).select("trigger_id", "horizon_ms")
+        pairs = pairs.unionByName(spark.read.schema(pairs.schema).parquet(f"{waiting}/batch={batch_id - 1}"))
     if now is None:
-        now = triggers.agg(F.max("asof_ms")).first()[0] or 0
-    due = cut(matured(triggers, done, horizons_ms, F.lit(now)))
-    label(due).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-    triggers.filter(F.col("asof_ms") + max(horizons_ms) > now).write.mode("overwrite").parquet(f"{waiting}/batch={batch_id}")
+        now = pairs.agg(F.max("asof_ms")).first()[0] or 0
+    ripe = F.lit(now) - F.col("asof_ms") >= F.col("horizon_ms")
+    label(cut(pairs.filter(ripe))).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    pairs.filter(~ripe).write.mode("overwrite").parquet(f"{waiting}/batch={batch_id}")
+    remove(spark, f"{waiting}/batch={batch_id - 2}")

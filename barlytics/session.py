@@ -42,15 +42,36 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables, shared by all executors.
 
     The cluster names it in ``spark.checkpoint.dir``; where that is unset, a folder
-    inside the session's warehouse is set.
+    inside the session's warehouse is set. On a cluster that names none, a warehouse in
+    a local folder is refused, since other machines would not see it.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_work")
+        if not named and not sc.master.startswith("local") and warehouse.split(":")[0] in ("file", warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or f"{warehouse}/_work")
     return sc.getCheckpointDir()
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, if it is there."""
+    place, system = _place(spark, path)
+    system.delete(place, True)
+
+
+def folders(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """Paths under ``path`` whose names fit ``pattern``."""
+    place, system = _place(spark, f"{path}/{pattern}")
+    return [str(s.getPath()) for s in system.globStatus(place) or []]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and continue from the written table.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import uuid
 
-from barlytics.session import cut
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from barlytics.session import folders, remove
 
 
 def utc_day(ms: Column | str) -> Column:
@@ -33,24 +35,35 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-def compact_snapshot(rows: DataFrame, path: str, keys, order: str, first: bool = False, buckets: int = 64) -> None:
-    """Bring the newest row of each key up to date in a table kept by key range.
+def append_newest(rows: DataFrame, path: str, keys, order: str, batch_id: int) -> None:
+    """Add the newest row of each key of a delivery to a table of newest rows.
 
-    Only the key buckets that ``rows`` touch are read and written again. The same
-    rows once more change nothing, so it fits ``foreachBatch``; ``first`` says that
-    there is no table yet.
+    A delivery is a folder of its own, so nothing that is there is read or written again; the same
+    delivery once more overwrites its folder, so it fits ``foreachBatch``.
     """
+    _newest(rows, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_newest(spark: SparkSession, path: str, keys, order: str) -> DataFrame:
+    """The newest row of each key over all deliveries."""
+    return _newest(spark.read.parquet(f"{path}/batch=*"), keys, order)
+
+
+def compact_newest(spark: SparkSession, path: str, keys, order: str) -> None:
+    """Put the deliveries so far into one folder, as a job of its own between deliveries.
+
+    The folder is written before the others are removed. If the job ends in between, rows are there twice, which
+    does not change the newest ones.
+    """
+    parts = folders(spark, path, "batch=*")
+    if len(parts) > 1:
+        merged = f"{path}/batch=all-{uuid.uuid4().hex}"
+        _newest(spark.read.parquet(*parts), keys, order).write.parquet(merged)
+        for part in parts:
+            remove(spark, part)
+
+
+def _newest(rows: DataFrame, keys, order: str) -> DataFrame:
     keys = [keys] if isinstance(keys, str) else list(keys)
-    spark = rows.sparkSession
-    new = cut(rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
-    if not first:
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
-        new = new.unionByName(read_snapshot(spark, path, new.schema).filter(F.col("bucket").isin(touched)))
-    values = [c for c in new.columns if c not in keys and c != "bucket"]
-    newest = new.groupBy("bucket", *keys).agg(F.max_by(F.struct(*values), order).alias("v")).select(*keys, "v.*", "bucket")
-    cut(newest).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def read_snapshot(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """The newest rows; with a schema the key range stays as ``bucket``."""
-    return spark.read.parquet(path).drop("bucket") if schema is None else spark.read.schema(schema).parquet(path)
+    values = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("v")).select(*keys, "v.*")

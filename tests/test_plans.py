@@ -87,7 +87,7 @@ def test_live_scans(spark, tmp_path):
     live.start_state_table(spark, str(landing), out, now, once).awaitTermination()
     events = spark.read.schema("event string, pair string, timestamp_ms long, detail string").json(f"{out}/confirm").collect()
     assert [(e.event, e.pair, e.timestamp_ms, e.detail) for e in events] == [("SIGNAL_CONFIRMED", "A", 950_000, "two_scan")]
-    state = {r.pair: r.current_price for r in sinks.read_snapshot(spark, f"{out}/pairs").collect()}
+    state = {r.pair: r.current_price for r in sinks.read_newest(spark, f"{out}/pairs", "pair", "scan_ms").collect()}
     assert state == {"A": 1.1, "B": 2.0}
 
 
@@ -106,13 +106,13 @@ def test_each_scan_brings_its_threshold(spark, tmp_path):
     assert {(r.event, r.pair) for r in spark.read.schema(shape).json(f"{out}/arm").collect()} == {("SHADOW_ARMED", "LENIENT")}
 
 
-def test_a_scan_that_comes_too_late_is_left_out(spark, tmp_path):
+def test_a_scan_that_comes_too_late_is_shown(spark, tmp_path):
     landing, out = tmp_path / "scans", str(tmp_path / "out")
     for at in (960_000, 940_000, 970_000):
         drop(landing, at, [], [candidate("A", 85, 1.0)])
         live.start_machine(spark, str(landing), out, "confirm", F.lit(1_000_000), {"availableNow": True}).awaitTermination()
     events = spark.read.schema("event string, timestamp_ms long").json(f"{out}/confirm").collect()
-    assert [tuple(e) for e in events] == [("SIGNAL_CONFIRMED", 970_000)]
+    assert sorted(tuple(e) for e in events) == [("LATE_INPUT", 940_000), ("SIGNAL_CONFIRMED", 970_000)]
 
 
 def test_labels_wait_until_they_are_ripe(spark, tmp_path):
@@ -138,10 +138,10 @@ def test_gate_fails_closed(spark):
     gate = spark.createDataFrame([("MIXED", "50-59")], "market_regime string, quality_bucket string")
     got = {r.id: (r.allowed, r.gate_reason) for r in joins.gate_join(signals, gate).collect()}
     assert got[1] == (True, "approved: MIXED / 50-59")
-    assert got[2][0] is False and "unavailable" in got[2][1]
+    assert got[2][0] is False and "no context" in got[2][1]
     assert got[3] == (False, "not approved: RISK_ON / 50-59")
     off = joins.gate_join(signals, gate, enabled=F.lit(False)).collect()
-    assert not any(r.allowed for r in off) and "disabled" in off[0].gate_reason
+    assert not any(r.allowed for r in off) and "gate is off" in off[0].gate_reason
 
 
 def test_a_hot_symbol_spreads_over_blocks(spark):

@@ -3,6 +3,7 @@
 import gzip
 import json
 
+from barlytics.session import folders
 from barlytics.sources import files, sinks
 
 
@@ -59,10 +60,16 @@ def test_scan_document(spark, tmp_path):
 def test_newest_rows_by_key(spark, tmp_path):
     path = str(tmp_path / "state")
     rows = lambda *r: spark.createDataFrame(r, "k string, t long, v int")
-    sinks.compact_snapshot(rows(("a", 1, 1), ("a", 3, 3), ("b", 2, 2)), path, "k", "t", first=True)
+    sinks.append_newest(rows(("a", 1, 1), ("a", 3, 3), ("b", 2, 2)), path, "k", "t", 0)
     for _ in range(2):  # the same delivery twice
-        sinks.compact_snapshot(rows(("a", 2, 9), ("c", 5, 5), ("b", 4, 4)), path, "k", "t")
-    assert sorted(map(tuple, sinks.read_snapshot(spark, path).collect())) == [("a", 3, 3), ("b", 4, 4), ("c", 5, 5)]
+        sinks.append_newest(rows(("a", 2, 9), ("c", 5, 5), ("b", 4, 4)), path, "k", "t", 1)
+    want = [("a", 3, 3), ("b", 4, 4), ("c", 5, 5)]
+    newest = lambda: sorted(map(tuple, sinks.read_newest(spark, path, "k", "t").collect()))
+    assert newest() == want
+    sinks.compact_newest(spark, path, "k", "t")
+    assert newest() == want and len(folders(spark, path, "batch=*")) == 1
+    sinks.append_newest(rows(("a", 9, 1)), path, "k", "t", 2)
+    assert newest() == [("a", 9, 1), *want[1:]]
 
 
 def test_only_chosen_files_are_read(spark, tmp_path):
