@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlytics.llm.tables import SLICE, release, stored, strings
+from barlytics.llm.tables import SLICE, free, holds, release, stored, strings
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 NAMES = [m.split()[0] for m in MEASURES.split(", ")]
@@ -63,6 +63,7 @@ def measure_text(text: str) -> tuple[int, int, int, int, int]:
 
 
 def _measure(texts: pa.Array) -> pa.Array:
+    holds("host_quality", list)  # nothing of its own; what earlier operators remember goes
     release()
     rows = [measure_text(t) for i in range(0, len(texts), SLICE) for t in strings(texts.slice(i, SLICE))]
     columns = list(zip(*rows)) if rows else [[]] * len(NAMES)
@@ -123,8 +124,12 @@ def judge(docs: DataFrame, host: str = "source", max_host_rate: float = 0.5) ->
 
 
 def keep(docs: DataFrame, host: str = "source", max_host_rate: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
-    measured = docs.withColumn("__m", measures(F.col("text"))).withColumn("__failed", failed("__m."))
-    bad = rejected_hosts(host_rates(measured.select(F.col(host).alias("__host"), "__failed"), "__host", "__failed"), max_host_rate)
-    good = measured.filter(~F.col("__failed")).select(*docs.columns)
-    return good.join(bad, good[host] == bad["host"], "left_anti")
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    Null and empty texts fail by their own rules; rows with a null host are judged by those alone.
+    """
+    m, bad_text = free("__m", docs.columns), free("__failed", docs.columns)
+    measured = docs.withColumn(m, measures(F.col("text"))).withColumn(bad_text, failed(f"{m}."))
+    bad = rejected_hosts(host_rates(measured.select(F.col(host).alias("__host"), F.col(bad_text).alias("__failed")), "__host", "__failed"), max_host_rate)
+    good = measured.filter(~F.col(bad_text)).drop(m, bad_text)
+    return good.join(bad.withColumnRenamed("host", m), good[host] == F.col(m), "left_anti")

@@ -94,21 +94,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
     Rows are drawn by a hash of their doc_id, at a rate that makes ``max_train`` the
     expected number. They are few, so one task goes through them in the order of that
     hash. Rows without label and held-out rows never take part; a doc_id with several
-    labels counts with the largest, one with several texts with the last in order, so
-    repeated rows do not outweigh others and the bound holds for what the task gets.
+    labels counts with the largest, one with several texts with the first in order, so
+    repeated rows do not outweigh others and the bound holds for what the task keeps.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("__y"))
     draw = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     rate = min(1.0, max_train / max(known.count(), 1))
     rows = known.filter(drawn(draw, rate)).join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").isNotNull())
-    rows = rows.groupBy("doc_id").agg(F.max(F.struct("text", "__y")).alias("__r")).select("doc_id", "__r.*")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holds("toxicity", _forget)
-        seen = []
+        seen, last = [], None
         for part in slices(batches):
-            seen += [(np.unique(places(t)).astype(np.int32), y) for t, y in zip(strings(part["text"]), part["__y"].to_pylist())]
+            for doc, t, y in zip(part["doc_id"].to_pylist(), strings(part["text"]), part["__y"].to_pylist()):
+                if doc != last:
+                    seen.append((np.unique(places(t)).astype(np.int32), y))
+                last = doc
         model = Ftrl()
         for _ in range(EPOCHS if seen else 0):
             for at, y in seen:
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["place", "weight"])
 
     one = rows.select("text", "__y", draw.alias("__h"), "doc_id").repartition(1).sortWithinPartitions("__h", "doc_id", "text")
-    return {r["place"]: r["weight"] for r in one.select("text", "__y").mapInArrow(train, "place long, weight double").collect()}
+    return {r["place"]: r["weight"] for r in one.select("doc_id", "text", "__y").mapInArrow(train, "place long, weight double").collect()}
 
 
 def _score(texts: pa.Array, model: dict[int, float]) -> pa.Array:

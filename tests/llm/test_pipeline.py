@@ -70,3 +70,23 @@ def test_stages_against_plain_python(spark):
     assert {p["sequence_id"] >> packing.NUMBERS for p in pieces} <= set(range(64))
     whole = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in whole.select("doc_id").distinct().collect()} == after
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    """Nulls, repeats and columns named like helpers come through with their values; no rows give no rows."""
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, "en", "s", 9), (1, words, "en", "s", 9), (2, None, None, None, None), (3, "", "en", "s", 0), (None, words + " x", "en", None, 1), (5, words.upper(), "fr", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 AS __toxic", "2 AS __m", "3 AS __failed", "4 AS __id", "5 AS __k1", "6 AS host")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.filter("false"), SF)
+        assert none.count() == 0, name
+        if name != "packing":
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns, name
+            left = out.collect()
+            assert {tuple(r)[5:] for r in left} <= {(1, 2, 3, 4, 5, 6)}
+            if name == "near_duplicates":
+                assert sorted((r["doc_id"] or 0) for r in left) == [1, 2]
+            if name == "quality_rules":
+                assert sorted((r["doc_id"] or 0) for r in left) == [0, 1, 1, 5]
