@@ -101,6 +101,71 @@ def m10(spark, sf):
     return ev.permutation_importance(_fitted(rows, sf), rows.filter("split = 'val'"), MODEL_FEATURES, "y", "doc_id")
 
 
+# The same with a written rule in place of a fitted model, so that SQL can work out every figure:
+# the numbering, the permutation of each trial, the scores and what the precision loses.
+RULE_FEATURES = ["score", "price_change_1h_spot_pct", "oi_change_1h_pct"]
+MIXED = f"((({{x}}) % {ev.MIX_PRIME} * {ev.MIX_B} + {{s}} * {ev.MIX_C}) % {ev.MIX_PRIME})"
+
+
+def mixed_sql(x: str, s: str) -> str:
+    line = MIXED.format(x=x, s=s)
+    return f"(({line} * {line} + {s} * {ev.MIX_A} % {ev.MIX_PRIME}) % {ev.MIX_PRIME})"
+
+
+def rule_sql(a: str, b: str, c: str) -> str:
+    return f"0.5::DOUBLE - {a} / 100 + {b} / 50 + {c} / 1000"
+
+
+cte(
+    "rule_rows",
+    """SELECT row_number() OVER (ORDER BY scan_ms + CAST(substr(pair, 2) AS BIGINT)) - 1 AS pos, count(*) OVER () AS n, pool_price > current_price AS y,
+  score AS x0, price_change_1h_spot_pct AS x1, oi_change_1h_pct AS x2 FROM signals_next
+WHERE pool_price IS NOT NULL AND score IS NOT NULL AND price_change_1h_spot_pct IS NOT NULL AND oi_change_1h_pct IS NOT NULL""",
+)
+cte(
+    "rule_places",
+    f"""WITH RECURSIVE walk AS (
+  SELECT trial, pos, n, pos AS x, 0 AS r FROM rule_rows, generate_series(0, {3 * len(RULE_FEATURES) - 1}) AS g(trial)
+  UNION ALL
+  SELECT trial, pos, n, CASE WHEN ({mixed_sql('greatest(x, mirror)', 'salt')} >> 3) % 2 = 1 THEN mirror ELSE x END, r + 1 FROM (
+    SELECT *, (({mixed_sql('salt', 'n')} - x) % n + n) % n AS mirror FROM (SELECT *, trial * 1000 + r + 1 AS salt FROM walk WHERE r < 4 * length(bin(greatest(n - 1, 1))))))
+SELECT trial, pos, x AS place FROM walk WHERE r = 4 * length(bin(greatest(n - 1, 1)))""",
+)
+
+
+def ap_sql(rows: str) -> str:
+    """Average precision by trial of rows with a score and a label."""
+    return f"""SELECT trial, sum(up * tp / seen) / sum(up) AS ap FROM (
+  SELECT trial, up, sum(up) OVER z AS tp, sum(n) OVER z AS seen FROM (
+    SELECT trial, p, CAST(count(*) FILTER (WHERE y) AS DOUBLE) AS up, count(*) AS n FROM ({rows}) GROUP BY trial, p)
+  WINDOW z AS (PARTITION BY trial ORDER BY p DESC)) GROUP BY trial"""
+
+
+cte("rule_usual", ap_sql(f"SELECT 0 AS trial, y, {rule_sql('x0', 'x1', 'x2')} AS p FROM rule_rows"))
+cte(
+    "rule_trials",
+    ap_sql(
+        "SELECT trial, t.y, "
+        + rule_sql(*[f"(CASE WHEN trial // 3 = {i} THEN g.x{i} ELSE t.x{i} END)" for i in range(3)])
+        + " AS p FROM rule_places w JOIN rule_rows g ON g.pos = w.pos JOIN rule_rows t ON t.pos = w.place"
+    ),
+)
+
+
+@query(
+    "m10_importance_by_rule",
+    f"SELECT {RULE_FEATURES}[t.trial // 3 + 1] AS feature, round(any_value(u.ap) - avg(t.ap), 9) + 0.0 AS importance FROM rule_trials t, rule_usual u GROUP BY t.trial // 3",
+)
+def m10r(spark, sf):
+    rows = signals_next(spark, sf).filter("pool_price is not null").dropna(subset=RULE_FEATURES).select(
+        *RULE_FEATURES, (F.col("pool_price") > F.col("current_price")).cast("int").alias("y"),
+        (F.col("scan_ms") + F.substring("pair", 2, 9).cast("bigint")).alias("at"),
+    )
+    x = [F.element_at("_x", i + 1) for i in range(3)]
+    rule = lambda df: df.withColumn("p", F.lit(0.5) - x[0] / 100 + x[1] / 50 + x[2] / 1000)
+    return rnd(ev.importance(rule, rows, RULE_FEATURES, "y", "at", trials_at_once=4)).withColumn("importance", F.col("importance") + F.lit(0.0))
+
+
 @query("m11_model_promotable")
 def m11m(spark, sf):
     rows = _model_rows(spark, sf)

@@ -22,12 +22,42 @@ from pyspark.sql.window import WindowSpec
 POS = "pos"
 
 
+#: Frames up to this many rows are left to the window operator, which goes through the
+#: frame anew for each row; longer ones are made of two running values.
+SHORT = 64
+
+
+@dataclass(frozen=True)
+class Frame:
+    """``max``, ``min``, ``sum``, ``count`` or ``avg`` of a column over ``rows`` rows, as it stood ``back`` rows ago."""
+
+    column: str
+    kind: str
+    rows: int
+    back: int = 0
+
+    @property
+    def name(self) -> str:
+        return f"_{self.kind}_{self.rows}_{self.column}"
+
+    @property
+    def long(self) -> bool:
+        return self.rows > SHORT
+
+    def over(self, w: WindowSpec) -> Column:
+        if self.long:
+            return F.lag(self.name, self.back).over(w) if self.back else F.col(self.name)
+        make = {**_AGG, "count": F.count, "avg": F.avg}[self.kind]
+        return make(self.column).over(w.rowsBetween(-(self.rows + self.back - 1), -self.back))
+
+
 @dataclass(frozen=True)
 class Roll:
-    """A rolling expression and the number of earlier rows it looks at."""
+    """A rolling expression, the number of earlier rows it looks at, and the frames it uses."""
 
     need: int
     build: Callable[[WindowSpec], Column]
+    frames: tuple[Frame, ...] = ()
 
 
 #: Groups into which the chunks of a series without keys are put.
@@ -46,15 +76,16 @@ def _joined(here: Column, earlier: Column, kind: str) -> Column:
     return {"max": F.greatest, "min": F.least}.get(kind, F.coalesce)(here, earlier)
 
 
-def scan_chunks(rows: DataFrame, keys, kinds: dict[str, str]) -> DataFrame:
+def scan_chunks(rows: DataFrame, keys, kinds: dict[str, str], few: bool = False) -> DataFrame:
     """Each column of ``kinds`` over all earlier ``_chunk`` rows of the key (null before the first).
 
-    With keys a window holds the chunk rows of one key. Without any, chunks are put into up to
+    With keys a window holds the chunk rows of one key; so it does without, where the chunks are ``few``:
+    bins of ``depth``, at most ``GROUPS`` at any size. Otherwise chunks are put into up to
     ``GROUPS`` groups of consecutive ones; a window holds the chunks of a group, and the
     groups' totals, one row each, are sent to the groups behind.
     """
     keys = list(keys)
-    if keys:
+    if keys or few:
         before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
         return rows.select(*keys, "_chunk", *[_over(F.col(c), kind, before).alias(c) for c, kind in kinds.items()])
     shares = [i / GROUPS for i in range(1, GROUPS)]
@@ -85,7 +116,7 @@ def depth(df: DataFrame, by, column: str, parts: int = GROUPS) -> DataFrame:
     return near.withColumn("_depth", F.size(F.filter("_edges", lambda e: e <= F.col(column)))).drop("_edges")
 
 
-def with_position(df: DataFrame, keys, time: str, chunk: Column) -> DataFrame:
+def with_position(df: DataFrame, keys, time: str, chunk: Column, few: bool = False) -> DataFrame:
     """Number the rows of each key from 0 in time order, without one long window.
 
     Rows are numbered inside time chunks and shifted by the row counts of the
@@ -93,7 +124,7 @@ def with_position(df: DataFrame, keys, time: str, chunk: Column) -> DataFrame:
     """
     keys = list(keys)
     base = df.withColumn("_chunk", chunk)
-    offsets = scan_chunks(base.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_off")), keys, {"_off": "sum"})
+    offsets = scan_chunks(base.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_off")), keys, {"_off": "sum"}, few)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(time)
     return (
         base.withColumn("_rn", F.row_number().over(inside))
@@ -103,6 +134,39 @@ def with_position(df: DataFrame, keys, time: str, chunk: Column) -> DataFrame:
     )
 
 
+def sliding(df: DataFrame, keys, rows: int, frames) -> DataFrame:
+    """Adds the values of ``frames``, all ``rows`` rows long, over ``pos``; also adds ``_sub``.
+
+    The numbers are cut into pieces of ``rows`` rows. A frame is the end of one piece and the
+    start of the next, so two running values, one from each side of a piece, make it: the work
+    for a row does not depend on ``rows``, and sums are added up, never taken off again.
+    The first frames of a key are shorter; nulls are left out as in a plain frame.
+    """
+    keys = list(keys)
+    df = df.withColumn("_sub", F.floor(F.col(POS) / rows))
+    ends = {"max": ("max",), "min": ("min",), "sum": ("sum",), "count": ("count",), "avg": ("sum", "count")}
+    parts = sorted({(end, f.column) for f in frames for end in ends[f.kind]})
+    value = lambda end, c, w: {**_AGG, "count": F.count}[end](c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    piece = Window.partitionBy(*keys, "_sub")
+    # The last window sorts as the one that looks back, so the two share a sort.
+    df = df.withColumns({f"_t_{end}_{c}": value(end, c, piece.orderBy(F.desc(POS))) for end, c in parts})
+    df = df.withColumns({f"_h_{end}_{c}": value(end, c, piece.orderBy(POS)) for end, c in parts})
+    along = Window.partitionBy(*keys).orderBy("_sub", POS)
+    # A frame that fills its piece is the running value alone.
+    split = F.pmod(F.col(POS), F.lit(rows)) != rows - 1
+    df = df.withColumns({f"_t_{end}_{c}": F.when(split, F.lag(f"_t_{end}_{c}", rows - 1).over(along)) for end, c in parts})
+
+    def both(end, c):
+        tail, head = F.col(f"_t_{end}_{c}"), F.col(f"_h_{end}_{c}")
+        if end in ("max", "min"):
+            return _joined(head, tail, end)
+        return F.coalesce(tail + head, tail, head)
+
+    made = lambda f: both("sum", f.column) / both("count", f.column) if f.kind == "avg" else both(f.kind, f.column)
+    df = df.withColumns({f.name: made(f) for f in frames})
+    return df.drop(*[f"_{side}_{end}_{c}" for side in "th" for end, c in parts])
+
+
 def roll(
     df: DataFrame,
     stages: dict[str, Roll] | list[dict[str, Roll]],
@@ -114,7 +178,7 @@ def roll(
     """Add rolling columns per key in time order; also adds ``pos``.
 
     Stages run one after the other, a later one may read the columns of an
-    earlier one.
+    earlier one. Frames longer than ``SHORT`` rows are worked out by ``sliding``.
     """
     keys = list(keys)
     stages = [stages] if isinstance(stages, dict) else stages
@@ -129,9 +193,16 @@ def roll(
         "_block",
         F.explode(F.when(in_halo, F.array(block, block + 1)).otherwise(F.array(block))),
     )
-    w = Window.partitionBy(*keys, "_block").orderBy(POS)
+    if any(f.long for stage in stages for r in stage.values() for f in r.frames):
+        # Windows over pieces of a block then find the block's rows together.
+        spread = spread.repartition(*keys, "_block")
     for stage in stages:
-        spread = spread.withColumns({name: r.build(w) for name, r in stage.items()})
+        w = Window.partitionBy(*keys, "_block").orderBy(POS)
+        long = {f.name: f for r in stage.values() for f in r.frames if f.long}
+        for rows in sorted({f.rows for f in long.values()}):
+            spread = sliding(spread, [*keys, "_block"], rows, [f for f in long.values() if f.rows == rows])
+            w = Window.partitionBy(*keys, "_block").orderBy("_sub", POS)
+        spread = spread.withColumns({name: r.build(w) for name, r in stage.items()}).drop("_sub", *long)
     return spread.filter(F.col("_block") == block).drop("_block")
 
 
@@ -141,12 +212,13 @@ def prefix(
     order,
     chunk: Column,
     specs: dict[str, tuple[str, str]],
+    few: bool = False,
 ) -> DataFrame:
     """Values over all earlier rows of the key: ``{out: (column, kind)}``.
 
     ``kind`` is ``max``, ``min``, ``sum`` (0 when nothing is before), ``last``
     (last non-null) or ``lag`` (the row just before). ``chunk`` must grow with
-    ``order``; a window partition holds one chunk of one key.
+    ``order``; a window partition holds one chunk of one key. ``few`` says that chunks are bins of ``depth``.
     """
     keys = list(keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
@@ -166,7 +238,7 @@ def prefix(
     carry = base.groupBy(*keys, "_chunk").agg(
         *[total(f"_c_{o}", c, kind) for o, (c, kind) in specs.items()]
     )
-    carry = scan_chunks(carry, keys, {f"_c_{o}": kind for o, (c, kind) in specs.items()})
+    carry = scan_chunks(carry, keys, {f"_c_{o}": kind for o, (c, kind) in specs.items()}, few)
     run = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = base.withColumns(
         {

@@ -60,7 +60,7 @@ def exact_quantiles(df: DataFrame, column: str, points: list[float], by=()) -> D
     """
     by = list(by)
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix(depth(counts, by, "_v"), by, "_v", F.col("_depth"), {"_below": ("_n", "sum")})
+    ranked = prefix(depth(counts, by, "_v"), by, "_v", F.col("_depth"), {"_below": ("_n", "sum")}, few=True)
     if by:
         sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
         ranked = ranked.join(sizes, by)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barlytics.functions.scalar import num
-from barlytics.operators.blocks import depth, prefix, with_position
+from barlytics.operators.blocks import POS, depth, prefix, with_position
 from barlytics.operators.cohorts import exact_quantiles
 from barlytics.operators.grid import floor_bucket
 from barlytics.operators.gaps import cooldown
@@ -130,7 +133,7 @@ def _by_score(df: DataFrame, p: str, y: str, keys) -> DataFrame:
 def roc_auc(df: DataFrame, p: str = "p", y: str = "y", by=()) -> DataFrame:
     """Area under the ROC curve from ranks; null with only one class."""
     by = list(by)
-    scores = prefix(depth(_by_score(df, p, y, by), by, "_p"), by, "_p", F.col("_depth"), {"_below": ("_neg", "sum")})
+    scores = prefix(depth(_by_score(df, p, y, by), by, "_p"), by, "_p", F.col("_depth"), {"_below": ("_neg", "sum")}, few=True)
     won = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
     return scores.groupBy(*by).agg(F.sum(F.col("_pos") + F.col("_neg")).alias("n"), F.when(pairs > 0, won / pairs).alias("roc_auc"))
@@ -140,7 +143,7 @@ def average_precision(df: DataFrame, p: str = "p", y: str = "y", by=()) -> DataF
     """Precision weighted by the recall each distinct score adds."""
     by = list(by)
     rows = _by_score(df, p, y, by).withColumns({"_down": -F.col("_p"), "_all": F.col("_pos") + F.col("_neg")})
-    cum = prefix(depth(rows, by, "_down"), by, "_down", F.col("_depth"), {"_tp": ("_pos", "sum"), "_seen": ("_all", "sum")})
+    cum = prefix(depth(rows, by, "_down"), by, "_down", F.col("_depth"), {"_tp": ("_pos", "sum"), "_seen": ("_all", "sum")}, few=True)
     precision = (F.col("_tp") + F.col("_pos")) / (F.col("_seen") + F.col("_all"))
     total = F.sum("_pos")
     return cum.groupBy(*by).agg(
@@ -158,29 +161,66 @@ def top_quantile_slices(df: DataFrame, qs=(0.90, 0.95, 0.98), p: str = "p", **kw
     return names.join(m, "threshold")
 
 
-def permutation_importance(
-    model: GBTClassificationModel, df: DataFrame, features: list[str], y: str, row_id: str, repeats: int = 3, top: int | None = None, bins: int = 64,
+#: Fixed values of the round function of ``shuffled_place``: a prime below 2**31 and three factors.
+MIX_PRIME, MIX_A, MIX_B, MIX_C = 2_147_483_647, 1_103_515_245, 48_271, 69_621
+
+
+def _mixed(x: Column, salt: Column) -> Column:
+    """A number below ``MIX_PRIME`` from two numbers, by products that fit 63 bits."""
+    p = F.lit(MIX_PRIME)
+    line = F.pmod(F.pmod(x, p) * F.lit(MIX_B) + F.pmod(salt, p) * F.lit(MIX_C), p)
+    return F.pmod(line * line + F.pmod(F.pmod(salt, p) * F.lit(MIX_A), p), p)
+
+
+def shuffle_rounds(n: int) -> int:
+    """Rounds that mix ``n`` places: four for each bit of the number."""
+    return 4 * max(n - 1, 1).bit_length()
+
+
+def shuffled_place(place: Column, n: int, trial: Column) -> Column:
+    """Where a seeded permutation of the numbers below ``n`` takes ``place`` in a trial.
+
+    Each round pairs a place with the one that mirrors it around a keyed point and swaps the pair
+    or not, by a keyed bit of its larger member. A round is its own inverse, so the result is a
+    permutation for every ``n``: nothing is sorted, and no number outside has to be walked back.
+    """
+    def turn(x, r):
+        salt = trial * F.lit(1000) + r
+        mirror = F.pmod(_mixed(salt, F.lit(n).cast("bigint")) - x, F.lit(n))
+        bit = F.pmod(F.shiftright(_mixed(F.greatest(x, mirror), salt), 3), F.lit(2))
+        return F.when(bit == 1, mirror).otherwise(x)
+
+    rounds = F.sequence(F.lit(1).cast("bigint"), F.lit(shuffle_rounds(n)).cast("bigint"))
+    return F.aggregate(rounds, place.cast("bigint"), turn)
+
+
+def importance(
+    score: Callable[[DataFrame], DataFrame], df: DataFrame, features: list[str], y: str, order: str, repeats: int = 3,
+    top: int | None = None, trials_at_once: int = 32,
 ) -> DataFrame:
     """Drop in average precision when one feature is shuffled among the rows.
 
-    All features and repeats run in one plan: each (feature, repeat) numbers
-    the rows by a seeded hash and takes the value of the row at that number.
+    ``score`` adds ``p`` to rows with the features in the array ``_x``. ``order`` is a number,
+    one for each row, that fixes the rows' numbering. The rows are numbered once; in a
+    (feature, repeat) trial each row gives its value to the row at its ``shuffled_place``, so what
+    moves for a trial is a number and a value for each row. Groups of ``trials_at_once`` trials are
+    done one after the other, which bounds the shuffled bytes. No rows: no result.
     """
-    base = df.select(F.col(row_id).alias("_id"), F.col(y).alias("_y"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
-    trials = F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1))).alias("_trial")
+    base = df.select(F.col(order).cast("bigint").alias("_o"), F.col(y).alias("_y"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
+    rows = cut(with_position(depth(base, [], "_o"), [], "_o", F.col("_depth"), few=True).drop("_depth", "_o"))
+    n, trials = max(rows.count(), 1), len(features) * repeats
     which = F.floor(F.col("_trial") / repeats).cast("int")
-    # Only the one value that a trial moves goes through the shuffle.
-    value = F.element_at("_x", which + 1)
-    wide = base.select("_id", "_x", trials).select("_trial", F.xxhash64("_id", "_trial").alias("_h"), "_id", value.alias("_from"))
-    width = 2**64 // bins
-    donors = with_position(wide, ["_trial"], "_h", F.floor(F.col("_h") / F.lit(float(width))))
-    order = with_position(base.select("_id", "_y", "_x").withColumn("_o", F.xxhash64("_id")), [], "_o", F.floor(F.col("_o") / F.lit(float(width))))
-    pairs = cut(order.select("pos", "_id", trials).join(donors.select("_trial", "pos", "_from"), ["_trial", "pos"]).select("_id", "_trial", "_from"))
-    mixed = F.transform("_x", lambda v, i: F.when(i == which, F.col("_from")).otherwise(v))
-    j = pairs.join(base, "_id")
-    shuffled = predict_array(model, j.select("_trial", "_y", mixed.alias("_x")))
-    scores = average_precision(shuffled, "p", "_y", ["_trial"]).withColumn("_f", which)
-    usual = average_precision(predict_array(model, base), "p", "_y").select("average_precision").scalar()
+    groups = []
+    for first in range(0, trials, trials_at_once):
+        last = min(first + trials_at_once, trials) - 1
+        given = rows.select(POS, "_x", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("_trial")).select(
+            "_trial", shuffled_place(F.col(POS), n, F.col("_trial").cast("bigint")).alias(POS), F.element_at("_x", which + 1).alias("_given"),
+        )
+        changed = F.transform("_x", lambda v, i: F.when(i == which, F.col("_given")).otherwise(v))
+        scored = score(given.join(rows, POS).select("_trial", "_y", changed.alias("_x")))
+        groups.append(cut(average_precision(scored, "p", "_y", ["_trial"])))
+    scores = reduce(DataFrame.unionAll, groups).withColumn("_f", which)
+    usual = average_precision(score(rows), "p", "_y").select("average_precision").scalar()
     names = F.array(*[F.lit(c) for c in features])
     ranked = (
         scores.groupBy("_f").agg(F.avg("average_precision").alias("_ap"))
@@ -190,6 +230,14 @@ def permutation_importance(
     return ranked if top is None else ranked.limit(top)
 
 
+def permutation_importance(
+    model: GBTClassificationModel, df: DataFrame, features: list[str], y: str, row_id: str, repeats: int = 3, top: int | None = None,
+) -> DataFrame:
+    """``importance`` of a fitted model's features; rows are numbered by a hash of ``row_id``."""
+    numbered = df.select(F.col(y), *features, F.xxhash64(row_id).alias("_order"))
+    return importance(lambda rows: predict_array(model, rows), numbered, features, y, "_order", repeats, top)
+
+
 def predict_array(model: GBTClassificationModel, df: DataFrame, x: str = "_x") -> DataFrame:
     scored = model.transform(df.withColumn("features", array_to_vector(x)))
     return scored.withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from barlytics.functions.scalar import pct_change, safe_div
-from barlytics.operators.blocks import POS, Roll, fold_linear, roll, with_position
+from barlytics.operators.blocks import POS, Frame, Roll, fold_linear, roll, with_position
 from barlytics.session import cut
 
 
@@ -14,31 +14,36 @@ def _from(n: int, value):
     return F.when(F.col(POS) >= n, value)
 
 
+def _framed(need: int, first: int, value, *frames: Frame) -> Roll:
+    """A value of frames, null before row ``first``."""
+    return Roll(need, lambda w: _from(first, value(*[f.over(w) for f in frames])), frames)
+
+
+def _plain(value):
+    return value
+
+
 def sma(col: str, n: int) -> Roll:
-    return Roll(n - 1, lambda w: _from(n - 1, F.avg(col).over(w.rowsBetween(-(n - 1), 0))))
+    return _framed(n - 1, n - 1, _plain, Frame(col, "avg", n))
 
 
 def sma_lagged(col: str, n: int, back: int) -> Roll:
     """The mean of ``n`` values, as it stood ``back`` rows ago."""
     first = n + back - 1
-    return Roll(first, lambda w: _from(first, F.avg(col).over(w.rowsBetween(-first, -back))))
+    return _framed(first, first, _plain, Frame(col, "avg", n, back))
 
 
 def rolling_max(col: str, n: int) -> Roll:
-    return Roll(n - 1, lambda w: _from(n - 1, F.max(col).over(w.rowsBetween(-(n - 1), 0))))
+    return _framed(n - 1, n - 1, _plain, Frame(col, "max", n))
 
 
 def rolling_min(col: str, n: int) -> Roll:
-    return Roll(n - 1, lambda w: _from(n - 1, F.min(col).over(w.rowsBetween(-(n - 1), 0))))
+    return _framed(n - 1, n - 1, _plain, Frame(col, "min", n))
 
 
 def rolling_sum(col: str, n: int, partial: bool = False) -> Roll:
     """Sum of ``n`` values; ``partial`` also gives shorter sums at the start."""
-    def build(w):
-        total = F.sum(col).over(w.rowsBetween(-(n - 1), 0))
-        return total if partial else _from(n - 1, total)
-
-    return Roll(n - 1, build)
+    return _framed(n - 1, 0 if partial else n - 1, _plain, Frame(col, "sum", n))
 
 
 def lagged(col: str, k: int) -> Roll:
@@ -63,13 +68,8 @@ def change_over(col: str, k: int, default: float | None = None) -> Roll:
 def volume_expansion(col: str, recent: int = 3, previous: int = 12) -> Roll:
     """Recent mean over the mean of the rows just before; 0 without a base."""
     first = recent + previous - 1
-
-    def build(w):
-        new = F.avg(col).over(w.rowsBetween(-(recent - 1), 0))
-        old = F.avg(col).over(w.rowsBetween(-first, -recent))
-        return _from(first, F.when(old > 0, new / old).otherwise(0.0))
-
-    return Roll(first, build)
+    value = lambda new, old: F.when(old > 0, new / old).otherwise(0.0)
+    return _framed(first, first, value, Frame(col, "avg", recent), Frame(col, "avg", previous, recent))
 
 
 def true_range() -> Roll:
@@ -85,11 +85,12 @@ def true_range() -> Roll:
 
 def atr_pct_stages(n: int = 14) -> list[dict[str, Roll]]:
     """Mean true range over the last close, in percent; 0 without history."""
+    mean = Frame("_tr", "avg", n)
+
     def build(w):
-        mean = F.avg("_tr").over(w.rowsBetween(-(n - 1), 0))
-        return F.when(F.col(POS) >= n, safe_div(mean, F.col("close")) * 100.0).otherwise(0.0)
+        return F.when(F.col(POS) >= n, safe_div(mean.over(w), F.col("close")) * 100.0).otherwise(0.0)
 
-    return [{"_tr": true_range()}, {"atr_pct": Roll(n - 1, build)}]
+    return [{"_tr": true_range()}, {"atr_pct": Roll(n - 1, build, (mean,))}]
 
 
 def realized_vol_stages(n: int = 12) -> list[dict[str, Roll]]:
@@ -108,35 +109,24 @@ def realized_vol_stages(n: int = 12) -> list[dict[str, Roll]]:
     return [{"_lr": Roll(1, log_return)}, {"realized_vol_pct": Roll(n - 1, build)}]
 
 
-def day_snapshot(n: int = 288, partial: bool = False) -> dict[str, Roll]:
+def day_snapshot(n: int = 288) -> dict[str, Roll]:
     """Turnover, change and taker buy share over the last ``n`` bars.
 
     The change compares with the bar before the window, so ``n + 1`` bars are
     needed; rows with fewer give null.
     """
-    def guarded(value):
-        return lambda w: F.when(F.col(POS) >= n, value(w))
-
-    frame = lambda w: w.rowsBetween(-(n - 1), 0)
-    total = lambda c: (lambda w: F.sum(c).over(frame(w)))
+    change = lambda w: _from(n, pct_change(F.col("close"), F.lag("close", n).over(w), "nonzero"))
+    turnover, bought = Frame("quote_volume", "sum", n), Frame("taker_buy_quote_volume", "sum", n)
     return {
-        "quote_volume_24h": Roll(n, guarded(total("quote_volume"))),
-        "price_change_24h_pct": Roll(
-            n, guarded(lambda w: pct_change(F.col("close"), F.lag("close", n).over(w), "nonzero"))
-        ),
-        "taker_buy_ratio_24h": Roll(
-            n,
-            guarded(lambda w: safe_div(total("taker_buy_quote_volume")(w), total("quote_volume")(w), 0.5)),
-        ),
+        "quote_volume_24h": _framed(n, n, _plain, turnover),
+        "price_change_24h_pct": Roll(n, change),
+        "taker_buy_ratio_24h": _framed(n, n, lambda b, q: safe_div(b, q, 0.5), bought, turnover),
     }
 
 
 def taker_buy_ratio(n: int = 12) -> Roll:
-    def build(w):
-        frame = w.rowsBetween(-(n - 1), 0)
-        return _from(n - 1, safe_div(F.sum("taker_buy_quote_volume").over(frame), F.sum("quote_volume").over(frame), 0.5))
-
-    return Roll(n - 1, build)
+    frames = Frame("taker_buy_quote_volume", "sum", n), Frame("quote_volume", "sum", n)
+    return _framed(n - 1, n - 1, lambda b, q: safe_div(b, q, 0.5), *frames)
 
 
 def numbered(bars: DataFrame, step: int, keys=("symbol",), time="open_time_ms", chunk_rows: int = 65_536) -> DataFrame:

@@ -1,6 +1,7 @@
 """Blocked windows, scans and joins give the same rows as the plain ones."""
 
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlytics.operators import evaluate as ev, gaps, grid, indicators as ind, joins, online
-from barlytics.operators.blocks import depth, fold_linear, prefix, roll, with_position
+from barlytics.operators.blocks import SHORT, Frame, Roll, depth, fold_linear, prefix, roll, with_position
 from barlytics.operators.cohorts import exact_quantiles
 
 STEP = 10
@@ -52,6 +53,42 @@ def test_roll_blocks(series, block):
     np.testing.assert_allclose(got["v"], v, rtol=1e-12)
 
 
+@pytest.mark.parametrize("rows", [SHORT, SHORT + 1, 97, 500])
+@pytest.mark.parametrize("block", [64, 4096])
+def test_long_frames(series, rows, block):
+    """Frames made of two running values equal plain ones: nulls, short series, blocks and a look back included."""
+    pdf, df = series
+    df = df.withColumn("odd", F.when(F.pmod(F.col("open_time_ms"), F.lit(30)) == 0, F.col("close")))
+    kinds = ["max", "min", "sum", "count", "avg"]
+    frames = {f"{k}{back}": Frame("odd", k, rows, back) for k in kinds for back in (0, 5)}
+    stage = {name: Roll(rows + f.back - 1, f.over, (f,)) for name, f in frames.items()}
+    two = {"twice": Roll(rows - 1, Frame("max0", "min", rows).over, (Frame("max0", "min", rows),))}
+    got = as_frame(roll(df, [stage, two], STEP, block_rows=block), *stage, "twice", "pos")
+    want = pdf.sort_values(["symbol", "open_time_ms"]).reset_index(drop=True)
+    want["odd"] = want["close"].where(want["open_time_ms"] % 30 == 0)
+    over = lambda c, k, shift: want.groupby("symbol")[c].transform(
+        lambda s: getattr(s.rolling(rows, 1), {"avg": "mean"}.get(k, k))().shift(shift))
+    want["max0"] = over("odd", "max", 0)
+    for name, f in frames.items():
+        mine, plain = got[name].astype(float), over("odd", f.kind, f.back)
+        # pandas counts nothing as a sum of 0.
+        plain = plain.where(over("odd", "count", f.back) > 0) if f.kind == "sum" else plain
+        seen = got["pos"] >= f.back
+        np.testing.assert_allclose(mine[seen], plain[seen], rtol=1e-12, err_msg=name)
+    np.testing.assert_allclose(got["twice"].astype(float), over("max0", "min", 0), rtol=1e-12)
+
+
+def test_work_of_long_frames_does_not_grow(series):
+    """No frame of the plan is as long as the window, and bars move once for the numbering and once for the blocks."""
+    _, df = series
+    plan = lambda n: roll(df, {"m": ind.rolling_max("close", n), "s": ind.sma("close", n)}, STEP)._jdf.queryExecution().executedPlan().toString()
+    short, long = plan(SHORT), plan(288)
+    swept = lambda p: [m for m in re.findall(r"RowFrame, (-\d+), ([^)]+)", p) if m[0] != m[1]]  # a lag has one row
+    assert swept(short) and not swept(long)
+    assert long.count("Exchange") == short.count("Exchange")
+    assert plan(288).count("Window") == plan(5000).count("Window")
+
+
 @pytest.mark.parametrize("chunk", [30, 500, 10**9])
 def test_prefix_chunks(series, chunk):
     pdf, df = series
@@ -245,3 +282,28 @@ def test_replay_keeps_state_across_batches(spark):
         assert all(r.n == r.id // 3 + 1 for r in out)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 1000])
+def test_shuffled_places_are_permutations(spark, n):
+    """Every place is taken once in every trial, trials differ, and values go far and wide."""
+    trials = 6
+    df = spark.range(n).select("id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trials - 1).cast("bigint"))).alias("t"))
+    got = df.select("t", "id", ev.shuffled_place(F.col("id"), n, F.col("t")).alias("to")).toPandas()
+    for _, part in got.groupby("t"):
+        assert sorted(part["to"]) == list(range(n))
+    if n == 1000:
+        orders = [tuple(p.sort_values("id")["to"]) for _, p in got.groupby("t")]
+        assert len(set(orders)) == trials
+        for order in orders:
+            assert abs(np.corrcoef(range(n), order)[0, 1]) < 0.12
+            assert sum(i == x for i, x in enumerate(order)) < 12
+
+
+def test_importance_of_used_and_unused_features(spark):
+    """A feature that decides the score loses precision when shuffled; one that it does not read loses none."""
+    rows = spark.range(2000).select("id", F.rand(3).alias("a"), F.rand(4).alias("b")).withColumn("y", (F.col("a") > 0.7).cast("int"))
+    score = lambda df: df.withColumn("p", F.element_at("_x", 1))
+    got = {r.feature: r.importance for r in ev.importance(score, rows, ["a", "b"], "y", "id", trials_at_once=4).collect()}
+    assert 0.6 < got["a"] < 0.75 and abs(got["b"]) < 1e-12
+    assert ev.importance(score, rows.filter("false"), ["a", "b"], "y", "id").filter("importance is not null").count() == 0
