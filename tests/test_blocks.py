@@ -307,3 +307,43 @@ def test_importance_of_used_and_unused_features(spark):
     got = {r.feature: r.importance for r in ev.importance(score, rows, ["a", "b"], "y", "id", trials_at_once=4).collect()}
     assert 0.6 < got["a"] < 0.75 and abs(got["b"]) < 1e-12
     assert ev.importance(score, rows.filter("false"), ["a", "b"], "y", "id").filter("importance is not null").count() == 0
+
+
+def test_importance_scores_each_row_once_a_trial(spark):
+    """The scans over the scores read a written table; they do not shuffle and score the rows anew."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(v):
+        seen.add(1)
+        return v
+
+    rows = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"), (F.col("id") % 2).cast("int").alias("y"))
+    score = lambda df: df.withColumn("p", told(F.element_at("_x", 1)))
+    assert ev.importance(score, rows, ["a", "b"], "y", "id", trials_at_once=4).count() == 2
+    assert seen.value == 300 * (2 * 3 + 1)
+
+
+@pytest.mark.parametrize("n", [5, 1000, 5_000_011])
+def test_shuffled_places_follow_the_plain_rounds(spark, n):
+    """Array operations give what whole numbers of any size give."""
+    p, a, b, c = ev.MIX_PRIME, ev.MIX_A, ev.MIX_B, ev.MIX_C
+    mixed = lambda x, s: (((x * b + s * c) % p) ** 2 + s * a) % p
+
+    def plain(x, trial):
+        for r in range(1, ev.shuffle_rounds(n) + 1):
+            salt = trial * 1000 + r
+            mirror = (mixed(salt, n) - x) % n
+            x = mirror if mixed(max(x, mirror), salt) >> 3 & 1 else x
+        return x
+
+    df = spark.range(0, n, max(n // 50, 1)).select("id", F.explode(F.array(F.lit(0), F.lit(7))).alias("t"))
+    for r in df.select("id", "t", ev.shuffled_place(F.col("id"), n, F.col("t")).alias("to")).collect():
+        assert r["to"] == plain(r["id"], r["t"])
+
+
+def test_depth_counts_the_edges_below(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 2).alias("g"), F.round(F.rand(5), 2).alias("v"))
+    edges = {r.g: r.e for r in rows.groupBy("g").agg(F.percentile_approx("v", [i / 256 for i in range(1, 256)]).alias("e")).collect()}
+    for r in depth(rows, ["g"], "v").collect():
+        assert r._depth == sum(e <= r.v for e in edges[r.g])
