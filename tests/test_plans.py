@@ -160,3 +160,19 @@ def test_frames_come_from_one_scan(spark):
     tiny, fine, coarse = frames(spark, SF, TINY, FINE, COARSE)
     assert tiny.agg(F.sum("trades")).first()[0] == fine.agg(F.sum("trades")).first()[0] == coarse.agg(F.sum("trades")).first()[0]
     assert {r.symbol for r in fine.select("symbol").distinct().collect()} >= {LEAD, SECOND}
+
+
+def test_trees_read_each_distinct_row_once(spark):
+    """Rows that agree in bins and label count by their number: copies change nothing, and leaves keep their least size."""
+    from barlytics.operators import evaluate as ev
+
+    rows = spark.range(2000).select((F.col("id") % 50 / 10).alias("a"), (F.col("id") % 7).cast("double").alias("b"), ((F.col("id") * 31 % 50) % 3 == 0).cast("int").alias("y"))
+    model = ev.fit_classifier(rows, ["a", "b"], "y", max_iter=1, min_rows=60)
+    assert len(model.edges[0]) <= 31 and len(model.edges[1]) == 6
+    once = ev.predict(model, rows, ["a", "b"]).groupBy("p").count().collect()
+    assert len(once) > 2 and min(r["count"] for r in once) >= 60
+    copies = rows.crossJoin(spark.range(9).select())
+    again = ev.predict(ev.fit_classifier(copies, ["a", "b"], "y", max_iter=1, min_rows=540), rows, ["a", "b"]).groupBy("p").count().collect()
+    assert sorted((round(r.p, 12), r["count"]) for r in again) == sorted((round(r.p, 12), r["count"]) for r in once)
+    few = ev.fit_classifier(rows.limit(119), ["a", "b"], "y", max_iter=1, min_rows=60)
+    assert ev.predict(few, rows, ["a", "b"]).select("p").distinct().count() == 1
