@@ -51,14 +51,19 @@ def read_bars(spark: SparkSession, root: str, days: int | None = None) -> DataFr
     return raw.withColumns(_path_parts(F.input_file_name()))
 
 
+#: Bars of a symbol and interval that are written by one task, at most.
+SLICE_BARS = 262_144
+
+
 def store_bars(bars: DataFrame, path: str) -> None:
     """Columnar copy of candles, one folder per interval and symbol.
 
-    Rows are spread by symbol and time first, so a busy symbol is written by
-    several tasks; its folder then holds several files.
+    Rows are spread by symbol and slices of ``SLICE_BARS`` bars' time, so a busy symbol is written by
+    several tasks and a short series is one file or two, at any number of tasks.
     """
-    month = F.floor(F.col("open_time_ms") / (30 * 86_400_000))
-    out = bars.repartition("interval", "symbol", month).sortWithinPartitions("interval", "symbol", "open_time_ms")
+    length = F.greatest(F.col("close_time_ms") - F.col("open_time_ms") + 1, F.lit(1))
+    part = F.floor(F.col("open_time_ms") / (length * SLICE_BARS))
+    out = bars.repartition("interval", "symbol", part).sortWithinPartitions("interval", "symbol", "open_time_ms")
     out.write.mode("overwrite").partitionBy("interval", "symbol").parquet(path)
 
 

@@ -81,3 +81,22 @@ def test_only_chosen_files_are_read(spark, tmp_path):
     assert sorted((r.interval, r.days, r.close) for r in got.collect()) == [("1h", 90, 2.0), ("4h", 30, 3.0)]
     assert len(got.inputFiles()) == 2
 
+
+
+def test_stored_series_are_few_files(spark, tmp_path):
+    """Years of daily bars fit one slice, so a folder does not hold a file of every task."""
+    day = 86_400_000
+    bars = spark.range(3 * 1200).selectExpr(
+        "concat('S', id % 3) symbol", "'1d' interval", "90 days", f"(id div 3 + 19000) * {day} open_time_ms", "1.0d open", "2.0d high", "0.5d low",
+        "1.0d close", "3.0d volume", f"(id div 3 + 19001) * {day} - 1 close_time_ms", "4.0d quote_volume", "5L trades", "1.0d taker_buy_base_volume", "2.0d taker_buy_quote_volume",
+    )
+    name, path = "spark.sql.adaptive.coalescePartitions.enabled", str(tmp_path / "store")
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        files.store_bars(bars, path)
+    finally:
+        spark.conf.set(name, old)
+    assert len(folders(spark, path, "interval=*/symbol=*/part-*")) == 3
+    assert files.read_stored_bars(spark, path).select(*bars.columns).exceptAll(bars).count() == 0
+    assert files.read_stored_bars(spark, path).count() == 3600
