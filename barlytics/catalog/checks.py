@@ -214,7 +214,8 @@ def q07(spark, sf):
 
 def features_at(fine, coarse, points):
     """Feature rows at given times, each from the newest closed bars."""
-    ff = plan.fine_features(fine, FINE).drop("asof_ms").withColumnRenamed("close_time_ms", "f_close_time_ms")
+    unread = [c for c in grid.BAR_VALUES if c != "close"]
+    ff = plan.fine_features(fine, FINE).drop("asof_ms", *unread).withColumnRenamed("close_time_ms", "f_close_time_ms")
     rows = joins.asof_join(points.select("symbol", "asof_ms"), ff, "asof_ms", "f_close_time_ms", 512 * FINE)
     rows = rows.filter("pos is not null").withColumnRenamed("f_close_time_ms", "close_time_ms")
     return plan.feature_core(plan.align(rows, plan.coarse_features(coarse, COARSE), FINE)).drop("pos", "open_time_ms")

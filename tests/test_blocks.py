@@ -146,6 +146,18 @@ def test_asof_buckets(spark, series, bucket, strict, forward):
     np.testing.assert_allclose(got["close"].astype(float), want["close"])
 
 
+@pytest.mark.parametrize("wanted", [["symbol", "t", "rt", "close"], ["t", "close"]])
+def test_asof_works_out_its_inputs_once(spark, wanted):
+    """What one use drops early must not make a second exchange, with all that lies below it."""
+    symbol = (F.col("id") % 7).cast("string").alias("symbol")
+    left = spark.range(1000).select(symbol, F.col("id").alias("t"), F.rand(1).alias("v"))
+    right = spark.range(1000).select(symbol, (F.col("id") * 3).alias("rt"), F.rand(2).alias("close"), F.rand(3).alias("more"))
+    got = joins.asof_join(left, right, "t", "rt", 100).select(*wanted)
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final
+
+
 @pytest.mark.parametrize("bucket", [15, 200])
 @pytest.mark.parametrize("inclusive", [True, False])
 def test_forward_buckets(spark, series, bucket, inclusive):
