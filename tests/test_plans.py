@@ -1,11 +1,13 @@
 """Whole paths: backtest report, training, live streams."""
 
+import importlib
 import json
 
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from barlytics import catalog
 from barlytics.catalog import market, paths
 from barlytics.catalog.base import COARSE, DAY, FINE, LEAD, SECOND, TINY, frames
 from barlytics.operators import joins
@@ -176,3 +178,13 @@ def test_trees_read_each_distinct_row_once(spark):
     assert sorted((round(r.p, 12), r["count"]) for r in again) == sorted((round(r.p, 12), r["count"]) for r in once)
     few = ev.fit_classifier(rows.limit(119), ["a", "b"], "y", max_iter=1, min_rows=60)
     assert ev.predict(few, rows, ["a", "b"]).select("p").distinct().count() == 1
+
+
+@pytest.mark.parametrize("name,module,made", [("c12_late_entry_gate", "catalog.base", "ticks"), ("a09_dataset_meta", "catalog.base", "ticks"), ("t13_matured_labels", "operators.pyramid", "build")])
+def test_inputs_are_made_once(spark, monkeypatch, name, module, made):
+    """One scan of the ticks for all frames of a query, one pyramid for all deliveries."""
+    module, calls = importlib.import_module(f"barlytics.{module}"), []
+    make = getattr(module, made)
+    monkeypatch.setattr(module, made, lambda *a, **k: calls.append(1) or make(*a, **k))
+    catalog.QUERIES[name](spark, SF)
+    assert len(calls) == 1
