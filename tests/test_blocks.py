@@ -336,6 +336,19 @@ def test_importance_scores_each_row_once_a_trial(spark):
     assert seen.value == 300 * (2 * 3 + 1)
 
 
+def test_importance_sends_no_rows_through_the_driver(spark):
+    """The rows meet their givers in a merge, also where the written table is so small that Spark would broadcast it."""
+    plans = []
+
+    def score(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return df.withColumn("p", F.element_at("_x", 1))
+
+    rows = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    assert ev.importance(score, rows, ["a"], "y", "id").count() == 1
+    assert "SortMergeJoin" in plans[0] and not any("Broadcast" in p for p in plans)
+
+
 @pytest.mark.parametrize("n", [5, 1000, 5_000_011])
 def test_shuffled_places_follow_the_plain_rounds(spark, n):
     """Array operations give what whole numbers of any size give."""
