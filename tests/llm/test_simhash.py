@@ -148,6 +148,34 @@ def test_keep_one_finds_all_near_copies(spark, monkeypatch, block):
     assert {x["doc_id"] for x in simhash.keep_one(docs).collect()} == want
 
 
+def test_keep_one_finds_pairs_that_no_band_of_values_shared(spark):
+    """Jaccard similarity 8 / 10, for which 40 bands of 5 min-hash values with fixed seeds had none in common."""
+    words = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{words} x2682"), (2, f"{words} x27509"), (3, "other " + words[3:])], "doc_id long, text string")
+    assert {x["doc_id"] for x in simhash.keep_one(docs).collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("common", [2, 64])
+def test_keep_one_finds_near_copies_among_common_passages(spark, monkeypatch, common):
+    """Texts that are mostly passages of many others: alike ones may share no hash that few sets have."""
+    import random
+
+    monkeypatch.setattr(simhash.minhash, "COMMON", common)
+    rng = random.Random(5)
+    passages = [[f"p{k}_{i}" for i in range(45)] for k in range(4)]
+    rows = []
+    for i in range(150):
+        own = [f"t{i % 90}_{j}" for j in range(rng.choice((0, 2, 4, 8)))]
+        text = own + [w for k in rng.sample(range(4), 1 + i % 3) for w in passages[k]]
+        for _ in range(i % 4):
+            text[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    want, alike = brute_kept(rows)
+    assert len(alike) > 50 and 30 < len(want) < len(rows) - 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in simhash.keep_one(docs).collect()} == want
+
+
 def test_keep_one_keeps_same_words_in_another_order(spark):
     words = [f"w{i}" for i in range(120)]
     texts = [" ".join(words), " ".join(words[::-1]), " ".join(words[::2] + words[1::2])]
