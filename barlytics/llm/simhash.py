@@ -277,7 +277,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     rows = stored(plain.groupBy("id", "k1", "k2").agg(F.count("*").alias("n")), "rows")
     classes = minhash.signatures(plain, hashes, percent).groupBy("high", "low")
     classes = classes.agg(F.min(place).alias("place"), F.first(F.struct("size", "least", "bits")).alias("s"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "place", "s.size", "s.least", "s.bits"), "classes", "zstd")
+    windows = stored(classes.select(F.monotonically_increasing_id().alias("node"), "place", "s.size", "s.least", "s.bits"), "windows", "zstd")
+    classes = stored(windows.drop("least"), "classes", "zstd")
     known = classes.select("node", "place.id", "place.k1", "place.k2")
 
     def same(a: DataFrame, b: DataFrame, names: dict[str, str]):
@@ -288,7 +289,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
         found = minhash.sets(plain.join(wanted, same(plain, wanted, {k: k for k in keys})).select("node", "text"), hashes)
         return found.groupBy("node").agg(F.first("hashes").alias("hashes"))  # repeated rows give the same set again
 
-    roots = components(minhash.links(classes.select("node", "size", "least", "bits"), sets_of, percent))
+    roots = components(minhash.links(classes.select("node", "size", "bits"), windows, sets_of, percent))
     named = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "place")
     first = stored(named.groupBy("root").agg(F.min("place").alias("place")).select("place.id", "place.k1", "place.k2"), "first")
     drop(classes)
